@@ -32,16 +32,11 @@ RESAMPLE = (
 BOX_REACH = 1.5
 
 
-def _at(p, total: Column):
-    """A probability is a number or a function of the group size."""
-    return p(total) if callable(p) else p
-
-
 def _wanted(total: Column, probs: Sequence[tuple[str, float]]) -> Column:
     """Array of (name, side, rank, weight) for all wanted order statistics."""
     items = []
     for name, p in probs:
-        low, high, weight = type7_ranks(total, _at(p, total))
+        low, high, weight = type7_ranks(total, p)
         for side, rank in ((0, low), (1, high)):
             items.append(
                 F.struct(
@@ -56,7 +51,7 @@ def _wanted(total: Column, probs: Sequence[tuple[str, float]]) -> Column:
 
 def _holds_any(total: Column, probs: Sequence[tuple[str, float]], before: Column, n: Column) -> Column:
     """Whether the positions (before, before + n] hold a wanted rank; compiled, so tested first."""
-    ranks = [r for _, p in probs for r in type7_ranks(total, _at(p, total))[:2]]
+    ranks = [r for _, p in probs for r in type7_ranks(total, p)[:2]]
     return reduce(lambda a, b: a | b, [(r > before) & (r <= before + n) for r in ranks])
 
 

@@ -1,9 +1,9 @@
 """Straight-line quantile regression per group.
 
-Each step replaces the check loss by a weighted square and needs one aggregation of
-weighted moments.  After a number of steps the line is made exact: a best line runs
-through two points, so lines through the points nearest to the current one compete
-on the true loss, again by one aggregation.
+A best line runs through two of the points.  With one of them held fixed, the best
+slope is a weighted quantile of the slopes towards all other points, found from running
+weights.  The search holds one point of the current line, then the other, and stops
+when neither gives a smaller loss; for a line this is the exact optimum.
 """
 
 from __future__ import annotations
@@ -14,84 +14,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataguild.operators.joins import same_keys
-from strataguild.operators.quantiles import quantiles
+from strataguild.operators.order_stats import running
 from strataguild.session import measured, settle
 
-STEPS_PER_ROUND = 8
-NEAREST = 8
+MAX_STEPS = 200
+TOLERANCE = 1e-12
 
 
 def _loss(residual: Column, tau: Column) -> Column:
     return residual * F.when(residual >= 0, tau).otherwise(tau - 1.0)
 
 
-def _step(points: DataFrame, lines: DataFrame, keys: Sequence[str], eps: Column) -> DataFrame:
-    """One majorise-minimise step for all groups and taus at once."""
-    rows = same_keys(points, lines, keys)
-    r = F.col("_y") - F.col("_a") - F.col("_b") * F.col("_x")
-    w = F.col("_n") / (eps + F.abs(r))
-    push = (2.0 * F.col("tau") - 1.0) * F.col("_n")
-    m = rows.groupBy(*keys).agg(
-        F.sum(w).alias("w"),
-        F.sum(w * F.col("_x")).alias("wx"),
-        F.sum(w * F.col("_x") * F.col("_x")).alias("wxx"),
-        (F.sum(w * F.col("_y")) + F.sum(push)).alias("wy"),
-        (F.sum(w * F.col("_x") * F.col("_y")) + F.sum(push * F.col("_x"))).alias("wxy"),
-        F.first("_scale").alias("_scale"),
+def _turn(points: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best line through each group's held point, with its loss."""
+    rows = same_keys(points, state, keys)
+    dx = F.col("_x") - F.col("hx")
+    turned = rows.where(dx != 0).select(
+        *keys,
+        "_x",
+        "_y",
+        ((F.col("_y") - F.col("hy")) / dx).alias("_s"),
+        (F.col("_n") * F.abs(dx)).alias("_w"),
+        (F.col("_n") * F.abs(dx) * F.when(dx > 0, F.col("tau")).otherwise(1.0 - F.col("tau"))).alias("_wt"),
     )
-    det = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
-    slope = F.when(det > 0, (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / det).otherwise(0.0)
-    return m.select(
-        *keys, "_scale", slope.alias("_b"), ((F.col("wy") - slope * F.col("wx")) / F.col("w")).alias("_a")
+    placed = running(turned, keys, "_s", [("_before", "_w", "sum")], [("_goal", "_wt")], ties=["_x", "_y"])
+    reached = placed.where(F.col("_before") + F.col("_w") >= F.col("_goal") * (1 - TOLERANCE))
+    best = F.min(F.struct("_s", "_x", "_y"))
+    found = measured(reached.groupBy(*keys).agg(best.alias("_b")))
+    tried = same_keys(state, found, keys).select(
+        *keys,
+        *[F.col(c) for c in ("hx", "hy", "ox", "oy", "loss", "idle", "intercept", "slope")],
+        F.col("_b._x").alias("nx"),
+        F.col("_b._y").alias("ny"),
+        F.col("_b._s").alias("new_slope"),
+        (F.col("hy") - F.col("_b._s") * F.col("hx")).alias("new_intercept"),
     )
+    r = F.col("_y") - F.col("new_intercept") - F.col("new_slope") * F.col("_x")
+    cost = same_keys(points, tried, keys).groupBy(*keys).agg(F.sum(F.col("_n") * _loss(r, F.col("tau"))).alias("new_loss"))
+    return same_keys(tried, cost, keys)
 
 
-def _best_line(points: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best line, on the true loss, among those through pairs of the points nearest to each line."""
-    rows = same_keys(points, measured(lines), keys)
-    near = rows.withColumn("_d", F.abs(F.col("_y") - F.col("_a") - F.col("_b") * F.col("_x")))
-    limit = quantiles(near, keys, "_d", (("_cut", lambda n: F.least(F.lit(1.0), F.lit(NEAREST - 1.0) / F.greatest(n - 1, F.lit(1)))),))
-    close = same_keys(near, measured(limit.drop("n")), keys).where(F.col("_d") <= F.col("_cut") * (1 + 1e-12))
-    # Points are distinct, and only about NEAREST of them pass.
-    picked = close.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_x", "_y"))).alias("_p"),
-        F.first("_a").alias("_a"),
-        F.first("_b").alias("_b"),
-        F.first("_scale").alias("_scale"),
+def _choose(tried: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keep a better line and hold its new point; else hold the other point of the old line."""
+    better = F.col("loss").isNull() | (
+        F.col("new_loss") < F.col("loss") - TOLERANCE * F.greatest(F.abs("loss"), F.lit(1e-300))
     )
-    slope = lambda p, q: (q["_y"] - p["_y"]) / (q["_x"] - p["_x"])
-    through = F.flatten(
-        F.transform(
-            "_p",
-            lambda p: F.transform(
-                F.filter("_p", lambda q: q["_x"] > p["_x"]),
-                lambda q: F.struct((p["_y"] - slope(p, q) * p["_x"]).alias("a"), slope(p, q).alias("b")),
-            ),
-        )
-    )
-    own = F.array(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    trial = measured(picked.select(*keys, "_scale", F.concat(through, own).alias("_lines")))
-    scored = same_keys(points, trial, keys).select(*keys, "_scale", "_x", "_y", "_n", F.explode("_lines").alias("l"))
-    r = F.col("_y") - F.col("l.a") - F.col("l.b") * F.col("_x")
-    loss = scored.groupBy(*keys, "l").agg(
-        F.sum(F.col("_n") * _loss(r, F.col("tau"))).alias("_loss"), F.first("_scale").alias("_scale")
-    )
-    best = F.min(F.struct(F.round("_loss", 9).alias("v"), F.col("l.b").alias("b"), F.col("l.a").alias("a")))
-    return loss.groupBy(*keys).agg(best.alias("_r"), F.first("_scale").alias("_scale")).select(
-        *keys, "_scale", F.col("_r.b").alias("_b"), F.col("_r.a").alias("_a"), F.col("_r.v").alias("loss")
+    pick = lambda a, b, name: F.when(better, F.col(a)).otherwise(F.col(b)).alias(name)
+    return tried.select(
+        *keys,
+        pick("nx", "ox", "hx"),
+        pick("ny", "oy", "hy"),
+        F.col("hx").alias("ox"),
+        F.col("hy").alias("oy"),
+        pick("new_loss", "loss", "loss"),
+        F.when(better, 0).otherwise(F.col("idle") + 1).alias("idle"),
+        pick("new_intercept", "intercept", "intercept"),
+        pick("new_slope", "slope", "slope"),
     )
 
 
 def quantile_regression(
-    df: DataFrame,
-    x: str,
-    y: str,
-    taus: Sequence[float],
-    by: Sequence[str] = (),
-    rounds: int = 5,
-    polish: int = 2,
+    df: DataFrame, x: str, y: str, taus: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Intercept, slope and loss of the tau-quantile line of y on x, per group and tau."""
+    """Intercept, slope and loss of the tau-quantile line of y on x, per group and tau.
+
+    A group needs two different x values; groups without them are left out.
+    """
     by = list(by)
     keys = [*by, "tau"]
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -99,19 +87,26 @@ def quantile_regression(
         F.count(F.lit(1)).cast("double").alias("_n")
     )
     points = settle(base.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus]))))
-    lines = points.groupBy(*keys).agg(
-        (F.sum(F.col("_n") * F.col("_y")) / F.sum("_n")).alias("_a"),
-        F.lit(0.0).alias("_b"),
-        F.greatest(F.max("_y") - F.min("_y"), F.lit(1e-12)).alias("_scale"),
-    )
-    for i in range(rounds):
-        # The smoothing shrinks from round to round.
-        eps = F.col("_scale") * 10.0 ** (-2 - i)
-        lines = measured(lines)
-        for _ in range(STEPS_PER_ROUND):
-            lines = _step(points, lines, keys, eps)
-    for _ in range(polish):
-        lines = _best_line(points, lines.select(*keys, "_scale", "_a", "_b"), keys)
-    return lines.select(
-        *keys, F.col("_a").alias("intercept"), F.col("_b").alias("slope"), "loss"
+    nothing = F.lit(None).cast("double")
+    state = (
+        points.groupBy(*keys)
+        .agg(F.min(F.struct("_x", "_y")).alias("_p"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))
+        .where(F.col("_a") < F.col("_z"))
+        .select(
+            *keys,
+            F.col("_p._x").alias("hx"),
+            F.col("_p._y").alias("hy"),
+            nothing.alias("ox"),
+            nothing.alias("oy"),
+            nothing.alias("loss"),
+            F.lit(0).alias("idle"),
+            nothing.alias("intercept"),
+            nothing.alias("slope"),
+        )
     )
+    state = measured(state)
+    for _ in range(MAX_STEPS):
+        state = measured(_choose(_turn(points, state, keys), keys))
+        if state.where(F.col("idle") < 2).isEmpty():
+            return state.select(*keys, "intercept", "slope", "loss")
+    raise RuntimeError(f"no optimum after {MAX_STEPS} steps")

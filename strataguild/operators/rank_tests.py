@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from strataguild.functions.normal import two_sided_p
 from strataguild.functions.scalar import stars
@@ -89,7 +90,7 @@ def level_name(index: str, levels: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(x) for x in levels]), F.col(index))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def exact_rank_sum_p(na: pd.Series, nb: pd.Series, u: pd.Series) -> pd.Series:
     """Two-sided exact p of U for samples below 50 without ties; null elsewhere."""
     import numpy as np
