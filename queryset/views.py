@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataguild.functions.scalar import level_rank
 from strataguild.operators.reshape import death_year
@@ -18,6 +19,10 @@ YEARS = 50
 END = "2002-01-01"
 
 
+# Schemas already read from a table's footer, so that it is read once per process.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 class Tables:
     """Access to one folder of Parquet tables."""
 
@@ -27,7 +32,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def traits(self) -> DataFrame:
         """One measurement per row: species, guild, region, biome and ln mass."""

@@ -15,32 +15,46 @@ from pyspark.sql import functions as F
 PRIME = 2147483647
 
 
+def _fold(state: Column, key: Column) -> Column:
+    state = (state * 48271 + key.cast("bigint") % PRIME + 11) % PRIME
+    state = (state * state) % PRIME
+    return (state * 69621 + 7919) % PRIME
+
+
+def _finish(state: Column) -> Column:
+    return ((state * state) % PRIME * 16807 + 5) % PRIME
+
+
+def mix_state(cols: Sequence[Column], seed: int) -> Column:
+    """Fold whole-number columns into a state below 2^31 - 1."""
+    return reduce(_fold, cols, F.lit(seed % PRIME).cast("bigint"))
+
+
 def mix31(cols: Sequence[Column], seed: int = 0) -> Column:
     """Fold whole-number columns into [0, 2^31 - 1) with modular arithmetic.
 
     Only products below 2^62 appear, so any engine with 64-bit integers gives
     the same value.
     """
+    return _finish(mix_state(cols, seed))
 
-    def step(k: Column, c: Column) -> Column:
-        k = (k * 48271 + c.cast("bigint") % PRIME + 11) % PRIME
-        k = (k * k) % PRIME
-        return (k * 69621 + 7919) % PRIME
 
-    k = reduce(step, cols, F.lit(seed % PRIME).cast("bigint"))
-    k = (k * k) % PRIME
-    return (k * 16807 + 5) % PRIME
+def draw_states(keys: Sequence[Column], seed: int, rng: str) -> dict[str, Column]:
+    """Part of a draw that its work item shares, computed once per item.
 
-
-def draw_rank(keys: Sequence[Column], n: Column, seed: int, rng: str = "hash") -> Column:
-    """Whole number in 1..n for every distinct key.
-
-    ``rng="hash"`` hashes keys of any type; ``rng="mix"`` wants whole-number keys
-    and can be repeated by other SQL engines.
+    ``rng="hash"`` hashes keys of any type; ``rng="mix"`` wants whole-number keys and
+    can be repeated by other SQL engines.
     """
     if rng == "hash":
-        return F.pmod(F.xxhash64(F.lit(seed), *keys), n) + 1
+        return {"_s0": F.xxhash64(F.lit(seed), *keys)}
     if rng == "mix":
-        high, low = mix31(keys, seed), mix31(keys, seed + 1)
-        return (high * PRIME + low) % n + 1
+        return {"_s0": mix_state(keys, seed), "_s1": mix_state(keys, seed + 1)}
     raise ValueError(f"unknown rng {rng!r}")
+
+
+def draw_rank(draw: Column, n: Column, rng: str) -> Column:
+    """Whole number in 1..n for a numbered draw of an item with its states."""
+    if rng == "hash":
+        return F.pmod(F.xxhash64("_s0", draw), n) + 1
+    high, low = _finish(_fold(F.col("_s0"), draw)), _finish(_fold(F.col("_s1"), draw))
+    return (high * PRIME + low) % n + 1

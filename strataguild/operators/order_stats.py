@@ -9,18 +9,26 @@ values are counted before they are shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 12
+# A group is cut into about this many buckets per shuffle task and factor of two.
+BUCKETS_PER_TASK = 32
 # Ranks per lookup slice, and the most slices one group is cut into.
 SLICE_RANKS = 64
 MAX_SLICES = 1 << 22
 
 
-def order_bucket(value: Column, bits: int = BUCKET_BITS) -> Column:
+def bucket_bits(df: DataFrame) -> int:
+    """Bucket fineness that lets one group occupy every shuffle task of the cluster."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(20, max(6, math.ceil(math.log2(BUCKETS_PER_TASK * tasks))))
+
+
+def order_bucket(value: Column, bits: int) -> Column:
     """Bucket number that never decreases as the value grows.
 
     It is made of the binary exponent and the leading ``bits`` of the mantissa, so
@@ -56,7 +64,7 @@ def running(
     totals: Sequence[tuple[str, str]] = (),
     inclusive: bool = False,
     ties: Sequence[str] = (),
-    bits: int = BUCKET_BITS,
+    bits: int | None = None,
 ) -> DataFrame:
     """Add running aggregates along ``order`` inside each group.
 
@@ -66,7 +74,7 @@ def running(
     before.
     """
     agg = {"sum": F.sum, "max": F.max}
-    rows = df.withColumn("_bkt", order_bucket(F.col(order), bits))
+    rows = df.withColumn("_bkt", order_bucket(F.col(order), bits or bucket_bits(df)))
     # Totals per bucket, then run over the buckets of a group: a bounded list.
     per_bucket = rows.groupBy(*by, "_bkt").agg(
         *[agg[how](src).alias(f"_r{i}") for i, (_, src, how) in enumerate(specs)],
@@ -136,7 +144,9 @@ def values_at_ranks(
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
     marks = (
         positions.withColumn("_w", width)
-        .withColumn("_s", F.explode(F.sequence(F.floor(first / F.col("_w")), F.floor(last / F.col("_w")))))
+        .withColumn(
+            "_s", F.explode_outer(F.sequence(F.floor(first / F.col("_w")), F.floor(last / F.col("_w"))))
+        )
         .select(
             *by,
             "_s",

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataguild.operators.joins import same_keys
 from strataguild.operators.order_stats import (
+    bucket_bits,
     order_bucket,
     type7_ranks,
     value_histogram,
@@ -33,42 +33,15 @@ BOX_REACH = 1.5
 
 
 def _wanted(total: Column, probs: Sequence[tuple[str, float]]) -> Column:
-    """Array of (name, side, rank, weight) for all wanted order statistics."""
+    """Array of (key, rank) for the two order statistics around every quantile."""
     items = []
     for name, p in probs:
-        low, high, weight = type7_ranks(total, p)
-        for side, rank in ((0, low), (1, high)):
-            items.append(
-                F.struct(
-                    F.lit(name).alias("name"),
-                    F.lit(side).alias("side"),
-                    rank.alias("rank"),
-                    weight.cast("double").alias("weight"),
-                )
-            )
+        low, high, _ = type7_ranks(total, p)
+        for side, rank in (("low", low), ("high", high)):
+            items.append(F.struct(F.lit(f"{name}/{side}").alias("key"), rank.alias("rank")))
     return F.array(*items)
 
 
-def _holds_any(total: Column, probs: Sequence[tuple[str, float]], before: Column, n: Column) -> Column:
-    """Whether the positions (before, before + n] hold a wanted rank; compiled, so tested first."""
-    ranks = [r for _, p in probs for r in type7_ranks(total, p)[:2]]
-    return reduce(lambda a, b: a | b, [(r > before) & (r <= before + n) for r in ranks])
-
-
-def _interpolate(
-    picked: DataFrame, by: Sequence[str], value: str, probs: Sequence[tuple[str, float]], keep: Sequence[str]
-) -> DataFrame:
-    """Turn looked-up order statistics into one row of quantiles per group."""
-    out = []
-    for name, _ in probs:
-        mine = F.col("w.name") == name
-        low = F.max(F.when(mine & (F.col("w.side") == 0), F.col(value)))
-        high = F.max(F.when(mine & (F.col("w.side") == 1), F.col(value)))
-        weight = F.max(F.when(mine, F.col("w.weight")))
-        out.append((low + (high - low) * weight).cast("double").alias(name))
-    return picked.groupBy(*by).agg(*[F.max(c).alias(c) for c in keep], *out)
-
-
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -97,17 +70,12 @@ def quantiles(
         )
         return found.select(*by, "n", *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(probs)])
     if method == "histogram":
-        hist = with_positions(value_histogram(df, by, value, weight), by, value)
-        inside = lambda w: (w["rank"] > F.col("n_before")) & (w["rank"] <= F.col("n_before") + F.col("n"))
-        picked = hist.where(_holds_any(F.col("n_total"), probs, F.col("n_before"), F.col("n")))
-        picked = picked.withColumn("w", F.explode(F.filter(_wanted(F.col("n_total"), probs), inside)))
-        picked = picked.select(*by, F.col("n_total").alias("n"), value, "w")
-        return _interpolate(picked, by, value, probs, ["n"])
-    if method != "rescan":
+        df, weight = value_histogram(df, by, value, weight), "n"
+    elif method != "rescan":
         raise ValueError(f"unknown method {method!r}")
 
     count = F.sum(weight).cast("bigint") if weight else F.count(F.lit(1))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_bkt", order_bucket(F.col(value)))
+    rows = df.where(F.col(value).isNotNull()).withColumn("_bkt", order_bucket(F.col(value), bucket_bits(df)))
     buckets = rows.groupBy(*by, "_bkt").agg(count.alias("_n"))
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,23 +84,36 @@ def quantiles(
         "_bkt",
         "_n",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("n"),
+        F.sum("_n").over(group).alias("_total"),
     )
     inside = lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_n"))
-    wanted = placed.where(_holds_any(F.col("n"), probs, F.col("_before"), F.col("_n")))
-    wanted = wanted.withColumn("_want", F.filter(_wanted(F.col("n"), probs), inside))
-    wanted = measured(wanted.drop("_n"))
+    wanted = placed.withColumn("_want", F.filter(_wanted(F.col("_total"), probs), inside))
+    wanted = wanted.where(F.size("_want") > 0).drop("_n")
+    if method == "rescan":
+        # Counted before the second scan: broadcast if short, so that scan shuffles nothing.
+        wanted = measured(wanted)
 
     hits = same_keys(rows.select(*by, "_bkt", value, *([weight] if weight else [])), wanted, [*by, "_bkt"])
-    carried = ["_before", "n", "_want"]
-    fine = hits.groupBy(*by, "_bkt", value).agg(
-        count.alias("_c"), *[F.first(c).alias(c) for c in carried]
-    )
+    carried = ["_before", "_total", "_want"]
+    fine = hits.groupBy(*by, "_bkt", value).agg(count.alias("_c"), *[F.first(c).alias(c) for c in carried])
     local = Window.partitionBy(*by, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fine = fine.withColumn("_end", F.col("_before") + F.sum("_c").over(local))
     here = lambda w: (w["rank"] > F.col("_end") - F.col("_c")) & (w["rank"] <= F.col("_end"))
-    picked = fine.withColumn("w", F.explode(F.filter("_want", here)))
-    return _interpolate(picked, by, value, probs, ["n"])
+    picked = fine.select(*by, value, "_total", F.explode_outer(F.filter("_want", here)).alias("w"))
+    # Two entries per quantile and group.
+    found = (
+        picked.where(F.col("w").isNotNull())
+        .groupBy(*by)
+        .agg(
+            F.max("_total").alias("n"),
+            F.map_from_entries(F.collect_list(F.struct("w.key", value))).alias("_v"),
+        )
+    )
+    out = []
+    for name, p in probs:
+        low, high = F.col("_v")[f"{name}/low"], F.col("_v")[f"{name}/high"]
+        out.append((low + (high - low) * type7_ranks(F.col("n"), p)[2]).cast("double").alias(name))
+    return found.select(*by, "n", *out)
 
 
 def five_number(df: DataFrame, by: Sequence[str], value: str, method: str = "rescan") -> DataFrame:

@@ -16,6 +16,8 @@ from strataguild.operators.reshape import add_count_row, to_wide
 from strataguild.session import settle
 
 EXACT_BELOW = 50
+# Up to this many level pairs are written out as one compiled expression.
+COMPILED_PAIRS = 45
 
 
 def level_counts(
@@ -47,6 +49,8 @@ def pair_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], valu
     counts before ``ba``, ``bb`` and totals ``na``, ``nb``.
     """
     k = len(levels)
+    if k * (k - 1) // 2 <= COMPILED_PAIRS:
+        return _listed_terms(counts, k, by, value, pairs)
     arr = {x: F.array(*[F.col(f"{x}{i}") for i in range(k)]) for x in "cbt"}
     wide = counts.select(*by, value, arr["c"].alias("_c"), arr["b"].alias("_b"), arr["t"].alias("_t"))
     every = F.sequence(F.lit(0), F.lit(k - 1))
@@ -70,7 +74,8 @@ def pair_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], valu
         between = F.slice("_t", p["a"] + 2, p["b"] - p["a"] - 1)
         return both & ~F.exists(between, lambda n: n > 0)
 
-    out = wide.withColumn("_p", F.explode(F.filter(touched, wanted)))
+    # The outer form keeps the list from being computed again as an inferred filter.
+    out = wide.withColumn("_p", F.explode_outer(F.filter(touched, wanted))).where(F.col("_p").isNotNull())
     at = lambda col, side: F.get(col, F.col(f"_p.{side}"))
     return out.select(
         *by,
@@ -86,6 +91,25 @@ def pair_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], valu
     )
 
 
+def _listed_terms(counts: DataFrame, k: int, by: Sequence[str], value: str, pairs: str) -> DataFrame:
+    """The same for few levels, with every pair written out so that it compiles."""
+    items = []
+    for a in range(k):
+        for b in range(a + 1, k):
+            keep = (F.col(f"t{a}") > 0) & (F.col(f"t{b}") > 0) & (F.col(f"c{a}") + F.col(f"c{b}") > 0)
+            if pairs == "adjacent":
+                for mid in range(a + 1, b):
+                    keep = keep & (F.col(f"t{mid}") == 0)
+            cells = [F.lit(a).alias("ia"), F.lit(b).alias("ib"), keep.alias("keep")]
+            for x in "cbt":
+                to = {"c": "c", "b": "b", "t": "n"}[x]
+                cells += [F.col(f"{x}{a}").alias(f"{to}a"), F.col(f"{x}{b}").alias(f"{to}b")]
+            items.append(F.struct(*cells))
+    listed = counts.select(*by, value, F.explode(F.array(*items)).alias("_p"))
+    names = ["ia", "ib", "ca", "cb", "ba", "bb", "na", "nb"]
+    return listed.where(F.col("_p.keep")).select(*by, value, *[F.col(f"_p.{n}").alias(n) for n in names])
+
+
 def level_name(index: str, levels: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(x) for x in levels]), F.col(index))
 

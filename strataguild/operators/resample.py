@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataguild.functions.seeded import draw_rank
+from strataguild.functions.seeded import draw_rank, draw_states
 from strataguild.operators.order_stats import value_histogram, values_at_ranks, with_positions
 from strataguild.operators.quantiles import RESAMPLE, resample_summary
 from strataguild.operators.summaries import inverse_variance
@@ -34,16 +34,18 @@ def _numbered(df: DataFrame, name: str, last: Column) -> DataFrame:
 
 def _draws(items: DataFrame, by: Sequence[str], keys: Sequence[str], count: str, seed: int, rng: str) -> DataFrame:
     """One row per draw 1..count of every work item, with the rank it picks."""
-    blocks = items.withColumn(
+    states = draw_states([F.col(c) for c in (*by, *keys)], seed, rng)
+    # The shuffle that spreads the blocks also fixes the states.
+    blocks = items.withColumns(states).withColumn(
         "_b", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / DRAW_BLOCK)))
     )
     blocks = _spread(blocks, *by, *keys, "_b")
     start = F.col("_b") * DRAW_BLOCK
     draws = blocks.withColumn(
-        "draw", F.explode(F.sequence(start + 1, F.least(start + DRAW_BLOCK, F.col(count).cast("bigint"))))
+        "draw", F.explode_outer(F.sequence(start + 1, F.least(start + DRAW_BLOCK, F.col(count).cast("bigint"))))
     )
-    key_cols = [F.col(c) for c in (*by, *keys, "draw")]
-    return draws.withColumn("rank", draw_rank(key_cols, F.col("n_total"), seed, rng)).drop("_b", "draw")
+    ranked = draws.withColumn("rank", draw_rank(F.col("draw"), F.col("n_total"), rng))
+    return ranked.drop("_b", "draw", *states)
 
 
 def subsample(

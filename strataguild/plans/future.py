@@ -37,7 +37,7 @@ def pleistocene_pool(present: DataFrame, extinct: DataFrame) -> DataFrame:
 
 def present_pool(pool: DataFrame, present: DataFrame, excluded: Sequence[str] = EXTINCT_IN_WILD) -> DataFrame:
     kept = pool.join(present.select("name").distinct(), "name", "left_semi")
-    return kept.where(not_in_set(F.col("name"), excluded))
+    return kept.where(not_in_set(F.col("name").cast("string"), excluded))
 
 
 def snapshot(pool: DataFrame, label: str) -> DataFrame:
