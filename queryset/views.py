@@ -39,12 +39,13 @@ class Tables:
 
     def traits(self) -> DataFrame:
         """One measurement per row: species, guild, region, biome and ln mass."""
-        places = self.supplier.join(
-            F.broadcast(self.nation), F.col("s_nationkey") == F.col("n_nationkey")
-        ).join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey"))
+        # Part and supplier grow with the data, so their joins are left to the optimizer;
+        # nations and regions are fixed lists of 25 and 5 rows.
         return (
             self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
-            .join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(F.broadcast(self.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+            .join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(
                 F.col("l_partkey").alias("species"),
                 F.col("p_type").alias("guild"),

@@ -19,7 +19,7 @@ from strataguild.functions.seeded import mix31
 from strataguild.operators.joins import same_keys
 from strataguild.operators.order_stats import value_histogram, values_at_ranks, with_positions
 from strataguild.operators.quantiles import quantiles
-from strataguild.operators.rank_tests import level_counts, level_name, pair_terms
+from strataguild.operators.rank_tests import level_counts, level_name
 from strataguild.operators.reshape import stack_loose
 from strataguild.session import measured, settle
 
@@ -143,6 +143,11 @@ def pairwise_percentile_test(
     pairs: str = "all",
 ) -> DataFrame:
     """Share of r label permutations whose absolute difference reaches the observed one."""
+    if not by:
+        one = pairwise_percentile_test(
+            df.withColumn("_all", F.lit(1)), value, group, levels, ["_all"], tau, r, seed, pairs
+        )
+        return one.drop("_all")
     by = list(by)
     key = [*by, "ia", "ib"]
     observed = settle(percentile_differences(df, value, group, levels, by, tau, pairs))
@@ -173,19 +178,17 @@ def pairwise_percentile_test(
     spans = measured(asked.groupBy(*key).agg(F.min("rank").alias("_lo"), F.max("rank").alias("_hi")))
 
     counts = level_counts(df, value, group, levels, by)
-    terms = pair_terms(counts, levels, by, value, pairs)
-    pooled = terms.select(
-        *key,
-        value,
-        (F.col("ca") + F.col("cb")).alias("n"),
-        (F.col("ba") + F.col("bb")).alias("n_before"),
-        (F.col("na") + F.col("nb")).alias("n_total"),
-    )
+    arr = {x: F.array(*[F.col(f"{x}{i}") for i in range(len(levels))]) for x in "cbt"}
+    wide = counts.select(*by, value, *[a.alias(f"_{x}") for x, a in arr.items()])
+    both = lambda x: F.get(f"_{x}", F.col("ia")) + F.get(f"_{x}", F.col("ib"))
     # Only the stretch of pooled positions that some replicate asks for goes on.
-    near = same_keys(pooled, spans, key).where(
-        (F.col("n_before") < F.col("_hi")) & (F.col("n_before") + F.col("n") >= F.col("_lo"))
+    near = same_keys(wide, spans, by).where(
+        (both("c") > 0) & (both("b") < F.col("_hi")) & (both("b") + both("c") >= F.col("_lo"))
+    )
+    near = near.select(
+        *key, value, both("c").alias("n"), both("b").alias("n_before"), both("t").alias("n_total")
     )
-    found = values_at_ranks(near.drop("_lo", "_hi"), asked, key, value)
+    found = values_at_ranks(near, asked, key, value)
     role = lambda i: F.max(F.when(F.col("role") == i, F.col(value)))
     reps = same_keys(
         found.groupBy(*key, "rep").agg(*[role(i).alias(f"_v{i}") for i in range(4)]), observed, key

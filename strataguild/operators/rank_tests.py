@@ -16,8 +16,8 @@ from strataguild.operators.reshape import add_count_row, to_wide
 from strataguild.session import settle
 
 EXACT_BELOW = 50
-# Up to this many level pairs are written out as one compiled expression.
-COMPILED_PAIRS = 45
+# Up to this many levels, every pair gets aggregates of its own.
+LISTED_LEVELS = 8
 
 
 def level_counts(
@@ -49,8 +49,6 @@ def pair_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], valu
     counts before ``ba``, ``bb`` and totals ``na``, ``nb``.
     """
     k = len(levels)
-    if k * (k - 1) // 2 <= COMPILED_PAIRS:
-        return _listed_terms(counts, k, by, value, pairs)
     arr = {x: F.array(*[F.col(f"{x}{i}") for i in range(k)]) for x in "cbt"}
     wide = counts.select(*by, value, arr["c"].alias("_c"), arr["b"].alias("_b"), arr["t"].alias("_t"))
     every = F.sequence(F.lit(0), F.lit(k - 1))
@@ -91,23 +89,39 @@ def pair_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], valu
     )
 
 
-def _listed_terms(counts: DataFrame, k: int, by: Sequence[str], value: str, pairs: str) -> DataFrame:
-    """The same for few levels, with every pair written out so that it compiles."""
+def _sums_by_list(counts: DataFrame, k: int, by: Sequence[str], pairs: str) -> DataFrame:
+    """Pair sums for few levels: two aggregates per pair, then one row per pair."""
+    listed = [(a, b) for a in range(k) for b in range(a + 1, k)]
+    aggs = [f"max(t{i}) AS t{i}" for i in range(k)]
+    for a, b in listed:
+        t = f"double(c{a} + c{b})"
+        aggs.append(f"sum(double(c{a}) * (double(b{b}) + double(c{b}) / 2D)) AS u{a}_{b}")
+        aggs.append(f"sum({t} * {t} * {t} - {t}) AS x{a}_{b}")
+    wide = counts.groupBy(*by).agg(*[F.expr(a) for a in aggs])
     items = []
-    for a in range(k):
-        for b in range(a + 1, k):
-            keep = (F.col(f"t{a}") > 0) & (F.col(f"t{b}") > 0) & (F.col(f"c{a}") + F.col(f"c{b}") > 0)
-            if pairs == "adjacent":
-                for mid in range(a + 1, b):
-                    keep = keep & (F.col(f"t{mid}") == 0)
-            cells = [F.lit(a).alias("ia"), F.lit(b).alias("ib"), keep.alias("keep")]
-            for x in "cbt":
-                to = {"c": "c", "b": "b", "t": "n"}[x]
-                cells += [F.col(f"{x}{a}").alias(f"{to}a"), F.col(f"{x}{b}").alias(f"{to}b")]
-            items.append(F.struct(*cells))
-    listed = counts.select(*by, value, F.explode(F.array(*items)).alias("_p"))
-    names = ["ia", "ib", "ca", "cb", "ba", "bb", "na", "nb"]
-    return listed.where(F.col("_p.keep")).select(*by, value, *[F.col(f"_p.{n}").alias(n) for n in names])
+    for a, b in listed:
+        keep = f"t{a} > 0 AND t{b} > 0"
+        if pairs == "adjacent":
+            # Neighbours among the levels that occur in this partition.
+            keep += "".join(f" AND t{mid} = 0" for mid in range(a + 1, b))
+        items.append(
+            f"named_struct('keep', {keep}, 'ia', {a}, 'ib', {b}, 'n_a', t{a}, 'n_b', t{b},"
+            f" 'stat', u{a}_{b}, '_ties', x{a}_{b})"
+        )
+    return wide.select(*by, F.expr(f"inline(array({', '.join(items)}))")).where("keep").drop("keep")
+
+
+def _sums_by_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], value: str, pairs: str) -> DataFrame:
+    """Pair sums for many levels, from the pairs each value concerns."""
+    terms = pair_terms(counts, levels, by, value, pairs)
+    d = lambda name: F.col(name).cast("double")
+    t = d("ca") + d("cb")
+    return terms.groupBy(*by, "ia", "ib").agg(
+        F.max("na").alias("n_a"),
+        F.max("nb").alias("n_b"),
+        F.sum(d("ca") * (d("bb") + d("cb") / 2.0)).alias("stat"),
+        F.sum(t * t * t - t).alias("_ties"),
+    )
 
 
 def level_name(index: str, levels: Sequence[str]) -> Column:
@@ -169,15 +183,11 @@ def pairwise_rank_sum(
     """
     by = list(by)
     counts = level_counts(df, value, group, levels, by)
-    terms = pair_terms(counts, levels, by, value, pairs)
+    if len(levels) <= LISTED_LEVELS:
+        sums = _sums_by_list(counts, len(levels), by, pairs)
+    else:
+        sums = _sums_by_terms(counts, levels, by, value, pairs)
     d = lambda name: F.col(name).cast("double")
-    t = d("ca") + d("cb")
-    sums = terms.groupBy(*by, "ia", "ib").agg(
-        F.max("na").alias("n_a"),
-        F.max("nb").alias("n_b"),
-        F.sum(d("ca") * (d("bb") + d("cb") / 2.0)).alias("stat"),
-        F.sum(t * t * t - t).alias("_ties"),
-    )
     na, nb = d("n_a"), d("n_b")
     n = na + nb
     sigma = F.sqrt(na * nb / 12.0 * ((n + 1.0) - F.col("_ties") / (n * (n - 1.0))))

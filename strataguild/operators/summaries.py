@@ -11,6 +11,7 @@ from strataguild.functions.nulls import propagate
 from strataguild.functions.scalar import normal_interval, trunc
 from strataguild.operators.joins import same_keys
 from strataguild.operators.quantiles import quantiles
+from strataguild.session import measured
 
 
 def group_counts(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
@@ -133,7 +134,8 @@ def weighted_mean_var(df: DataFrame, by: Sequence[str], value: str, weight: Colu
     mean = rows.groupBy(*by).agg(
         (F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("wtd_mean"), F.sum("_w").alias("_sw")
     )
-    dev = same_keys(rows, mean, by)
+    # One row per group, counted before it is sent out, so the second scan shuffles nothing.
+    dev = same_keys(rows, measured(mean), by)
     spread = dev.groupBy(*by).agg(
         F.first("wtd_mean").alias("wtd_mean"),
         (F.sum(F.col("_w") * F.pow(F.col("_x") - F.col("wtd_mean"), 2)) / (F.first("_sw") - 1)).alias("wtd_var"),

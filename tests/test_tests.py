@@ -29,9 +29,9 @@ def sample(spark):
     return spark.createDataFrame(pdf).repartition(3).cache(), pdf
 
 
-@pytest.mark.parametrize("compiled", [45, 0])
-def test_rank_sum_matches_definition(sample, monkeypatch, compiled):
-    monkeypatch.setattr(RT, "COMPILED_PAIRS", compiled)
+@pytest.mark.parametrize("listed", [8, 0])
+def test_rank_sum_matches_definition(sample, monkeypatch, listed):
+    monkeypatch.setattr(RT, "LISTED_LEVELS", listed)
     df, pdf = sample
     got = RT.pairwise_rank_sum(df, "v", "g", list("abcd"), ["part"], "all").toPandas()
     assert len(got) == 6 + 3
@@ -46,9 +46,9 @@ def test_rank_sum_matches_definition(sample, monkeypatch, compiled):
         assert math.isclose(r.p, math.erfc(abs((c - np.sign(c) * 0.5) / sd) / math.sqrt(2)), rel_tol=1e-7)
 
 
-@pytest.mark.parametrize("compiled", [45, 0])
-def test_neighbours_skip_missing_levels(sample, monkeypatch, compiled):
-    monkeypatch.setattr(RT, "COMPILED_PAIRS", compiled)
+@pytest.mark.parametrize("listed", [8, 0])
+def test_neighbours_skip_missing_levels(sample, monkeypatch, listed):
+    monkeypatch.setattr(RT, "LISTED_LEVELS", listed)
     df, _ = sample
     got = RT.pairwise_rank_sum(df, "v", "g", list("abcd"), ["part"], "adjacent").collect()
     pairs = {(r["part"], r["group_a"], r["group_b"]) for r in got}
