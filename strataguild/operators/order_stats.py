@@ -68,49 +68,40 @@ def running(
 ) -> DataFrame:
     """Add running aggregates along ``order`` inside each group.
 
-    ``specs`` lists (new column, source column, "sum" or "max"); ``totals`` lists
-    (new column, source column) whose group sum is repeated on every row.  ``ties``
-    orders rows of equal ``order``.  Rows with a null ``order`` must be filtered out
-    before.
+    ``specs`` lists (new column, source column, "sum" or "max"), each with a source of
+    its own; ``totals`` lists (new column, source column) whose group sum is repeated on
+    every row.  ``ties`` orders rows of equal ``order``.  Rows with a null ``order``
+    must be filtered out before.
     """
     agg = {"sum": F.sum, "max": F.max}
     rows = df.withColumn("_bkt", order_bucket(F.col(order), bits or bucket_bits(df)))
     # Totals per bucket, then run over the buckets of a group: a bounded list.
     per_bucket = rows.groupBy(*by, "_bkt").agg(
-        *[agg[how](src).alias(f"_r{i}") for i, (_, src, how) in enumerate(specs)],
+        *[agg[how](src).alias(src) for _, src, how in specs],
         *[F.sum(src).alias(f"_t{i}") for i, (_, src) in enumerate(totals)],
     )
     over_buckets = Window.partitionBy(*by)
     earlier = over_buckets.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    # The carried-in totals lead each bucket as one extra row, so no join is needed.
     lead = per_bucket.select(
         *by,
         "_bkt",
-        *[agg[how](f"_r{i}").over(earlier).alias(f"_r{i}") for i, (_, _, how) in enumerate(specs)],
+        *[agg[how](src).over(earlier).alias(src) for _, src, how in specs],
         *[F.sum(f"_t{i}").over(over_buckets).alias(f"_t{i}") for i in range(len(totals))],
         F.lit(0).alias("_kind"),
     )
-    body = rows.select(
-        *df.columns,
-        "_bkt",
-        *[F.col(src).alias(f"_r{i}") for i, (_, src, _) in enumerate(specs)],
-        F.lit(1).alias("_kind"),
-    )
-    # The carried-in totals lead each bucket as one extra row, so no join is needed.
-    both = body.unionByName(lead, allowMissingColumns=True)
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(lead, allowMissingColumns=True)
     inside = Window.partitionBy(*by, "_bkt").orderBy("_kind", order, *ties)
     frame = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = {
+        name: F.coalesce(F.sum(src).over(frame), F.lit(0)) if how == "sum" else F.max(src).over(frame)
+        for name, src, how in specs
+    }
     out = both.select(
         *df.columns,
         "_kind",
-        *[
-            (
-                F.coalesce(agg[how](f"_r{i}").over(frame), F.lit(0))
-                if how == "sum"
-                else agg[how](f"_r{i}").over(frame)
-            ).alias(name)
-            for i, (name, _, how) in enumerate(specs)
-        ],
+        *[col.alias(name) for name, col in so_far.items()],
         *[F.max(f"_t{i}").over(upto).alias(name) for i, (name, _) in enumerate(totals)],
     )
     return out.where(F.col("_kind") == 1).drop("_kind")
@@ -173,10 +164,3 @@ def values_at_ranks(
         .where(F.col("_kind") == 1)
         .select(*by, *payload, value)
     )
-
-
-def type7_ranks(total: Column, p: float | Column) -> tuple[Column, Column, Column]:
-    """Lower rank, upper rank and weight of the upper one for the p-quantile."""
-    h = (total - 1) * p
-    low = F.floor(h) + 1
-    return low.cast("bigint"), F.least(low + 1, total).cast("bigint"), h - F.floor(h)

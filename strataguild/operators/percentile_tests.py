@@ -175,19 +175,21 @@ def pairwise_percentile_test(
             (F.col("_i") % 4).alias("role"),
         )
     )
-    spans = measured(asked.groupBy(*key).agg(F.min("rank").alias("_lo"), F.max("rank").alias("_hi")))
+    spans = measured(
+        asked.groupBy(*key).agg(
+            F.min("rank").alias("_lo"), F.max("rank").alias("_hi"), F.first("n_total").alias("n_total")
+        )
+    )
 
     counts = level_counts(df, value, group, levels, by)
-    arr = {x: F.array(*[F.col(f"{x}{i}") for i in range(len(levels))]) for x in "cbt"}
+    arr = {x: F.array(*[F.col(f"{x}{i}") for i in range(len(levels))]) for x in "cb"}
     wide = counts.select(*by, value, *[a.alias(f"_{x}") for x, a in arr.items()])
     both = lambda x: F.get(f"_{x}", F.col("ia")) + F.get(f"_{x}", F.col("ib"))
     # Only the stretch of pooled positions that some replicate asks for goes on.
     near = same_keys(wide, spans, by).where(
         (both("c") > 0) & (both("b") < F.col("_hi")) & (both("b") + both("c") >= F.col("_lo"))
     )
-    near = near.select(
-        *key, value, both("c").alias("n"), both("b").alias("n_before"), both("t").alias("n_total")
-    )
+    near = near.select(*key, value, both("c").alias("n"), both("b").alias("n_before"), "n_total")
     found = values_at_ranks(near, asked, key, value)
     role = lambda i: F.max(F.when(F.col("role") == i, F.col(value)))
     reps = same_keys(

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataguild.operators.joins import same_keys
 from strataguild.operators.order_stats import (
     bucket_bits,
     order_bucket,
-    type7_ranks,
     value_histogram,
     values_at_ranks,
     with_positions,
@@ -32,14 +31,20 @@ RESAMPLE = (
 BOX_REACH = 1.5
 
 
-def _wanted(total: Column, probs: Sequence[tuple[str, float]]) -> Column:
-    """Array of (key, rank) for the two order statistics around every quantile."""
+def _wanted(total: str, probs: Sequence[tuple[str, float]]) -> str:
+    """SQL array of (key, rank) for the two order statistics around every quantile."""
     items = []
     for name, p in probs:
-        low, high, _ = type7_ranks(total, p)
-        for side, rank in (("low", low), ("high", high)):
-            items.append(F.struct(F.lit(f"{name}/{side}").alias("key"), rank.alias("rank")))
-    return F.array(*items)
+        low = f"(cast(floor(({total} - 1) * {p!r}D) AS bigint) + 1)"
+        items.append(f"named_struct('key', '{name}/low', 'rank', {low})")
+        items.append(f"named_struct('key', '{name}/high', 'rank', least({low} + 1, {total}))")
+    return f"array({', '.join(items)})"
+
+
+def _may_hold(total: str, before: str, n: str, probs: Sequence[tuple[str, float]]) -> str:
+    """Cheap SQL test that lets through every bucket with a wanted rank, and few others."""
+    h, low, end = f"double({total} - 1)", f"double({before}) - 1D", f"double({before} + {n}) + 1D"
+    return " OR ".join(f"({h} * {p!r}D >= {low} AND {h} * {p!r}D < {end})" for _, p in probs)
 
 
 def quantiles(
@@ -69,6 +74,18 @@ def quantiles(
             total.alias("n"), F.percentile(F.col(value), *args).alias("_q")
         )
         return found.select(*by, "n", *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(probs)])
+    return interpolated(order_statistics(df, by, value, probs, method, weight), by, probs)
+
+
+def order_statistics(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probs: Sequence[tuple[str, float]],
+    method: str = "rescan",
+    weight: str | None = None,
+) -> DataFrame:
+    """Group size ``n`` and a map from "name/low" and "name/high" to the values at those ranks."""
     if method == "histogram":
         df, weight = value_histogram(df, by, value, weight), "n"
     elif method != "rescan":
@@ -87,7 +104,8 @@ def quantiles(
         F.sum("_n").over(group).alias("_total"),
     )
     inside = lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_n"))
-    wanted = placed.withColumn("_want", F.filter(_wanted(F.col("_total"), probs), inside))
+    likely = placed.where(_may_hold("_total", "_before", "_n", probs))
+    wanted = likely.withColumn("_want", F.filter(F.expr(_wanted("_total", probs)), inside))
     wanted = wanted.where(F.size("_want") > 0).drop("_n")
     if method == "rescan":
         # Counted before the second scan: broadcast if short, so that scan shuffles nothing.
@@ -101,7 +119,7 @@ def quantiles(
     here = lambda w: (w["rank"] > F.col("_end") - F.col("_c")) & (w["rank"] <= F.col("_end"))
     picked = fine.select(*by, value, "_total", F.explode_outer(F.filter("_want", here)).alias("w"))
     # Two entries per quantile and group.
-    found = (
+    return (
         picked.where(F.col("w").isNotNull())
         .groupBy(*by)
         .agg(
@@ -109,10 +127,14 @@ def quantiles(
             F.map_from_entries(F.collect_list(F.struct("w.key", value))).alias("_v"),
         )
     )
+
+
+def interpolated(found: DataFrame, by: Sequence[str], probs: Sequence[tuple[str, float]]) -> DataFrame:
+    """Quantile columns from the map of order statistics."""
     out = []
     for name, p in probs:
-        low, high = F.col("_v")[f"{name}/low"], F.col("_v")[f"{name}/high"]
-        out.append((low + (high - low) * type7_ranks(F.col("n"), p)[2]).cast("double").alias(name))
+        low, high, h = f"_v['{name}/low']", f"_v['{name}/high']", f"((n - 1) * {p!r}D)"
+        out.append(F.expr(f"double({low} + ({high} - {low}) * ({h} - floor({h})))").alias(name))
     return found.select(*by, "n", *out)
 
 
@@ -120,39 +142,19 @@ def five_number(df: DataFrame, by: Sequence[str], value: str, method: str = "res
     return quantiles(df, by, value, FIVE, method)
 
 
-def resample_summary(
-    df: DataFrame, by: Sequence[str], value: str, method: str, weight: str | None = None
-) -> DataFrame:
+def resample_summary(df: DataFrame, by: Sequence[str], value: str, method: str = "rescan") -> DataFrame:
     """Seven quantiles, mean ``avg`` and standard deviation ``stddev`` per group."""
-    q = quantiles(df, by, value, RESAMPLE, method, weight)
-    w = F.col(weight) if weight else F.lit(1)
-    # Centred on the group's own median: moments stay accurate far from zero.
-    if weight is None and method == "builtin":
+    moments = [F.avg(value).alias("avg"), F.stddev_samp(value).alias("stddev")]
+    if method == "builtin":
         probs = F.array(*[F.lit(p) for _, p in RESAMPLE])
         one = df.groupBy(*by).agg(
-            F.count(value).alias("n"),
-            F.percentile(F.col(value), probs).alias("_q"),
-            F.avg(value).alias("avg"),
-            F.stddev_samp(value).alias("stddev"),
+            F.count(value).alias("n"), F.percentile(F.col(value), probs).alias("_q"), *moments
         )
         return one.select(
             *by, "n", *[F.col("_q")[i].alias(name) for i, (name, _) in enumerate(RESAMPLE)], "avg", "stddev"
         )
-    if weight is None:
-        moments = df.groupBy(*by).agg(F.avg(value).alias("avg"), F.stddev_samp(value).alias("stddev"))
-    else:
-        sums = df.groupBy(*by).agg(
-            F.sum(w).alias("_w"),
-            F.sum(w * F.col(value)).alias("_wx"),
-            F.sum(w * F.col(value) * F.col(value)).alias("_wxx"),
-        )
-        var = (F.col("_wxx") - F.col("_wx") * F.col("_wx") / F.col("_w")) / (F.col("_w") - 1)
-        moments = sums.select(
-            *by,
-            (F.col("_wx") / F.col("_w")).alias("avg"),
-            F.when(F.col("_w") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("stddev"),
-        )
-    return same_keys(q, moments, by)
+    q = quantiles(df, by, value, RESAMPLE, method)
+    return same_keys(q, df.groupBy(*by).agg(*moments), by)
 
 
 def central_interval(df: DataFrame, by: Sequence[str], value: str, method: str = "rescan") -> DataFrame:

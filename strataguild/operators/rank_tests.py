@@ -16,17 +16,19 @@ from strataguild.operators.reshape import add_count_row, to_wide
 from strataguild.session import settle
 
 EXACT_BELOW = 50
+# Rows of a counted table of tests that one task may hold.
+SHORT_TABLE = 100_000
 # Up to this many levels, every pair gets aggregates of its own.
 LISTED_LEVELS = 8
 
 
 def level_counts(
-    df: DataFrame, value: str, group: str, levels: Sequence[str], by: Sequence[str]
+    df: DataFrame, value: str, group: str, levels: Sequence[str], by: Sequence[str], totals: bool = False
 ) -> DataFrame:
     """Distinct values of each partition with one count per level and counts before them.
 
-    Columns: ``by``, value, ``c0..ck`` counts, ``b0..bk`` counts of smaller values and
-    ``t0..tk`` partition totals.
+    Columns: ``by``, value, ``c0..ck`` counts, ``b0..bk`` counts of smaller values and,
+    where asked for, ``t0..tk`` partition totals.
     """
     known = df.where(F.col(value).isNotNull() & F.col(group).isin(list(levels)))
     hist = known.groupBy(*by, value).agg(
@@ -38,7 +40,7 @@ def level_counts(
         by,
         value,
         [(f"b{i}", f"c{i}", "sum") for i in k],
-        [(f"t{i}", f"c{i}") for i in k],
+        [(f"t{i}", f"c{i}") for i in k] if totals else [],
     )
 
 
@@ -92,7 +94,7 @@ def pair_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], valu
 def _sums_by_list(counts: DataFrame, k: int, by: Sequence[str], pairs: str) -> DataFrame:
     """Pair sums for few levels: two aggregates per pair, then one row per pair."""
     listed = [(a, b) for a in range(k) for b in range(a + 1, k)]
-    aggs = [f"max(t{i}) AS t{i}" for i in range(k)]
+    aggs = [f"sum(c{i}) AS t{i}" for i in range(k)]
     for a, b in listed:
         t = f"double(c{a} + c{b})"
         aggs.append(f"sum(double(c{a}) * (double(b{b}) + double(c{b}) / 2D)) AS u{a}_{b}")
@@ -182,8 +184,9 @@ def pairwise_rank_sum(
     uses the exact law where both sizes are below 50 and values are untied.
     """
     by = list(by)
-    counts = level_counts(df, value, group, levels, by)
-    if len(levels) <= LISTED_LEVELS:
+    listed = len(levels) <= LISTED_LEVELS
+    counts = level_counts(df, value, group, levels, by, totals=not listed)
+    if listed:
         sums = _sums_by_list(counts, len(levels), by, pairs)
     else:
         sums = _sums_by_terms(counts, levels, by, value, pairs)
@@ -217,10 +220,17 @@ def p_adjust(df: DataFrame, p: str = "p", family: Sequence[str] = (), name: str
     """Holm step-down adjustment within each family; null p-values do not count."""
     # A table of tests is short and costly to compute, so it is computed once.
     df = settle(df)
-    rows = df.where(F.col(p).isNotNull()).withColumn("_one", F.lit(1))
-    ranked = running(rows, family, p, [("_before", "_one", "sum")], [("_m", "_one")])
-    scored = ranked.withColumn("_score", (F.col("_m") - F.col("_before")) * F.col(p))
-    stepped = running(scored, family, p, [("_top", "_score", "max")], inclusive=True)
+    known = df.where(F.col(p).isNotNull())
+    if df.limit(SHORT_TABLE + 1).count() <= SHORT_TABLE:
+        # Counted and short: a family fits in one task.
+        place = Window.partitionBy(*family)
+        upto = place.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        score = (F.count(F.lit(1)).over(place) - F.count(F.lit(1)).over(upto) + 1) * F.col(p)
+        stepped = known.withColumn("_score", score).withColumn("_top", F.max("_score").over(upto))
+    else:
+        ranked = running(known.withColumn("_one", F.lit(1)), family, p, [("_before", "_one", "sum")], [("_m", "_one")])
+        scored = ranked.withColumn("_score", (F.col("_m") - F.col("_before")) * F.col(p))
+        stepped = running(scored, family, p, [("_top", "_score", "max")], inclusive=True)
     done = stepped.withColumn(name, F.least(F.lit(1.0), F.col("_top")))
     nulls = df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
     return done.select(*df.columns, name).unionByName(nulls)

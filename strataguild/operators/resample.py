@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataguild.functions.seeded import draw_rank, draw_states
+from strataguild.operators.joins import same_keys
 from strataguild.operators.order_stats import value_histogram, values_at_ranks, with_positions
-from strataguild.operators.quantiles import RESAMPLE, resample_summary
+from strataguild.operators.quantiles import RESAMPLE, interpolated, order_statistics, resample_summary
 from strataguild.operators.summaries import inverse_variance
+from strataguild.session import settle
 
 DRAW_BLOCK = 1 << 16
 # Trims used when averaging each statistic over replicates.
@@ -80,15 +82,31 @@ def bootstrap(
     seed: int = 1234,
     rng: str = "hash",
 ) -> DataFrame:
-    """Summary of ``reps`` resamples of each group at its full size ``species``."""
+    """Summary of ``reps`` resamples of each group at its full size ``species``.
+
+    Values rise with their positions, so the quantiles of a resample sit at order
+    statistics of its drawn positions; only the moments need the value of every draw.
+    """
     pos = with_positions(value_histogram(df, by, value), by, value)
     sized = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"))
-    items = _numbered(sized, "rep", F.lit(reps)).withColumn("species", F.col("n_total"))
+    items = _numbered(settle(sized), "rep", F.lit(reps)).withColumn("species", F.col("n_total"))
     draws = _draws(items, by, ["rep"], "n_total", seed, rng)
-    drawn = values_at_ranks(pos, draws, by, value)
-    counted = value_histogram(drawn, [*by, "species", "rep"], value).withColumnRenamed("n", "times")
-    out = resample_summary(counted, [*by, "species", "rep"], value, "histogram", weight="times")
-    return out.drop("n")
+    keys = [*by, "species", "rep"]
+    moments = (
+        values_at_ranks(pos, draws, by, value)
+        .groupBy(*keys)
+        .agg(F.avg(value).alias("avg"), F.stddev_samp(value).alias("stddev"))
+    )
+    places = order_statistics(draws, keys, "rank", RESAMPLE)
+    asked = places.select(
+        *keys, F.col("n").alias("n_total"), F.explode("_v").alias("_key", "rank")
+    )
+    found = values_at_ranks(pos, asked, by, value)
+    found = found.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("_key", value))).alias("_v")
+    )
+    summary = interpolated(found.withColumn("n", F.col("species")), keys, RESAMPLE).drop("n")
+    return same_keys(summary, moments, keys)
 
 
 def _trimmed(ordered: Column, trim: float) -> Column:

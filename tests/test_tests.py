@@ -68,7 +68,9 @@ def test_exact_law_for_small_untied_samples(spark):
     assert RT.pairwise_rank_sum(tied, "v", "g", ["x", "y"]).first()["p"] != got["p"]
 
 
-def test_holm_is_monotone_and_ignores_nulls(spark):
+@pytest.mark.parametrize("short", [100_000, 0])
+def test_holm_is_monotone_and_ignores_nulls(spark, monkeypatch, short):
+    monkeypatch.setattr(RT, "SHORT_TABLE", short)
     ps = [0.01, 0.04, 0.03, 0.005, 0.5, None, 0.04]
     df = spark.createDataFrame(list(enumerate(ps)), "k int, p double")
     got = {r["k"]: r["p_adj"] for r in RT.p_adjust(df).collect()}
