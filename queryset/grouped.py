@@ -135,6 +135,31 @@ def rates_of_change(t):
     return fossil.rates_of_change(ranges(t))
 
 
+# Four of the six labels read as guilds; rates are per year, so they are shown in millionths.
+AS_GUILD = """CASE guild WHEN 'ECONOMY' THEN 'herbivore' WHEN 'SMALL' THEN 'omnivore' WHEN 'MEDIUM' THEN 'invertivore'
+  WHEN 'LARGE' THEN 'carnivore' ELSE 'none' END"""
+LIMITS = f"""pts AS (SELECT {AS_GUILD} AS guild, log10(length) AS x, rate * 1000000 AS y FROM rated
+    WHERE time = 'pleis' AND guild IN ('ECONOMY', 'SMALL', 'MEDIUM', 'LARGE')),
+  lines AS (SELECT DISTINCT a.guild, (a.y - (b.y - a.y) / (b.x - a.x) * a.x) AS a, (b.y - a.y) / (b.x - a.x) AS b
+    FROM pts a JOIN pts b ON a.guild = b.guild AND a.x < b.x),
+  scored AS (SELECT l.guild, tau, l.a, l.b, round(sum((y - l.a - l.b * x) * (CASE WHEN y - l.a - l.b * x >= -1e-9 THEN tau ELSE tau - 1 END)), 9) AS loss
+    FROM lines l JOIN pts USING (guild) CROSS JOIN (VALUES (0.025::DOUBLE), (0.975::DOUBLE)) AS k(tau) GROUP BY ALL)"""
+
+
+@query(
+    "rate_limits",
+    "guild:s tau:c intercept:c slope:c loss:c",
+    """SELECT guild, tau, arg_min(a, (loss, b)) AS intercept, arg_min(b, (loss, b)) AS slope, min(loss) AS loss
+       FROM scored GROUP BY guild, tau""",
+    f"{TRAITS}, {RANGES}, {RATES}, {LIMITS}",
+)
+def rate_limits(t):
+    """Quantile lines of past rates on log event length, per guild."""
+    rates = fossil.rates_of_change(ranges(t)).withColumn("guild", F.expr(AS_GUILD))
+    lines = fossil.rate_limits(rates)
+    return lines.withColumns({c: F.col(c) * 1e6 for c in ("intercept", "slope", "loss")})
+
+
 @query(
     "trimmed_means",
     "guild:s trim:c trimmed_mean:d",

@@ -146,7 +146,7 @@ def among_region_percentile(t):
 
 QR_POINTS = """pts AS (SELECT o_orderpriority AS priority, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS x,
     avg(o_totalprice) / 1000 AS y FROM orders GROUP BY ALL),
-  lines AS (SELECT a.priority, (a.y - (b.y - a.y) / (b.x - a.x) * a.x) AS a, (b.y - a.y) / (b.x - a.x) AS b
+  lines AS (SELECT DISTINCT a.priority, (a.y - (b.y - a.y) / (b.x - a.x) * a.x) AS a, (b.y - a.y) / (b.x - a.x) AS b
     FROM pts a JOIN pts b ON a.priority = b.priority AND a.x < b.x),
   scored AS (SELECT l.priority, tau, l.a, l.b, round(sum((y - l.a - l.b * x) * (CASE WHEN y - l.a - l.b * x >= 0 THEN tau ELSE tau - 1 END)), 9) AS loss
     FROM lines l JOIN pts USING (priority) CROSS JOIN (VALUES (0.03::DOUBLE), (0.97::DOUBLE)) AS k(tau) GROUP BY ALL)"""

@@ -107,3 +107,32 @@ def test_rates_table(spark):
     assert r["diff"] == pytest.approx(-0.3) and r["length"] == 11500 and r["rate"] == pytest.approx(-0.3 / 11500)
     assert got["herbivore", "SA", "future"]["length"] == 500
     assert min(x["corr_rate"] for x in got.values()) == 0
+
+
+def test_resampling_sensitivity_ranges(spark):
+    rows = [("b", g, float((i * 37) % 11) + k) for k, g in enumerate(("h", "o")) for i in range(60)]
+    df = spark.createDataFrame(rows, "bin string, guild string, value double")
+    sub, boot = fossil.resampling_sensitivity(df, ["bin", "guild"], "value", (5, 30), 20, 20)
+    got = sub.collect()
+    assert len(got) == 4 and {r["sample"] for r in got} == {5, 30} and all(r["species"] == 60 for r in got)
+    for r in [*got, *boot.collect()]:
+        assert r["raw_low"] < r["raw_mean"] < r["raw_upp"] and r["wtd_low"] < r["wtd_mean"] < r["wtd_upp"]
+        assert r["y0"] <= r["y5"] <= r["y25"] <= r["y50"] <= r["y75"] <= r["y95"] <= r["y100"]
+
+
+def test_taxon_tests_keep_neighbours_adjusted_within_taxon(spark):
+    rows = [("T", g, k + ((i * 53) % 97) / 10) for k, g in enumerate("abc") for i in range(60)]
+    df = spark.createDataFrame(rows, "tax string, guild string, value double")
+    medians = living.taxon_tests(df, ["a", "b", "c"]).collect()
+    upper = living.taxon_percentile_tests(df, ["a", "b", "c"], r=300).collect()
+    for got in (medians, upper):
+        assert {(r["group_a"], r["group_b"]) for r in got} == {("a", "b"), ("b", "c")}
+        assert all(r["p"] <= r["p_adj"] <= 3 * r["p"] + 1e-12 for r in got)
+
+
+def test_percentile_test_without_partition(spark):
+    from strataguild.operators.percentile_tests import pairwise_percentile_test
+
+    df = spark.createDataFrame([(g, float(i * (k + 1))) for k, g in enumerate("ab") for i in range(80)], "g string, v double")
+    r = pairwise_percentile_test(df, "v", "g", ["a", "b"], r=200).collect()
+    assert len(r) == 1 and r[0]["p"] < 0.05 and r[0]["n_a"] == 80
