@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataguild.operators.joins import same_keys
@@ -18,6 +18,7 @@ from strataguild.operators.order_stats import running
 from strataguild.session import measured, settle
 
 MAX_STEPS = 200
+SHORT_TABLE = 100_000
 TOLERANCE = 1e-12
 
 
@@ -25,7 +26,7 @@ def _loss(residual: Column, tau: Column) -> Column:
     return residual * F.when(residual >= 0, tau).otherwise(tau - 1.0)
 
 
-def _turn(points: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _turn(points: DataFrame, state: DataFrame, keys: Sequence[str], short: bool) -> DataFrame:
     """Best line through each group's held point, with its loss."""
     rows = same_keys(points, state, keys)
     dx = F.col("_x") - F.col("hx")
@@ -37,10 +38,20 @@ def _turn(points: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame
         (F.col("_n") * F.abs(dx)).alias("_w"),
         (F.col("_n") * F.abs(dx) * F.when(dx > 0, F.col("tau")).otherwise(1.0 - F.col("tau"))).alias("_wt"),
     )
-    placed = running(turned, keys, "_s", [("_before", "_w", "sum")], [("_goal", "_wt")], ties=["_x", "_y"])
+    if short:
+        group = Window.partitionBy(*keys)
+        earlier = group.orderBy("_s", "_x", "_y").rowsBetween(Window.unboundedPreceding, -1)
+        placed = turned.withColumns(
+            {
+                "_before": F.coalesce(F.sum("_w").over(earlier), F.lit(0.0)),
+                "_goal": F.sum("_wt").over(group),
+            }
+        )
+    else:
+        placed = running(turned, keys, "_s", [("_before", "_w", "sum")], [("_goal", "_wt")], ties=["_x", "_y"])
     reached = placed.where(F.col("_before") + F.col("_w") >= F.col("_goal") * (1 - TOLERANCE))
     best = F.min(F.struct("_s", "_x", "_y"))
-    found = measured(reached.groupBy(*keys).agg(best.alias("_b")))
+    found = reached.groupBy(*keys).agg(best.alias("_b"))
     tried = same_keys(state, found, keys).select(
         *keys,
         *[F.col(c) for c in ("hx", "hy", "ox", "oy", "loss", "idle", "intercept", "slope")],
@@ -105,8 +116,10 @@ def quantile_regression(
         )
     )
     state = measured(state)
+    # Counted: a short table of points needs no spreading inside its groups.
+    short = points.limit(SHORT_TABLE + 1).count() <= SHORT_TABLE
     for _ in range(MAX_STEPS):
-        state = measured(_choose(_turn(points, state, keys), keys))
+        state = measured(_choose(_turn(points, state, keys, short), keys))
         if state.where(F.col("idle") < 2).isEmpty():
             return state.select(*keys, "intercept", "slope", "loss")
     raise RuntimeError(f"no optimum after {MAX_STEPS} steps")

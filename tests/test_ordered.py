@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataguild.operators import order_stats as O
 from strataguild.operators import quantiles as Q
+from strataguild.operators import quantreg
 from strataguild.operators import summaries as S
 from strataguild.operators.density import density
 from strataguild.operators.quantreg import quantile_regression
@@ -120,7 +121,9 @@ def test_density_integrates_to_one(skewed):
     assert 0.9 < area < 1.01
 
 
-def test_quantile_line_is_optimal(spark):
+@pytest.mark.parametrize("short", [100_000, 0])
+def test_quantile_line_is_optimal(spark, monkeypatch, short):
+    monkeypatch.setattr(quantreg, "SHORT_TABLE", short)
     rng = np.random.default_rng(3)
     x = rng.integers(0, 15, 60).astype(float)
     y = 1 + 0.5 * x + rng.normal(0, 2, 60)
