@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataguild.llm import decontaminate, langid, mixing, simhash, urls
+from strataguild.llm import decontaminate, langid, mixing, quality, simhash, urls
 from strataguild.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op1_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language")
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(read(spark, sf_dir, "documents"))
