@@ -144,6 +144,11 @@ def point_of(steps: list[list[float]], momentum: list[float], p: Column) -> Colu
     return F.aggregate(moves, start, move)
 
 
+def alike(scored: DataFrame) -> DataFrame:
+    """One row for all documents with equal posteriors, with their tokens: they share a rate, so nothing is lost."""
+    return settle(scored.groupBy("posteriors").agg(F.sum("n_tokens").alias("n_tokens")))
+
+
 def fit_rates(
     scored: DataFrame, targets: dict[str, float], rounds: int = 40, tolerance: float = 1e-4
 ) -> tuple[list[list[float]], list[float]]:
@@ -192,7 +197,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         "doc_id", F.col("mix.n").alias("n_tokens"), model.posteriors(F.col("mix")).alias("posteriors")
     )
     scored = settle(scored)
-    steps, momentum = fit_rates(scored, targets or TARGETS)
+    steps, momentum = fit_rates(alike(scored), targets or TARGETS)
     return scored.withColumn("rate", point_of(steps, momentum, F.col("posteriors"))["r"])
 
 
@@ -202,9 +207,8 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     Copies of a row are equal in all columns.  The rows are scored again where they are, so texts are not shuffled.
     """
     model = fit_classifier(docs, labels)
-    score = lambda keep: _with_words(docs, keep)
-    scored = settle(score([]).select(F.col("mix.n").alias("n_tokens"), model.posteriors(F.col("mix")).alias("posteriors")))
-    steps, momentum = fit_rates(scored, targets or TARGETS)
+    scored = _with_words(docs, []).select(F.col("mix.n").alias("n_tokens"), model.posteriors(F.col("mix")).alias("posteriors"))
+    steps, momentum = fit_rates(alike(scored), targets or TARGETS)
     names = [f"kept_{i}" for i in range(len(docs.columns))]
     packed = docs.select(F.col("text"), F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("mix_row"))
     whole = _with_words(packed, ["mix_row"]).select("mix_row", model.posteriors(F.col("mix")).alias("mix_p"))
