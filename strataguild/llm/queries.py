@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataguild.llm import decontaminate, html, langid, licenses, mixing, quality, simhash, urls
+from strataguild.llm import decontaminate, html, langid, licenses, mixing, quality, simhash, tokens, urls
 from strataguild.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_main_text")
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("op6_token_ids")
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.store_ids(read(spark, sf_dir, "documents"))
