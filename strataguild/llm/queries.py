@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataguild.llm import decontaminate, html, langid, licenses, mixing, quality, simhash, tokens, urls
+from strataguild.llm import decontaminate, html, langid, licenses, mixing, quality, simhash, substrings, tokens, urls
 from strataguild.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,12 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_ids")
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.store_ids(read(spark, sf_dir, "documents"))
+
+
+@query("op7_repeats")
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(read(spark, sf_dir, "documents"), texts=False)
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256")
+    )
