@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataguild.llm.common import map_batches
+from strataguild.llm.common import map_batches, settle
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
+#: Documents of a language that a model is fitted on, about (all of a language with fewer), and languages at most.
+PER_LANG = 2500
+MAX_LANGS = 400
 #: Entries that a model may have: words, and n-grams of each length.  They bound what is sent to the executors.
 MAX_WORDS = 60_000
 MAX_GRAMS = 20_000
@@ -125,16 +128,28 @@ class Model:
         return self.langs[best], float(1.0 / math.fsum(share))
 
 
-def fit(docs: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Learn from all rows with text and lang.  Counts cover every row; of words and of n-grams of each length the
-    most frequent are kept (``max_words``, ``max_grams``; ties by text), so the model has a bounded size."""
-    counts = count_grams(docs).persist()
-    totals = [tuple(r) for r in counts.groupBy("lang", "n").agg(F.sum("total")).toLocalIterator()]
+def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """``lang, text`` of about ``per_lang`` documents of each of the ``MAX_LANGS`` most frequent languages, chosen by a
+    hash of the id, so that it is the same sample every time."""
+    known = docs.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not counts:
+        return known.select("lang", "text").limit(0)
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["n"])))])
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    return known.where(place < F.element_at(share, F.col("lang"))).select("lang", "text")
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+    """Learn from a bounded sample of the rows with text and lang; of words and of n-grams of each length the most
+    frequent are kept (``max_words``, ``max_grams``; ties by text), so the model has a bounded size."""
+    counts = settle(count_grams(sample(docs, per_lang)))
+    totals = [tuple(r) for r in counts.groupBy("lang", "n").agg(F.sum("total")).collect()]
     rows = []
     for n in range(LONGEST + 1):
-        top = counts.where(F.col("n") == n).orderBy(F.desc("total"), "gram", "lang").limit(max_grams if n else max_words)
+        # What a sample gives is bounded too, so a few tasks can look for the top.
+        top = counts.where(F.col("n") == n).coalesce(4).orderBy(F.desc("total"), "gram", "lang").limit(max_grams if n else max_words)
         rows += [tuple(r) for r in top.collect()]
-    counts.unpersist()
     return Model(rows, totals)
 
 
@@ -160,14 +175,14 @@ def identify(docs: DataFrame) -> DataFrame:
     (an empty table, no lang at all).  Ties go to the first language by name.  Repeated rows are judged one by one;
     other columns are ignored; only the text is an input of a prediction.
     """
-    model = fit(docs.where(~held_out()).select("text", "lang"))
+    model = fit(docs.where(~held_out()))
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
     return predict(rows, model, ["doc_id", "held_out"])
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a posterior of ``least`` or more; columns as they are."""
-    model = fit(docs.where(~held_out()).select("text", "lang"))
+    model = fit(docs.where(~held_out()))
     sent, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     body = "body"
     while body in columns:
