@@ -201,14 +201,24 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return scored.withColumn("rate", point_of(steps, momentum, F.col("posteriors"))["r"])
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def shares_without(scored: DataFrame, unwanted: tuple[str, ...]) -> dict[str, float]:
+    """The domains' own shares of all tokens once the unwanted domains have none and the others fill their place."""
+    t = F.col("n_tokens").cast("double")
+    row = scored.agg(*[F.sum(t * F.get("posteriors", F.lit(i))) for i in range(len(DOMAINS))]).first()
+    wanted = {d: x or 0.0 for d, x in zip(DOMAINS, row, strict=True) if d not in unwanted}
+    return {d: x / (sum(wanted.values()) or 1.0) for d, x in wanted.items()}
+
+
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, unwanted: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with every row as often as its rate says, rounded to whole copies (at least one from a rate of 0.5 on).
 
-    Copies of a row are equal in all columns.  The rows are scored again where they are, so texts are not shuffled.
+    Without ``targets`` these are the domains' own shares without the ``unwanted`` ones.  Copies of a row are equal in
+    all columns.  The rows are scored again where they are, so texts are not shuffled.  Edge cases as in ``mix``.
     """
     model = fit_classifier(docs, labels)
     scored = _with_words(docs, []).select(F.col("mix.n").alias("n_tokens"), model.posteriors(F.col("mix")).alias("posteriors"))
-    steps, momentum = fit_rates(alike(scored), targets or TARGETS)
+    scored = alike(scored)
+    steps, momentum = fit_rates(scored, targets or shares_without(scored, unwanted))
     names = [f"kept_{i}" for i in range(len(docs.columns))]
     packed = docs.select(F.col("text"), F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("mix_row"))
     whole = _with_words(packed, ["mix_row"]).select("mix_row", model.posteriors(F.col("mix")).alias("mix_p"))
