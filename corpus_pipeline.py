@@ -30,8 +30,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixing rates say, with no weight for the toxic domains."""
-    return mixing.apply_mix(docs, read(spark, sf_dir, "labels"), unwanted=("good_toxic", "poor_toxic"))
+    """Documents whose mixing rate rounds to one or more, with no weight for the toxic domains; no new copies."""
+    return mixing.apply_mix(docs, read(spark, sf_dir, "labels"), unwanted=("good_toxic", "poor_toxic"), most=1)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

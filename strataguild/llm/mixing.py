@@ -50,17 +50,28 @@ class Classifier:
     found: tuple[list[float], ...] = ((), ())
     bins: dict[int, list[float]] = field(default_factory=dict)
 
-    def posteriors(self, mix: Column) -> Column:
-        """Array of the probabilities of ``DOMAINS`` for a ``mix`` column."""
+    def code(self, mix: Column) -> Column:
+        """All that the classifier sees of a document in one number: telling words of both traits, then the bins."""
+        poor, toxic = (telling(mix, w) if w else F.lit(0) for w in self.words)
+        parts = [(poor, 1), (toxic, 8), (mix["bins"][0], 64), (mix["bins"][1] - 10, 1024), (mix["bins"][2] - 20, 16384)]
+        total = F.lit(0).cast("long")
+        for part, weight in parts:
+            total = total + part * weight
+        return F.coalesce(total, F.lit(0).cast("long"))
+
+    def posteriors(self, code: Column) -> Column:
+        """Array of the probabilities of ``DOMAINS`` for a document's code."""
+        digit = lambda at, bits: F.shiftright(code, at).bitwiseAND(F.lit(2**bits - 1)).cast("int")
+        bins = [digit(6, 4), digit(10, 4) + 10, digit(14, 6) + 20]
 
         def odds(k: int) -> Column:
             total = F.lit(self.bias[k])
             if self.words[k]:
-                weights = F.array(*[F.lit(x) for x in self.found[k]])
-                total += F.get(weights, telling(mix, self.words[k]))
+                total += F.get(F.array(*[F.lit(x) for x in self.found[k]]), digit(3 * k, 3))
             if self.bins:
-                bins = F.array(*[F.lit(self.bins.get(b, [0.0, 0.0])[k]) for b in range(max(self.bins) + 1)])
-                total += F.aggregate(mix["bins"], F.lit(0.0), lambda acc, b: acc + F.coalesce(F.get(bins, b), F.lit(0.0)))
+                table = F.array(*[F.lit(self.bins.get(b, [0.0, 0.0])[k]) for b in range(max(self.bins) + 1)])
+                for b in bins:
+                    total += F.coalesce(F.get(table, b), F.lit(0.0))
             return 1 / (1 + F.exp(-total))
 
         p, t = odds(0), odds(1)
@@ -127,12 +138,9 @@ def point_of(steps: list[list[float]], momentum: list[float], p: Column) -> Colu
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not steps:
         return start
-    moves = F.array(
-        *[
-            F.struct(F.array(*[F.lit(float(x)) for x in c]).alias("c"), F.lit(float(m)).alias("m"))
-            for c, m in zip(steps, momentum, strict=True)
-        ]
-    )
+    # As SQL text: a literal is cheap to read there, and a column for each number is not.
+    listed = [f"struct(array({', '.join(f'{x!r}D' for x in c)}) AS c, {m!r}D AS m)" for c, m in zip(steps, momentum, strict=True)]
+    moves = F.expr(f"array({', '.join(listed)})")
 
     def move(acc: Column, s: Column) -> Column:
         slope = F.lit(0.0)
@@ -144,13 +152,17 @@ def point_of(steps: list[list[float]], momentum: list[float], p: Column) -> Colu
     return F.aggregate(moves, start, move)
 
 
-def alike(scored: DataFrame) -> DataFrame:
-    """One row for all documents with equal posteriors, with their tokens: they share a rate, so nothing is lost."""
-    return settle(scored.groupBy("posteriors").agg(F.sum("n_tokens").alias("n_tokens")))
+def alike(scored: DataFrame, model: Classifier) -> DataFrame:
+    """``code, n_tokens, posteriors``: one row for all documents with the same code.
+
+    They share posteriors and rate, so nothing is lost.  There are fewer than 2 ** 20 codes.
+    """
+    sums = scored.groupBy("code").agg(F.sum("n_tokens").alias("n_tokens"))
+    return settle(sums.withColumn("posteriors", model.posteriors(F.col("code"))))
 
 
 def fit_rates(
-    scored: DataFrame, targets: dict[str, float], rounds: int = 40, tolerance: float = 1e-4
+    scored: DataFrame, targets: dict[str, float], rounds: int = 30, tolerance: float = 1e-4
 ) -> tuple[list[list[float]], list[float]]:
     """Steps of accelerated projected-gradient least squares for ``scored`` (``n_tokens``, ``posteriors``).
 
@@ -175,10 +187,10 @@ def fit_rates(
         at = scored.select("n_tokens", "posteriors", point_of(steps, momentum, p).alias("at"))
         row = at.agg(*[F.sum(F.col(f"at.{x}") * t * part[i]) for x in "ry" for i in range(k)]).first()
         left = [row[i] / size - goal[i] for i in range(k)]
-        if max(map(abs, left)) < tolerance or last and max(abs(a - b) for a, b in zip(left, last, strict=True)) < tolerance / 20:
+        if max(map(abs, left)) < tolerance or last and max(abs(a - b) for a, b in zip(left, last, strict=True)) < tolerance / 5:
             break
         last = left
-        steps.append([step * (row[k + i] / size - goal[i]) for i in range(k)])
+        steps.append([float(step * (row[k + i] / size - goal[i])) for i in range(k)])
         faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
         momentum.append((speed - 1) / faster)
         speed = faster
@@ -193,12 +205,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     repeated rows are weighed one by one; other columns are ignored; without rows or tokens all rates are 1.
     """
     model = fit_classifier(docs, labels)
-    scored = _with_words(docs, ["doc_id"]).select(
-        "doc_id", F.col("mix.n").alias("n_tokens"), model.posteriors(F.col("mix")).alias("posteriors")
-    )
-    scored = settle(scored)
-    steps, momentum = fit_rates(alike(scored), targets or TARGETS)
-    return scored.withColumn("rate", point_of(steps, momentum, F.col("posteriors"))["r"])
+    scored = settle(_with_words(docs, ["doc_id"]).select("doc_id", F.col("mix.n").alias("n_tokens"), model.code(F.col("mix")).alias("code")))
+    table = alike(scored, model)
+    steps, momentum = fit_rates(table, targets or TARGETS)
+    rates = table.select("code", "posteriors", point_of(steps, momentum, F.col("posteriors"))["r"].alias("rate"))
+    return scored.join(F.broadcast(rates), "code").select("doc_id", "n_tokens", "posteriors", "rate")  # fewer than 2 ** 20 rows
 
 
 def shares_without(scored: DataFrame, unwanted: tuple[str, ...]) -> dict[str, float]:
@@ -209,20 +220,23 @@ def shares_without(scored: DataFrame, unwanted: tuple[str, ...]) -> dict[str, fl
     return {d: x / (sum(wanted.values()) or 1.0) for d, x in wanted.items()}
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, unwanted: tuple[str, ...] = ()) -> DataFrame:
+def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, unwanted: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
     """``docs`` with every row as often as its rate says, rounded to whole copies (at least one from a rate of 0.5 on).
 
-    Without ``targets`` these are the domains' own shares without the ``unwanted`` ones.  Copies of a row are equal in
+    Without ``targets`` these are the domains' own shares without the ``unwanted`` ones.  ``most`` bounds the copies of
+    a row, for a corpus that shall not have the same text twice.  Copies of a row are equal in
     all columns.  The rows are scored again where they are, so texts are not shuffled.  Edge cases as in ``mix``.
     """
     model = fit_classifier(docs, labels)
-    scored = _with_words(docs, []).select(F.col("mix.n").alias("n_tokens"), model.posteriors(F.col("mix")).alias("posteriors"))
-    scored = alike(scored)
-    steps, momentum = fit_rates(scored, targets or shares_without(scored, unwanted))
+    scored = _with_words(docs, []).select(F.col("mix.n").alias("n_tokens"), model.code(F.col("mix")).alias("code"))
+    table = alike(scored, model)
+    steps, momentum = fit_rates(table, targets or shares_without(table, unwanted))
+    copies = F.round(point_of(steps, momentum, F.col("posteriors"))["r"]).cast("int")
+    copies = F.least(copies, F.lit(most)) if most is not None else copies
+    wanted = settle(table.select("code", copies.alias("mix_copies"))).where("mix_copies > 0")
     names = [f"kept_{i}" for i in range(len(docs.columns))]
     packed = docs.select(F.col("text"), F.struct(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)]).alias("mix_row"))
-    whole = _with_words(packed, ["mix_row"]).select("mix_row", model.posteriors(F.col("mix")).alias("mix_p"))
-    copies = F.round(point_of(steps, momentum, F.col("mix_p"))["r"]).cast("int")
-    rows = whole.select("mix_row", copies.alias("mix_copies")).where("mix_copies > 0")
+    coded = _with_words(packed, ["mix_row"]).select("mix_row", model.code(F.col("mix")).alias("code"))
+    rows = coded.join(F.broadcast(wanted), "code")  # fewer than 2 ** 20 rows
     many = rows.select("mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     return many.select(*[F.col(f"mix_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
