@@ -180,8 +180,8 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, model, ["doc_id", "held_out"])
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a posterior of ``least`` or more; columns as they are."""
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, with a posterior of ``least`` or more; columns as they are."""
     model = fit(docs.where(~held_out()))
     sent, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     body = "body"

@@ -50,7 +50,7 @@ def words(text: Column) -> Column:
     Lower-casing all letters keeps the places of words; the one other letter whose small form is a plain ASCII letter
     (the Kelvin sign) is replaced first, so that it matches no template.
     """
-    safe = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("ā")))
+    safe = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u0101")))
     return F.array_remove(F.split(safe, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
