@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ from strataguild.llm.common import raw_text
 LENGTH = 50
 GRAM = 24
 #: Text bytes of a chunk, and different strings of a key beyond which its windows are dealt out one by one.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
 SPLIT = 50_000
+#: Windows that a bucket sorts at a time; the windows of one key stay together.
+SORTED = 400_000
 #: Bytes that multikey quicksort compares before blind tries take over.
 SHALLOW = 24
 _U = np.uint64
@@ -240,7 +243,7 @@ def send_strings(table: pa.Table, reply: pa.Table, buckets: int, length: int) ->
             out["chunk"].append(_chunk_of(table))
             out["sizes"].append(np.fromiter(map(len, own), np.uint32, len(own)).tobytes())
             out["least"].append(least[part].tobytes())
-            out["strings"].append(b"".join(own))
+            out["strings"].append(zstandard.compress(b"".join(own), 1))
     return _batch(out, STRINGS)
 
 
@@ -353,7 +356,7 @@ def settle_strings(table: pa.Table, length: int) -> pa.Table:
     least: list[int] = []
     sent: list[tuple[int, list[int], list[int]]] = []
     for chunk, sizes, mins, strings in zip(*(table.column(c).to_pylist() for c in ("chunk", "sizes", "least", "strings")), strict=True):
-        own, own_least, at = [], np.frombuffer(mins, np.int64).tolist(), 0
+        own, own_least, at, strings = [], np.frombuffer(mins, np.int64).tolist(), 0, zstandard.decompress(strings)
         for size, low in zip(np.frombuffer(sizes, np.uint32).tolist(), own_least, strict=True):
             string = strings[at : at + size]
             at += size
@@ -371,22 +374,28 @@ def settle_strings(table: pa.Table, length: int) -> pa.Table:
     key = window_keys(data, length)[start]
     _, group, times = np.unique(key, return_inverse=True, return_counts=True)
     many = np.flatnonzero(times[group] > 1)
-    windows = size[many] - length + 1
-    of = np.repeat(many, windows)
-    step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    many = many[np.argsort(group[many], kind="stable")]
     low = np.array(least, np.int64)
-    window_low = low[of]
+    windows = size[many] - length + 1
     changed: dict[int, np.ndarray] = {}
-    first = dict(zip(many.tolist(), (np.cumsum(windows) - windows).tolist(), strict=True))
-    for members in equal_windows(data, start[of] + step, group[of], length):
-        value = min(window_low[members].tolist())
-        for i in members:
-            if window_low[i] > value:
-                n = int(of[i])
-                if n not in changed:
-                    f = first[n]
-                    changed[n] = window_low[f : f + int(size[n]) - length + 1].copy()
-                changed[n][step[i]] = value
+    # Slices of whole keys: a cut is where the windows so far pass a multiple and the key changes.
+    turn = np.flatnonzero(np.diff(group[many])) + 1
+    slices = np.searchsorted(np.cumsum(windows), np.arange(SORTED, windows.sum() + SORTED, SORTED))
+    cuts = np.unique(turn[np.minimum(np.searchsorted(turn, slices), len(turn) - 1)]) if len(turn) else []
+    for part in np.split(many, cuts):
+        count = size[part] - length + 1
+        first = np.cumsum(count) - count
+        of = np.repeat(np.arange(len(part)), count)
+        step = np.arange(count.sum()) - first[of]
+        window_low = low[part[of]]
+        for members in equal_windows(data, start[part[of]] + step, group[part[of]], length):
+            value = min(window_low[members].tolist())
+            for i in members:
+                if window_low[i] > value:
+                    n, f = int(part[of[i]]), first[of[i]]
+                    if n not in changed:
+                        changed[n] = window_low[f : f + count[of[i]]].copy()
+                    changed[n][step[i]] = value
     out: dict[str, list] = {k: [] for k in REPLY}
     for chunk, own, own_least in sent:
         even, even_low, odd = [], [], []
