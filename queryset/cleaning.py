@@ -333,9 +333,10 @@ def unpivot_pivot_totals(t):
 )
 def events_from_matrix(t):
     """One time column per run, turned into long events; missing cells are survivors."""
-    cells = [F.min(F.when(F.col("run") == i, F.col("t"))).alias(f"sim_{i}") for i in range(1, 8)]
+    runs = sorted(r["run"] for r in t.runs().collect())  # one column each, so their number is that of a table's columns
+    cells = [F.min(F.when(F.col("run") == i, F.col("t"))).alias(f"sim_{i}") for i in runs]
     matrix = t.deaths().groupBy("name").agg(*cells)
-    return reshape.events_from_matrix(matrix, "name", [f"sim_{i}" for i in range(1, 8)])
+    return reshape.events_from_matrix(matrix, "name", [f"sim_{i}" for i in runs])
 
 
 @query(

@@ -233,7 +233,7 @@ FIVE_KEY = ", ".join(f"({c}, '{a}')" for c, _, a in FIVE_GUILD_KEY)
     f"""SELECT *, estimate / std_error AS statistic, estimate - 1.96::DOUBLE * std_error AS low, estimate + 1.96::DOUBLE * std_error AS upp FROM (
          SELECT class, diet_abbr, count(*) AS n, avg(log10_body_mass_median) AS estimate, stddev_samp(log10_body_mass_median) / sqrt(count(*)) AS std_error
          FROM (SELECT m.*, {CODE} AS code, realm FROM mem m LEFT JOIN tr USING (binomial)) JOIN (VALUES {FIVE_KEY}) AS k(code, diet_abbr) USING (code)
-         WHERE realm = 'terrestrial' GROUP BY ALL)""",
+         JOIN (VALUES {NAMED}) AS b(biome, biome_name) USING (biome) WHERE realm = 'terrestrial' GROUP BY ALL)""",
     LIVING,
 )
 def older_group_means(t):

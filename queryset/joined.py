@@ -75,7 +75,7 @@ def semi(t):
     DEATHS,
 )
 def survivors_per_run(t):
-    return J.survivors(J.per_run(t.pool(), 7), t.deaths())
+    return J.survivors(J.per_run(t.pool(), t.runs()), t.deaths())
 
 
 @query(

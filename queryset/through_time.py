@@ -38,14 +38,16 @@ def survivor_boxstats(t):
     "boxes_through_time",
     f"guild:s time:s {NAMES}",
     f"""SELECT guild, 'Pleistocene' AS time, {FIVE} FROM pool GROUP BY guild
-        UNION ALL SELECT guild, 'Present', {FIVE} FROM pool WHERE name IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) GROUP BY guild
+        UNION ALL SELECT guild, 'Present', {FIVE} FROM present GROUP BY guild
         UNION ALL SELECT guild, 'Future', avg(y0), avg(y25), avg(y50), avg(y75), avg(y100) FROM states GROUP BY guild""",
-    END_STATES,
+    f"""{DEATHS}, present AS (SELECT * FROM pool WHERE name IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)),
+    states AS (SELECT run, guild, {FIVE} FROM runs CROSS JOIN present
+      WHERE NOT EXISTS (SELECT 1 FROM deaths d WHERE d.run = runs.run AND d.name = present.name) GROUP BY ALL)""",
 )
 def boxes_through_time(t):
     living = t.lineitem.where(F.col("l_quantity") == 50).select(F.col("l_partkey").alias("name"))
     present = future.present_pool(t.pool(), living)
-    return future.through_time(t.pool(), present, future.end_states(t.pool(), t.deaths(), t.runs()))
+    return future.through_time(t.pool(), present, future.end_states(present, t.deaths(), t.runs()))
 
 
 @query("trajectory_median", "run:i guild:s year:i stat:d stat_e:d", "SELECT *, exp(stat) AS stat_e FROM traj", dense(0.5))
@@ -96,11 +98,12 @@ def trajectory_change(t):
     "trajectory_change_limit",
     "limit:d",
     f"""SELECT greatest(abs(min(low_ci)), abs(max(upp_ci))) * 1.01::DOUBLE AS "limit" FROM (SELECT {CHANGED} FROM summary JOIN start USING (guild))""",
-    dense(0.5),
+    dense(0.9),
 )
 def trajectory_change_limit(t):
-    start = future.year_zero(t.pool())
-    return future.change_limit(future.trajectory_change(future.trajectory_summary(run(t, 0.5), start), start))
+    """The limit of the plots comes from the 90th percentile."""
+    start = future.year_zero(t.pool(), 0.9)
+    return future.change_limit(future.trajectory_change(future.trajectory_summary(run(t, 0.9), start), start))
 
 
 @query(

@@ -25,8 +25,9 @@ def percent_change(col: Column, base: Column) -> Column:
 
 
 def parse_number(col: Column) -> Column:
-    """First number inside a text, such as ``110`` in ``110 cm``."""
-    return F.regexp_extract(col, r"(-?[0-9]+\.?[0-9]*)", 1).try_cast("double")
+    """First number inside a text, such as ``110`` in ``110 cm``; commas between digits group thousands."""
+    found = F.regexp_extract(col, r"(-?(?:[0-9][0-9,]*(?:\.[0-9]*)?|\.[0-9]+))", 1)
+    return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
 
 
 def _any_null(cols: Sequence[Column]) -> Column:

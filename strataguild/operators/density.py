@@ -19,7 +19,8 @@ def density(
 ) -> DataFrame:
     """Density of each group at ``n_grid`` points from its smallest to its largest value.
 
-    The bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5).  Values are first counted in
+    The bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5); a constant group takes the size of
+    its value in place of the spread, or 1 if that is zero.  Values are first counted in
     ``n_bins`` equal bins and stand at their bin centre, so the kernel sum costs grid x
     bins per group however many rows it has.
     """
@@ -35,7 +36,8 @@ def density(
         F.stddev_samp(value).alias("_sd"),
     )
     iqr = (F.col("_q3") - F.col("_q1")) / 1.34
-    spread = F.when(F.least("_sd", iqr) > 0, F.least("_sd", iqr)).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    spread = F.when(F.least("_sd", iqr) > 0, F.least("_sd", iqr)).when(F.col("_sd") > 0, F.col("_sd"))
+    spread = spread.when(F.col("_lo") != 0, F.abs("_lo")).otherwise(1.0)
     shape = measured(
         same_keys(base, q, keys).select(
             *keys, "_n", "_lo", "_hi", (0.9 * spread * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("bw")

@@ -89,9 +89,10 @@ def present_only(df: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFr
     return df.join(present.select(*on), list(on), "left_semi")
 
 
-def per_run(pool: DataFrame, n_runs: int) -> DataFrame:
-    """Every pool row once for each run 1..n_runs."""
-    return pool.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n_runs))))
+def per_run(pool: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every pool row once for each run of ``runs``."""
+    listed = runs.select("run").distinct().agg(F.array_sort(F.collect_set("run")).alias("_runs"))
+    return pool.withColumn("run", F.explode(F.lit(listed.scalar())))
 
 
 def survivors(members: DataFrame, dead: DataFrame, name: str = "name") -> DataFrame:
@@ -107,4 +108,4 @@ def alive_in_year(pool: DataFrame, dead: DataFrame, year: int, name: str = "name
 
 def against_baseline(df: DataFrame, baseline: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows with the baseline of their group next to them."""
-    return df.join(baseline, list(on), "left")
+    return same_keys(df, baseline, list(on), "left")

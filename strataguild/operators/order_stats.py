@@ -1,10 +1,9 @@
 """Ordered work inside groups of any size.
 
-A value is mapped to a bucket number that keeps its order and depends on nothing
-but the value.  Running totals inside a group are then taken in two steps: totals
-per bucket, run over the bounded list of buckets, and rows inside one bucket.  A
-group that holds most of the data is spread over thousands of buckets, and equal
-values are counted before they are shuffled.
+Running totals inside a group are taken in two steps: totals per bucket, run over the list
+of buckets, and rows inside one bucket.  Buckets are the parts of a range partitioning, so
+they are even whatever the values look like; equal values are counted before they are
+shuffled.
 """
 
 from __future__ import annotations
@@ -15,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataguild.session import settle
+
 # A group is cut into about this many buckets per shuffle task and factor of two.
 BUCKETS_PER_TASK = 32
 # Ranks per lookup slice, and the most slices one group is cut into.
@@ -64,7 +65,6 @@ def running(
     totals: Sequence[tuple[str, str]] = (),
     inclusive: bool = False,
     ties: Sequence[str] = (),
-    bits: int | None = None,
 ) -> DataFrame:
     """Add running aggregates along ``order`` inside each group.
 
@@ -72,10 +72,15 @@ def running(
     its own; ``totals`` lists (new column, source column) whose group sum is repeated on
     every row.  ``ties`` orders rows of equal ``order``.  Rows with a null ``order``
     must be filtered out before.
+
+    A bucket is what a group has in one part of a range partitioning: its bounds come
+    from a sample of the data, so buckets are even whatever the values look like, and a
+    group has one bucket per part at most.
     """
     agg = {"sum": F.sum, "max": F.max}
-    rows = df.withColumn("_bkt", order_bucket(F.col(order), bits or bucket_bits(df)))
-    # Totals per bucket, then run over the buckets of a group: a bounded list.
+    # Kept, because a second run of the same plan could draw other bounds.
+    rows = settle(df.repartitionByRange(*by, order, *ties).withColumn("_bkt", F.spark_partition_id()))
+    # Totals per bucket, then run over the buckets of a group: a list as long as there are parts.
     per_bucket = rows.groupBy(*by, "_bkt").agg(
         *[agg[how](src).alias(src) for _, src, how in specs],
         *[F.sum(src).alias(f"_t{i}") for i, (_, src) in enumerate(totals)],

@@ -1,33 +1,37 @@
 """Straight-line quantile regression per group.
 
-A best line runs through two of the points.  With one of them held fixed, the best
-slope is a weighted quantile of the slopes towards all other points, found from running
-weights.  The search holds one point of the current line, then the other, and stops
-when neither gives a smaller loss; for a line this is the exact optimum.
+A best line runs through two of the points.  From a line, every turn about one of the
+points on it is judged by the slope of the loss; as the loss is convex and its kinks at
+the line are the turns about these points, the line is best if none of them goes down.
+Else the line turns about the steepest of these points to the best slope, a weighted
+quantile of the slopes towards all other points.  Every turn lowers the loss and there
+are only so many lines through two points, so the search ends at the optimum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataguild.operators.joins import same_keys
 from strataguild.operators.order_stats import running
-from strataguild.session import measured, settle
+from strataguild.session import settle
 
-MAX_STEPS = 200
-SHORT_TABLE = 100_000
 TOLERANCE = 1e-12
+# Points this close to a line, against the size of their values, are on it.
+ON_LINE = 1e-9
+# Weighted least-squares fits that seek the first pivot; they set the time, not the result.
+START_FITS = 8
 
 
 def _loss(residual: Column, tau: Column) -> Column:
     return residual * F.when(residual >= 0, tau).otherwise(tau - 1.0)
 
 
-def _turn(points: DataFrame, state: DataFrame, keys: Sequence[str], short: bool) -> DataFrame:
-    """Best line through each group's held point, with its loss."""
+def _turn(points: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best line through each group's pivot (``hx``, ``hy``), with its loss, beside the line so far."""
     rows = same_keys(points, state, keys)
     dx = F.col("_x") - F.col("hx")
     turned = rows.where(dx != 0).select(
@@ -38,50 +42,62 @@ def _turn(points: DataFrame, state: DataFrame, keys: Sequence[str], short: bool)
         (F.col("_n") * F.abs(dx)).alias("_w"),
         (F.col("_n") * F.abs(dx) * F.when(dx > 0, F.col("tau")).otherwise(1.0 - F.col("tau"))).alias("_wt"),
     )
-    if short:
-        group = Window.partitionBy(*keys)
-        earlier = group.orderBy("_s", "_x", "_y").rowsBetween(Window.unboundedPreceding, -1)
-        placed = turned.withColumns(
-            {
-                "_before": F.coalesce(F.sum("_w").over(earlier), F.lit(0.0)),
-                "_goal": F.sum("_wt").over(group),
-            }
-        )
-    else:
-        placed = running(turned, keys, "_s", [("_before", "_w", "sum")], [("_goal", "_wt")], ties=["_x", "_y"])
+    placed = running(turned, keys, "_s", [("_before", "_w", "sum")], [("_goal", "_wt")], ties=["_x", "_y"])
     reached = placed.where(F.col("_before") + F.col("_w") >= F.col("_goal") * (1 - TOLERANCE))
-    best = F.min(F.struct("_s", "_x", "_y"))
-    found = reached.groupBy(*keys).agg(best.alias("_b"))
-    tried = same_keys(state, found, keys).select(
-        *keys,
-        *[F.col(c) for c in ("hx", "hy", "ox", "oy", "loss", "idle", "intercept", "slope")],
-        F.col("_b._x").alias("nx"),
-        F.col("_b._y").alias("ny"),
-        F.col("_b._s").alias("new_slope"),
-        (F.col("hy") - F.col("_b._s") * F.col("hx")).alias("new_intercept"),
-    )
+    found = reached.groupBy(*keys).agg(F.min("_s").alias("new_slope"))
+    tried = same_keys(state, found, keys).withColumn("new_intercept", F.col("hy") - F.col("new_slope") * F.col("hx"))
     r = F.col("_y") - F.col("new_intercept") - F.col("new_slope") * F.col("_x")
     cost = same_keys(points, tried, keys).groupBy(*keys).agg(F.sum(F.col("_n") * _loss(r, F.col("tau"))).alias("new_loss"))
     return same_keys(tried, cost, keys)
 
 
-def _choose(tried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keep a better line and hold its new point; else hold the other point of the old line."""
-    better = F.col("loss").isNull() | (
-        F.col("new_loss") < F.col("loss") - TOLERANCE * F.greatest(F.abs("loss"), F.lit(1e-300))
-    )
-    pick = lambda a, b, name: F.when(better, F.col(a)).otherwise(F.col(b)).alias(name)
-    return tried.select(
-        *keys,
-        pick("nx", "ox", "hx"),
-        pick("ny", "oy", "hy"),
-        F.col("hx").alias("ox"),
-        F.col("hy").alias("oy"),
-        pick("new_loss", "loss", "loss"),
-        F.when(better, 0).otherwise(F.col("idle") + 1).alias("idle"),
-        pick("new_intercept", "intercept", "intercept"),
-        pick("new_slope", "slope", "slope"),
+def _pivots(points: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The point on each group's line about which a turn lowers the loss most steeply; no row for best lines."""
+    rows = same_keys(points, lines, keys)
+    at = F.col("intercept") + F.col("slope") * F.col("_x")
+    near = F.abs(F.col("_y") - at) <= ON_LINE * F.greatest(F.abs("_y"), F.abs("intercept"), F.abs(F.col("slope") * F.col("_x")))
+    rows = settle(rows.select(*keys, "_x", "_n", at.alias("_at"), near.alias("_on"), (F.col("_y") > at).alias("_above")))
+    pull = F.col("_n") * F.when(F.col("_above"), F.col("tau")).otherwise(F.col("tau") - 1.0)
+    off = rows.where(~F.col("_on")).groupBy(*keys).agg(F.sum(pull).alias("_s0"), F.sum(pull * F.col("_x")).alias("_s1"))
+    on = rows.where("_on").groupBy(*keys, "_x").agg(F.sum("_n").alias("_n"), F.first("_at").alias("_at"))
+    on = on.withColumn("_nx", F.col("_n") * F.col("_x"))
+    sums = running(on, keys, "_x", [("_n0", "_n", "sum"), ("_n1", "_nx", "sum")], [("_t0", "_n"), ("_t1", "_nx")])
+    both = same_keys(sums, off, keys, "left").fillna(0.0, ["_s0", "_s1"])
+    c, tau = F.col("_x"), F.col("tau")
+    left = c * F.col("_n0") - F.col("_n1")
+    right = (F.col("_t1") - F.col("_n1") - F.col("_nx")) - c * (F.col("_t0") - F.col("_n0") - F.col("_n"))
+    moment = F.col("_s1") - c * F.col("_s0")
+    up = -moment + (1.0 - tau) * right + tau * left
+    down = moment + tau * right + (1.0 - tau) * left
+    best = both.select(*keys, F.struct(F.least(up, down).alias("_d"), c.alias("hx"), F.col("_at").alias("hy")).alias("_p"))
+    found = best.groupBy(*keys).agg(F.min("_p").alias("_p")).where("_p._d < 0")
+    return found.select(*keys, F.col("_p.hx").alias("hx"), F.col("_p.hy").alias("hy"))
+
+
+def _start(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A point of each group near its best line, to turn about first; groups with one x are left out.
+
+    The line is sought by a few least-squares fits that weigh a point by its loss over its squared residual.
+    """
+    x, y, tau = F.col("_x"), F.col("_y"), F.col("tau")
+    line = points.groupBy(*keys).agg(
+        F.min("_x").alias("_a"), F.max("_x").alias("_z"), F.avg("_y").alias("intercept"), F.stddev_pop("_y").alias("_sd")
     )
+    line = settle(line.where("_a < _z").select(*keys, "intercept", F.lit(0.0).alias("slope"), "_sd"))
+    r = y - F.col("intercept") - F.col("slope") * x
+    for _ in range(START_FITS):
+        small = F.greatest(F.abs(r), F.col("_sd") * 1e-3, F.lit(1e-12))
+        rows = same_keys(points, line, keys).select(*keys, "_sd", x, y, (F.col("_n") * F.when(r >= 0, tau).otherwise(1.0 - tau) / small).alias("_w"))
+        w = F.col("_w")
+        sums = rows.groupBy(*keys).agg(
+            F.first("_sd").alias("_sd"),
+            *[F.sum(v).alias(f"_s{i}") for i, v in enumerate((w, w * x, w * y, w * x * x, w * x * y))],
+        )
+        slope = (F.col("_s0") * F.col("_s4") - F.col("_s1") * F.col("_s2")) / (F.col("_s0") * F.col("_s3") - F.col("_s1") ** 2)
+        fit = sums.select(*keys, "_sd", F.coalesce(slope, F.lit(0.0)).alias("slope"), "_s0", "_s1", "_s2")
+        line = settle(fit.select(*keys, ((F.col("_s2") - F.col("slope") * F.col("_s1")) / F.col("_s0")).alias("intercept"), "slope", "_sd"))
+    near = F.min(F.struct(F.abs(r).alias("_r"), x.alias("hx"), y.alias("hy"))).alias("_p")
+    return same_keys(points, line, keys).groupBy(*keys).agg(near).select(*keys, F.col("_p.hx").alias("hx"), F.col("_p.hy").alias("hy"))
 
 
 def quantile_regression(
@@ -98,28 +114,15 @@ def quantile_regression(
         F.count(F.lit(1)).cast("double").alias("_n")
     )
     points = settle(base.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus]))))
-    nothing = F.lit(None).cast("double")
-    state = (
-        points.groupBy(*keys)
-        .agg(F.min(F.struct("_x", "_y")).alias("_p"), F.min("_x").alias("_a"), F.max("_x").alias("_z"))
-        .where(F.col("_a") < F.col("_z"))
-        .select(
-            *keys,
-            F.col("_p._x").alias("hx"),
-            F.col("_p._y").alias("hy"),
-            nothing.alias("ox"),
-            nothing.alias("oy"),
-            nothing.alias("loss"),
-            F.lit(0).alias("idle"),
-            nothing.alias("intercept"),
-            nothing.alias("slope"),
-        )
-    )
-    state = measured(state)
-    # Counted: a short table of points needs no spreading inside its groups.
-    short = points.limit(SHORT_TABLE + 1).count() <= SHORT_TABLE
-    for _ in range(MAX_STEPS):
-        state = measured(_choose(_turn(points, state, keys, short), keys))
-        if state.where(F.col("idle") < 2).isEmpty():
-            return state.select(*keys, "intercept", "slope", "loss")
-    raise RuntimeError(f"no optimum after {MAX_STEPS} steps")
+    first = _start(points, keys)
+    fields = ["intercept", "slope", "loss"]
+    new = [F.col(f"new_{f}").alias(f) for f in fields]
+    open_ = settle(_turn(points, first, keys).select(*keys, *new))
+    best = open_.limit(0)
+    while not open_.isEmpty():
+        turned = _turn(points, same_keys(open_, _pivots(points, open_, keys), keys), keys)
+        lower = F.col("new_loss") < F.col("loss") - TOLERANCE * F.abs("loss")
+        better = settle(turned.where(lower).select(*keys, *new))
+        best = best.unionByName(same_keys(open_, better, keys, "left_anti"))
+        open_ = better
+    return best.select(*keys, *fields)

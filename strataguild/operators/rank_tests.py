@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -16,10 +16,6 @@ from strataguild.operators.reshape import add_count_row, to_wide
 from strataguild.session import settle
 
 EXACT_BELOW = 50
-# Rows of a counted table of tests that one task may hold.
-SHORT_TABLE = 100_000
-# Up to this many levels, every pair gets aggregates of its own.
-LISTED_LEVELS = 8
 
 
 def level_counts(
@@ -91,30 +87,8 @@ def pair_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], valu
     )
 
 
-def _sums_by_list(counts: DataFrame, k: int, by: Sequence[str], pairs: str) -> DataFrame:
-    """Pair sums for few levels: two aggregates per pair, then one row per pair."""
-    listed = [(a, b) for a in range(k) for b in range(a + 1, k)]
-    aggs = [f"sum(c{i}) AS t{i}" for i in range(k)]
-    for a, b in listed:
-        t = f"double(c{a} + c{b})"
-        aggs.append(f"sum(double(c{a}) * (double(b{b}) + double(c{b}) / 2D)) AS u{a}_{b}")
-        aggs.append(f"sum({t} * {t} * {t} - {t}) AS x{a}_{b}")
-    wide = counts.groupBy(*by).agg(*[F.expr(a) for a in aggs])
-    items = []
-    for a, b in listed:
-        keep = f"t{a} > 0 AND t{b} > 0"
-        if pairs == "adjacent":
-            # Neighbours among the levels that occur in this partition.
-            keep += "".join(f" AND t{mid} = 0" for mid in range(a + 1, b))
-        items.append(
-            f"named_struct('keep', {keep}, 'ia', {a}, 'ib', {b}, 'n_a', t{a}, 'n_b', t{b},"
-            f" 'stat', u{a}_{b}, '_ties', x{a}_{b})"
-        )
-    return wide.select(*by, F.expr(f"inline(array({', '.join(items)}))")).where("keep").drop("keep")
-
-
 def _sums_by_terms(counts: DataFrame, levels: Sequence[str], by: Sequence[str], value: str, pairs: str) -> DataFrame:
-    """Pair sums for many levels, from the pairs each value concerns."""
+    """Pair sums, from the pairs that each value concerns."""
     terms = pair_terms(counts, levels, by, value, pairs)
     d = lambda name: F.col(name).cast("double")
     t = d("ca") + d("cb")
@@ -184,12 +158,8 @@ def pairwise_rank_sum(
     uses the exact law where both sizes are below 50 and values are untied.
     """
     by = list(by)
-    listed = len(levels) <= LISTED_LEVELS
-    counts = level_counts(df, value, group, levels, by, totals=not listed)
-    if listed:
-        sums = _sums_by_list(counts, len(levels), by, pairs)
-    else:
-        sums = _sums_by_terms(counts, levels, by, value, pairs)
+    counts = level_counts(df, value, group, levels, by, totals=True)
+    sums = _sums_by_terms(counts, levels, by, value, pairs)
     d = lambda name: F.col(name).cast("double")
     na, nb = d("n_a"), d("n_b")
     n = na + nb
@@ -221,16 +191,9 @@ def p_adjust(df: DataFrame, p: str = "p", family: Sequence[str] = (), name: str
     # A table of tests is short and costly to compute, so it is computed once.
     df = settle(df)
     known = df.where(F.col(p).isNotNull())
-    if df.limit(SHORT_TABLE + 1).count() <= SHORT_TABLE:
-        # Counted and short: a family fits in one task.
-        place = Window.partitionBy(*family)
-        upto = place.orderBy(p).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        score = (F.count(F.lit(1)).over(place) - F.count(F.lit(1)).over(upto) + 1) * F.col(p)
-        stepped = known.withColumn("_score", score).withColumn("_top", F.max("_score").over(upto))
-    else:
-        ranked = running(known.withColumn("_one", F.lit(1)), family, p, [("_before", "_one", "sum")], [("_m", "_one")])
-        scored = ranked.withColumn("_score", (F.col("_m") - F.col("_before")) * F.col(p))
-        stepped = running(scored, family, p, [("_top", "_score", "max")], inclusive=True)
+    ranked = running(known.withColumn("_one", F.lit(1)), family, p, [("_before", "_one", "sum")], [("_m", "_one")])
+    scored = ranked.withColumn("_score", (F.col("_m") - F.col("_before")) * F.col(p))
+    stepped = running(scored, family, p, [("_top", "_score", "max")], inclusive=True)
     done = stepped.withColumn(name, F.least(F.lit(1.0), F.col("_top")))
     nulls = df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
     return done.select(*df.columns, name).unionByName(nulls)

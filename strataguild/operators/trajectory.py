@@ -118,7 +118,7 @@ def survivor_quantiles(
         digits += 1
 
     dead = events.where(F.col("death_year") <= years[-1]).select("run", F.col(name).alias("name"), "death_year")
-    pool_no = known.join(numbered, ["guild", "value"]).select("name", "guild", "no")
+    pool_no = same_keys(known, numbered, ["guild", "value"]).select("name", "guild", "no")
     deaths = (
         dead.join(pool_no, "name")
         .groupBy(F.col("run").cast("int").alias("run"), "guild", "no", F.col("death_year").alias("year"))
@@ -155,7 +155,7 @@ def survivor_quantiles(
             parts = [runs.select("run", F.inline(whole)), died]
         else:
             cells = asked.select(*cell).distinct()
-            parts = [cells.join(sizes, ["guild", "prefix"]), died.join(cells, cell, "left_semi"), asked]
+            parts = [same_keys(cells, sizes, ["guild", "prefix"]), same_keys(died, cells, cell, "left_semi"), asked]
         both = stack_loose(*[part.withColumn("kind", F.lit(i)) for i, part in enumerate(parts)])
         both = both.withColumns({c: F.lit(None).cast(t) for c, t in _ASKED if c not in both.columns})
         kernel = _step_kernel(years, [p for _, p in probs], asked is None)
@@ -163,7 +163,7 @@ def survivor_quantiles(
         if level < digits - 1:
             asked = settle(asked)
 
-    found = asked.withColumnRenamed("prefix", "no").join(numbered.select("guild", "no", "value"), ["guild", "no"])
+    found = same_keys(asked.withColumnRenamed("prefix", "no"), numbered.select("guild", "no", "value"), ["guild", "no"])
     out = []
     for i, (label, _) in enumerate(probs):
         mine = F.col("p_no") == i

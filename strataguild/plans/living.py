@@ -179,7 +179,8 @@ def older_group_means(memberships: DataFrame, traits: DataFrame) -> DataFrame:
     joined = memberships.join(traits.select("binomial", "realm", "diet_5cat"), "binomial", "left")
     coded = joined.withColumn("diet_5cat", F.element_at(codes, F.col("diet_5cat").cast("int")))
     key = lookup(spark, FIVE_GUILD_KEY, "diet_5cat int, diet_name string, diet_abbr string")
-    named = lookup_join(coded, key, "diet_5cat").where(F.col("diet_abbr").isNotNull())
+    named = lookup_join(lookup_join(coded, biome_key(spark), "biome"), key, "diet_5cat")
+    named = named.where(F.col("diet_abbr").isNotNull() & F.col("biome_name").isNotNull())
     land = named.where(F.col("realm") == "terrestrial")
     return summaries.group_mean_model(land, ["class", "diet_abbr"], "log10_body_mass_median")
 

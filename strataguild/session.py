@@ -12,10 +12,16 @@ BROADCAST_ROWS = 100_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a fresh local one only where none is set."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session whose tasks run inside the driver may do without one and gets a fresh local folder; elsewhere
+    executors could not read what others have written, so a missing name is an error.
+    """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strataguild-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -36,11 +42,3 @@ def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     kept = settle(df)
     few = kept.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(kept) if few else kept
-
-
-def levels_of(df: DataFrame, column: str, max_levels: int = 512) -> list:
-    """Sorted labels of a dimension column; raises if it is not a small dimension."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{column} has more than {max_levels} labels; it is not a level column")
-    return sorted(r[0] for r in rows)

@@ -107,3 +107,9 @@ def test_stars(spark):
     df = spark.createDataFrame([(p,) for p in ps], "p double")
     assert [r[0] for r in rows(df.select(scalar.stars(F.col("p"))))] == ["***", "**", "**", "*", ".", " ", None]
     assert rows(df.select(scalar.stars(F.col("p"), blank_dot=True)))[4][0] == " "
+
+
+def test_numbers_in_text(spark):
+    cases = {".5 cm": 0.5, "1,200 cm": 1200.0, "~20 cm": 20.0, "13.5 cm, 165 cm": 13.5, "-3": -3.0, "7.": 7.0, "none": None, "": None}
+    df = spark.createDataFrame([(c,) for c in [*cases, None]], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", scalar.parse_number(F.col("t")).alias("n")).collect()} == {**cases, None: None}

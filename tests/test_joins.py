@@ -46,7 +46,7 @@ def test_null_safe_keys(spark):
 def test_exclusion_keeps_nulls_and_survivors_are_per_run(spark):
     pool = spark.createDataFrame([("a",), ("b",)], "name string")
     dead = spark.createDataFrame([(1, "a", 3), (2, "b", 9)], "run int, name string, death_year int")
-    got = {(r["run"], r["name"]) for r in J.survivors(J.per_run(pool, 3), dead).collect()}
+    got = {(r["run"], r["name"]) for r in J.survivors(J.per_run(pool, spark.createDataFrame([(1,), (2,), (3,)], "run int")), dead).collect()}
     assert got == {(1, "b"), (2, "a"), (3, "a"), (3, "b")}
     assert {r["name"] for r in J.alive_in_year(pool, dead, 3).collect()} == {"b"}
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from strataguild.operators import order_stats as O
 from strataguild.operators import quantiles as Q
-from strataguild.operators import quantreg
 from strataguild.operators import summaries as S
 from strataguild.operators.density import density
 from strataguild.operators.quantreg import quantile_regression
@@ -121,20 +120,44 @@ def test_density_integrates_to_one(skewed):
     assert 0.9 < area < 1.01
 
 
-@pytest.mark.parametrize("short", [100_000, 0])
-def test_quantile_line_is_optimal(spark, monkeypatch, short):
-    monkeypatch.setattr(quantreg, "SHORT_TABLE", short)
-    rng = np.random.default_rng(3)
-    x = rng.integers(0, 15, 60).astype(float)
-    y = 1 + 0.5 * x + rng.normal(0, 2, 60)
-    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x, "y": y}))
-    got = {r["tau"]: r for r in quantile_regression(df, "x", "y", (0.12, 0.87), ["g"]).collect()}
-    for tau, r in got.items():
-        loss = lambda a, b: (lambda e: np.where(e >= 0, tau * e, (tau - 1) * e).sum())(y - a - b * x)
-        best = min(
-            loss(y[i] - (y[j] - y[i]) / (x[j] - x[i]) * x[i], (y[j] - y[i]) / (x[j] - x[i]))
-            for i in range(60)
-            for j in range(i)
-            if x[i] != x[j]
-        )
-        assert np.isclose(r["loss"], best) and np.isclose(loss(r["intercept"], r["slope"]), best)
+def best_loss(points, tau):
+    lines = [(p, q) for i, p in enumerate(points) for q in points[i + 1 :] if p[0] != q[0]]
+    losses = []
+    for (x1, y1), (x2, y2) in lines:
+        b = (y2 - y1) / (x2 - x1)
+        r = [y - y1 - b * (x - x1) for x, y in points]
+        losses.append(sum((tau if e >= 0 else tau - 1) * e for e in r))
+    return min(losses)
+
+
+def test_quantile_line_is_optimal(spark):
+    """Against all lines through two points: points on small grids, where many lines tie, and continuous ones."""
+    rng = np.random.default_rng(8)
+    groups = [[(3, 2), (2, 3), (2, 0), (1, 2), (0, 0), (0, 2)], [(1, 1), (1, 2)]]
+    groups += [[tuple(p) for p in rng.integers(0, 4, (int(rng.integers(3, 12)), 2))] for _ in range(25)]
+    groups += [[tuple(p) for p in rng.normal(size=(12, 2))] for _ in range(3)]
+    rows = [(g, float(x), float(y)) for g, points in enumerate(groups) for x, y in points]
+    taus = (0.025, 0.5, 0.9)
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    got = {(r["g"], r["tau"]): r["loss"] for r in quantile_regression(df, "x", "y", taus, ["g"]).collect()}
+    lined = {g: p for g, p in enumerate(groups) if len({x for x, _ in p}) > 1}
+    assert got.keys() == {(g, t) for g in lined for t in taus}
+    for (g, tau), loss in got.items():
+        assert loss == pytest.approx(best_loss(lined[g], tau), abs=1e-9)
+
+
+@pytest.mark.parametrize("values", [[1e6 + i / 4000 for i in range(4000)], [10 ** (-i / 40) for i in range(4000)], [5.0] * 3000 + list(range(1000))])
+def test_running_totals_stay_spread(spark, values):
+    """Close values, values over many magnitudes and one heavy tie: right, and no part holds much more than its share."""
+    df = spark.createDataFrame([(float(v), 1) for v in values], "v double, n int").groupBy("v").agg(F.sum("n").alias("n"))
+    out = O.running(df, [], "v", [("before", "n", "sum")], [("total", "n")]).orderBy("v").collect()
+    counts = [r["n"] for r in out]
+    assert [r["before"] for r in out] == [sum(counts[:i]) for i in range(len(counts))]
+    assert {r["total"] for r in out} == {len(values)}
+
+
+def test_density_of_a_constant_group(spark):
+    """The default bandwidth falls back on the size of the value."""
+    df = spark.createDataFrame([(5.0,), (5.0,)], "v double")
+    peak = density(df, "v", [], 3).collect()[0]["density"]
+    assert peak == pytest.approx(1 / (0.9 * 5 * 2**-0.2 * np.sqrt(2 * np.pi)))

@@ -96,3 +96,13 @@ def test_pools(spark):
     got = {r["name"]: (round(r["value"], 9), r["guild"]) for r in pool.collect()}
     assert got == {"a b": (2.0, "herbivore"), "Oryx dammah": (3.0, "carnivore"), "x y": (4.0, "omnivore")}
     assert [r["name"] for r in future.present_pool(pool, present).collect()] == ["a b"]
+
+
+def test_null_guild_has_a_trajectory(spark):
+    from strataguild.operators.trajectory import survivor_quantiles
+
+    pool = spark.createDataFrame([(1, None, 2.0), (2, None, 4.0), (3, "g", 5.0)], "name int, guild string, value double")
+    dead = spark.createDataFrame([(1, 2, 1)], "run int, name int, death_year int")
+    runs = spark.createDataFrame([(1,)], "run int")
+    got = {(r["guild"], r["year"]): r["m"] for r in survivor_quantiles(pool, dead, runs, (("m", 0.5),), [1, 2]).collect()}
+    assert got == {(None, 1): 2.0, (None, 2): 2.0, ("g", 1): 5.0, ("g", 2): 5.0}
