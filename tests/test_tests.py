@@ -29,9 +29,7 @@ def sample(spark):
     return spark.createDataFrame(pdf).repartition(3).cache(), pdf
 
 
-@pytest.mark.parametrize("listed", [8, 0])
-def test_rank_sum_matches_definition(sample, monkeypatch, listed):
-    monkeypatch.setattr(RT, "LISTED_LEVELS", listed)
+def test_rank_sum_matches_definition(sample):
     df, pdf = sample
     got = RT.pairwise_rank_sum(df, "v", "g", list("abcd"), ["part"], "all").toPandas()
     assert len(got) == 6 + 3
@@ -46,9 +44,7 @@ def test_rank_sum_matches_definition(sample, monkeypatch, listed):
         assert math.isclose(r.p, math.erfc(abs((c - np.sign(c) * 0.5) / sd) / math.sqrt(2)), rel_tol=1e-7)
 
 
-@pytest.mark.parametrize("listed", [8, 0])
-def test_neighbours_skip_missing_levels(sample, monkeypatch, listed):
-    monkeypatch.setattr(RT, "LISTED_LEVELS", listed)
+def test_neighbours_skip_missing_levels(sample):
     df, _ = sample
     got = RT.pairwise_rank_sum(df, "v", "g", list("abcd"), ["part"], "adjacent").collect()
     pairs = {(r["part"], r["group_a"], r["group_b"]) for r in got}
@@ -68,9 +64,7 @@ def test_exact_law_for_small_untied_samples(spark):
     assert RT.pairwise_rank_sum(tied, "v", "g", ["x", "y"]).first()["p"] != got["p"]
 
 
-@pytest.mark.parametrize("short", [100_000, 0])
-def test_holm_is_monotone_and_ignores_nulls(spark, monkeypatch, short):
-    monkeypatch.setattr(RT, "SHORT_TABLE", short)
+def test_holm_is_monotone_and_ignores_nulls(spark):
     ps = [0.01, 0.04, 0.03, 0.005, 0.5, None, 0.04]
     df = spark.createDataFrame(list(enumerate(ps)), "k int, p double")
     got = {r["k"]: r["p_adj"] for r in RT.p_adjust(df).collect()}
