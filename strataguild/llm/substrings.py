@@ -17,6 +17,7 @@ different strings is split further, window by window, so no passage, however com
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -154,10 +155,22 @@ REPLY = {"chunk": pa.int32(), "bucket": pa.int32(), "shared": pa.binary(), "deta
 STRINGS = {"bucket": pa.int32(), "chunk": pa.int32(), "sizes": pa.binary(), "least": pa.binary(), "strings": pa.binary()}
 
 
+def _lean(step):
+    """Give memory of earlier groups back before the next one."""
+
+    @functools.wraps(step)
+    def run(*args):
+        pa.default_memory_pool().release_unused()
+        return step(*args)
+
+    return run
+
+
 def _chunk_of(table: pa.Table) -> int:
     return table.column("chunk")[0].as_py()
 
 
+@_lean
 def send_keys(table: pa.Table, buckets: int, length: int) -> pa.Table:
     """Step 1.  ``once``: keys with one string in one document here; ``more``: others, with the count of strings."""
     chunk = Chunk(table, length)
@@ -191,6 +204,7 @@ def send_keys(table: pa.Table, buckets: int, length: int) -> pa.Table:
     return _batch(out, KEYS)
 
 
+@_lean
 def settle_keys(table: pa.Table, split: int) -> pa.Table:
     """Step 2.  For every chunk the keys here that more than one document has, and (``detail``) the hot ones of them."""
     keys, kinds, several, chunks = [], [], [], []
@@ -225,6 +239,7 @@ def _shared(reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.frombuffer(b"".join(rows.column(c).to_pylist()), _U) for c in ("shared", "detail"))
 
 
+@_lean
 def send_strings(table: pa.Table, reply: pa.Table, buckets: int, length: int) -> pa.Table:
     """Step 3.  The strings of shared runs, each once, with the smallest doc_id here that has it."""
     out: dict[str, list] = {k: [] for k in STRINGS}
@@ -332,12 +347,14 @@ class BlindTrie:
 
 
 def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> list[list[int]]:
-    """Deep-shallow sorting of the windows at ``at`` within their groups: lists of equal ones, two or more, in order."""
-    padded = np.concatenate((data, np.zeros(64, np.uint8)))
-    place, names = shallow_sort(padded, at, group)
+    """Deep-shallow sorting of the windows at ``at`` within their groups: lists of equal ones, two or more, in order.
+
+    ``data`` is at least 64 bytes longer than its windows need.
+    """
+    place, names = shallow_sort(data, at, group)
     head = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(place) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(place)))
-    whole, out = padded.tobytes(), []
+    whole, out = memoryview(data), []
     for h, n in zip(head[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         trie = BlindTrie()
         for i in place[h : h + n].tolist():
@@ -347,6 +364,7 @@ def equal_windows(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: i
     return out
 
 
+@_lean
 def settle_strings(table: pa.Table, length: int) -> pa.Table:
     """Step 4.  For every chunk and string whose windows another document has: the windows' smallest doc_ids.
 
@@ -368,7 +386,7 @@ def settle_strings(table: pa.Table, length: int) -> pa.Table:
             own.append(n)
         sent.append((chunk, own, own_least))
     strings = list(numbers)
-    data = np.frombuffer(b"".join(strings), np.uint8)
+    data = np.frombuffer(b"".join([*strings, bytes(64)]), np.uint8)
     size = np.fromiter(map(len, strings), np.int64, len(strings))
     start = np.cumsum(size) - size
     key = window_keys(data, length)[start]
@@ -414,6 +432,7 @@ def settle_strings(table: pa.Table, length: int) -> pa.Table:
     return _batch(out, REPLY)
 
 
+@_lean
 def remove(table: pa.Table, reply: pa.Table, buckets: int, length: int, texts: bool) -> pa.Table:
     """Step 5.  The removed spans of every document, and what is left of it (or its digest)."""
     if not len(table):

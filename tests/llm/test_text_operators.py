@@ -186,8 +186,8 @@ def test_repeats_match_plain_version(spark, split):
 
 def test_deep_shallow_sorting():
     rnd = random.Random(6)
-    data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(3000)) * 2, np.uint8)
-    at = np.array(rnd.sample(range(len(data) - 60), 800))
+    data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(3000)) * 2 + bytes(64), np.uint8)
+    at = np.array(rnd.sample(range(len(data) - 124), 800))
     group = np.array([rnd.randrange(3) for _ in at])
     found = substrings.equal_windows(data, at, group, 50)
     want = {}
