@@ -24,7 +24,7 @@ MAX_LANGS = 400
 MAX_WORDS = 60_000
 MAX_GRAMS = 20_000
 #: Words and n-grams that a worker remembers between texts.
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 def tokens(text: str) -> list[str]:

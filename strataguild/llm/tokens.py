@@ -19,7 +19,7 @@ from strataguild.llm.common import checkpoint_folder, raw_text
 SEGMENT = 1 << 22
 END = 1
 #: Pieces of text that a worker remembers.
-MEMORY = 700_000
+MEMORY = 500_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
 FILE = "part int, segment int, start long, doc_ids array<long>, lengths array<long>, coded binary"
 
