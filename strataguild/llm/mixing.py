@@ -1,10 +1,11 @@
-"""Mixing to target weights: domain posteriors from a labelled table, and document rates by projected gradient."""
+"""Mixing to target weights: domain posteriors from a labelled table, and document rates by projected least squares."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ SURE = 25.0
 MOST = 6
 TRAITS = ("poor", "toxic")
 DOMAINS = ("good", "poor", "good_toxic", "poor_toxic")
+#: Weight of the rates' squared distance from 1 against the squared relative differences of domains with and without a
+#: target.  No document's posterior is zero, so a target of zero is never met; with a smaller weight its domain drives out
+#: documents that are hardly in it, until few are left with rates of many copies.
+PULL = (0.0001, 0.01)
 #: Shares of all tokens that the documents shall have by domain after mixing.
 TARGETS = {"good": 0.93, "poor": 0.07, "good_toxic": 0.0, "poor_toxic": 0.0}
 
@@ -133,7 +138,7 @@ def point_of(steps: list[list[float]], momentum: list[float], p: Column) -> Colu
     """Struct of a document's rate ``r`` and the point ``y`` that its next gradient is taken at, after some steps from 1.
 
     A step moves a rate against the gradient and projects it to zero or more; momentum carries on the last move.  The
-    steps are one number per domain, so no state is kept per document.
+    steps are numbers per domain, so no state is kept per document.
     """
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not steps:
@@ -162,39 +167,56 @@ def alike(scored: DataFrame, model: Classifier) -> DataFrame:
 
 
 def fit_rates(
-    scored: DataFrame, targets: dict[str, float], rounds: int = 30, tolerance: float = 1e-4
+    scored: DataFrame, targets: dict[str, float], rounds: int = 200, tolerance: float = 1e-6
 ) -> tuple[list[list[float]], list[float]]:
-    """Steps of accelerated projected-gradient least squares for ``scored`` (``n_tokens``, ``posteriors``).
+    """The step of projected least squares for ``scored`` (``n_tokens``, ``posteriors``), for ``point_of``.
 
     Minimises the squared differences between expected tokens per domain (sum of rate * tokens * posterior) and
-    ``targets`` (shares of all tokens) over rates of zero or more.  A round is one aggregate to a few numbers.  It
-    ends when all differences are below ``tolerance`` of all tokens or stand still, after ``rounds`` at most.
+    ``targets`` (shares of all tokens) over rates of zero or more.  A difference counts relative to the domain's own
+    tokens, so a small domain weighs as much as a large one.  Many rates do equally well; ``PULL`` times the squared
+    distance of the rates from 1 chooses among them.  The rates then are ``max(0, 1 - y p)`` with one number ``y`` per
+    domain, which minimises a convex function; Newton steps with halving find it, a round being one aggregate to a few
+    numbers.  It ends when no domain's gradient is above ``tolerance`` of its own tokens; ``rounds`` without that raise.
     """
     k = len(DOMAINS)
     p, t = F.col("posteriors"), F.col("n_tokens").cast("double")
     part = [F.get(p, F.lit(i)) for i in range(k)]
-    gram = scored.agg(F.sum(t), *[F.sum(t * part[i] * part[j]) for i in range(k) for j in range(k)]).first()
-    size = gram[0]
+    row = scored.agg(F.sum(t), *[F.sum(t * x) for x in part]).first()
+    size = row[0]
     if not size:
         return [], []
-    # The largest eigenvalue of a symmetric matrix without negative entries is at most its largest row sum.
-    step = size / max(sum(gram[1 + i * k : 1 + (i + 1) * k]) for i in range(k))
-    goal = [targets.get(d, 0.0) for d in DOMAINS]
-    steps: list[list[float]] = []
-    momentum: list[float] = []
-    speed, last = 1.0, None
+    own = np.maximum(np.array(row[1:]) / size, 1e-9)
+    goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
+    pull = np.where(goal > 0, *PULL) * own
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The convex function, its gradient and its second derivatives."""
+        rate = F.col("rate")
+        rated = scored.select("n_tokens", "posteriors", point_of([y.tolist()], [0.0], p)["r"].alias("rate")).where("rate > 0")
+        row = rated.agg(F.sum(t * rate * rate), *[F.sum(t * rate * x) for x in part], *[F.sum(t * part[i] * part[j]) for i, j in pairs]).first()
+        got = np.array([x or 0.0 for x in row]) / size
+        curve = np.diag(pull)
+        for (i, j), x in zip(pairs, got[1 + k :], strict=True):
+            curve[i, j] += x
+            curve[j, i] = curve[i, j]
+        return float((pull * y * y).sum() / 2 + goal @ y + got[0] / 2), pull * y + goal - got[1 : 1 + k], curve
+
+    y, part_of_step, turn = np.zeros(k), 1.0, None
+    value, slope, curve = at(y)
     for _ in range(rounds):
-        at = scored.select("n_tokens", "posteriors", point_of(steps, momentum, p).alias("at"))
-        row = at.agg(*[F.sum(F.col(f"at.{x}") * t * part[i]) for x in "ry" for i in range(k)]).first()
-        left = [row[i] / size - goal[i] for i in range(k)]
-        if max(map(abs, left)) < tolerance or last and max(abs(a - b) for a, b in zip(left, last, strict=True)) < tolerance / 5:
-            break
-        last = left
-        steps.append([float(step * (row[k + i] / size - goal[i])) for i in range(k)])
-        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
-        momentum.append((speed - 1) / faster)
-        speed = faster
-    return steps, momentum
+        if (np.abs(slope) <= tolerance * own + 1e-12).all():
+            return [y.tolist()], [0.0]
+        if turn is None:
+            scale = 1 / np.sqrt(np.diag(curve))
+            turn, part_of_step = -scale * np.linalg.solve(curve * np.outer(scale, scale), scale * slope), 1.0
+        new = y + part_of_step * turn
+        found = at(new)
+        if found[0] <= value + 1e-4 * part_of_step * float(slope @ turn) + 1e-13 * (1 + abs(value)):
+            y, (value, slope, curve), turn = new, found, None
+        else:
+            part_of_step /= 2
+    raise RuntimeError(f"rates are not settled after {rounds} rounds: gradient {slope.tolist()} at own shares {own.tolist()}")
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

@@ -432,6 +432,18 @@ def test_rates_meet_feasible_targets(spark):
         assert math.isclose(sum(r["rate"] * r["n_tokens"] * r["posteriors"][k] for r in rated) / size, want[d], abs_tol=5e-3)
 
 
+@pytest.mark.parametrize("toxic", [0.0005, 0.001, 0.003, 0.01, 0.02])
+def test_rates_of_small_domains_settle(spark, toxic):
+    """Four types of documents, the toxic ones rare: the default rates have none of them and meet the other targets."""
+    types = [(0.9 * (1 - toxic), [0.97, 0.03, 0.0, 0.0]), (0.1 * (1 - toxic), [0.1, 0.9, 0.0, 0.0]), (0.9 * toxic, [0.05, 0.0, 0.95, 0.0]), (0.1 * toxic, [0.0, 0.1, 0.0, 0.9])]
+    table = spark.createDataFrame([(round(1e7 * share), p) for share, p in types], "n_tokens long, posteriors array<double>").coalesce(1)
+    for want in (mixing.shares_without(table, ("good_toxic", "poor_toxic")), mixing.TARGETS):
+        rated = table.select("*", mixing.point_of(*mixing.fit_rates(table, want), F.col("posteriors"))["r"].alias("rate")).collect()
+        assert all(r["rate"] < 0.05 if r["posteriors"][2] + r["posteriors"][3] > 0.5 else r["rate"] > 0.4 for r in rated)
+        for k, d in enumerate(mixing.DOMAINS[:2]):
+            assert math.isclose(sum(r["rate"] * r["n_tokens"] * r["posteriors"][k] for r in rated) / 1e7, want[d], abs_tol=1e-4)
+
+
 def test_mixing_drops_toxic_documents(spark):
     rnd = random.Random(13)
     rows = [(i, prose(rnd, 50) + (" " + prose(rnd, 5, ["scum", "moron"]) if i % 8 == 0 else "")) for i in range(800)]
