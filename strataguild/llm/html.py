@@ -16,6 +16,8 @@ from strataguild.llm.common import map_batches
 SHORT, LONG = 70, 200
 STOPS_LOW, STOPS_HIGH = 0.30, 0.32
 LINKS = 0.2
+#: With fewer known stop words than this a page is in another language, and blocks are judged by length and links.
+KNOWN = 0.02
 #: In the part that the page itself marks as its article only blocks that are mostly links are menus.
 ARTICLE_LINKS = 0.5
 
@@ -36,7 +38,13 @@ STOP_WORDS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-RAW = "script|style|noscript|template|iframe|object|svg|canvas|textarea|title|head"
+#: Elements whose content is no markup, up to their end tag; and elements whose content is dropped with its markup.
+RAW = "script|style|iframe|textarea|title"
+HOLLOW = frozenset("noscript template object svg canvas".split())
+#: Elements that end a hollow one without an end tag.
+FLOW = frozenset(
+    "address article aside blockquote body center details div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th tr ul".split()
+)
 BOILER_TAGS = frozenset("nav header footer aside form button select option label fieldset legend dialog menu".split())
 ARTICLE_TAGS = frozenset("article main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -56,6 +64,7 @@ TOKEN = re.compile(
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+HOLLOW_TAG = re.compile(rf"<(/?)({'|'.join(sorted(HOLLOW))})\b[^>]*>", re.I)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -91,12 +100,31 @@ def _traits(tag: str, attrs: str) -> tuple[bool, bool]:
     return boiler, article and not boiler
 
 
+def _hollow_ends(html: str) -> dict[int, int]:
+    """Where hollow elements with an end tag of their own end, by where they start."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in HOLLOW_TAG.finditer(html):
+        starts = opened.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                starts.append(m.start())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
+
+
 def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in order, with white space and character references settled."""
+    """The blocks of a page in order, with white space and character references settled.
+
+    Nothing hangs on the end of ``head``: its elements have no text or drop their own, and other text belongs to the
+    body.  A hollow element without an end tag ends with the element around it or at the first block in it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool, bool]] = []
-    boiler, article, link, heading = False, 0, False, False
+    stack: list[tuple[str, bool, int, bool, bool, bool]] = []
+    boiler, article, link, heading, hollow = False, 0, False, False, False
     articles, parts, links = 0, [], 0
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal parts, links
@@ -107,18 +135,20 @@ def blocks_of(html: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal links
+        if hollow:
+            return
         text = unescape(raw) if "&" in raw else raw
         parts.append(text)
         if link:
             links += len(text.strip())
 
     def pop(to: int) -> None:
-        nonlocal boiler, article, link, heading
-        _, boiler, article, link, heading = stack[to]
+        nonlocal boiler, article, link, heading, hollow
+        _, boiler, article, link, heading, hollow = stack[to]
         del stack[to:]
 
     at = 0
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             add(html[at : m.start()])
         at = m.end()
@@ -126,6 +156,16 @@ def blocks_of(html: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "head":
+            flush()
+            continue
+        if tag in HOLLOW and not m["end"]:
+            ends = _hollow_ends(html) if ends is None else ends
+            if m.start() in ends:
+                at = ends[m.start()]
+                continue
+        if hollow and tag in FLOW and not m["end"]:
+            pop(next(i for i, x in enumerate(stack) if x[0] in HOLLOW))
         if tag == "br":
             parts.append(" ")
         elif m["end"]:
@@ -153,7 +193,8 @@ def blocks_of(html: str) -> list[Block]:
                         if stack[i][0] not in INLINE:
                             break
             if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-                stack.append((tag, boiler, article, link, heading))
+                stack.append((tag, boiler, article, link, heading, hollow))
+                hollow |= tag in HOLLOW
                 now, inside = _traits(tag, m["attrs"])
                 boiler |= now
                 if inside and not article:
@@ -173,13 +214,21 @@ def classify(blocks: list[Block]) -> None:
 
     First, blocks of page parts that are no article, and blocks with much text in links, are bad.  Where the page
     marks an article, other blocks in it are good if they are not short, and blocks outside are bad.  Elsewhere long
-    blocks with many stop words are good, those with few are bad, and the rest stays open.  Then open blocks take the
+    blocks with many stop words are good, those with few are bad, and the rest stays open; on a page without known stop
+    words long blocks are good and middling ones nearly.  Then open blocks take the
     label of their nearest decided neighbours: those of one label on both sides get it; between a good and a bad
     neighbour, nearly good blocks are good and short ones follow the closer neighbour, headings the one below.  Inside
     a marked article only neighbours in it count, and without any the block is good.
     """
     marked = any(b.article and not b.boiler for b in blocks)
-    for b in blocks:
+    told: dict[int, tuple[int, int]] = {}
+    if not marked:
+        for i, b in enumerate(blocks):
+            if not b.boiler and len(b.text) >= SHORT and b.link_chars / len(b.text) <= LINKS:
+                words = WORD.findall(b.text.lower())
+                told[i] = (sum(w in STOP_WORDS for w in words), len(words))
+    known = sum(x for x, _ in told.values()) >= KNOWN * sum(n for _, n in told.values())
+    for i, b in enumerate(blocks):
         n = len(b.text)
         share = b.link_chars / n
         if b.boiler or marked and not b.article:
@@ -191,9 +240,10 @@ def classify(blocks: list[Block]) -> None:
         elif n < SHORT:
             b.label = "bad" if b.link_chars else "short"
         else:
-            words = WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if stops >= STOPS_HIGH:
+            stops = told[i][0] / max(1, told[i][1])
+            if not known:
+                b.label = "good" if n > LONG else "near"
+            elif stops >= STOPS_HIGH:
                 b.label = "good" if n > LONG else "near"
             else:
                 b.label = "near" if stops >= STOPS_LOW else "bad"

@@ -344,6 +344,20 @@ def test_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
 
 
+def test_main_text_without_end_tags():
+    story = "This is the story of a man who was in the house and it was good for all of us. " * 4
+    want = story.strip()
+    assert html.main_text(f"<html><head><title>x</title><meta name=a><body><article><p>{story}</article>") == want
+    assert html.main_text(f"<html><head><title>x</title><p>{story}") == want
+    assert html.main_text(f"<html><head><title>x</title><style>p{{}}</style></head><body><p>{story}") == want
+    for tag in ("noscript", "object", "template", "svg", "canvas"):
+        assert html.main_text(f"<body><div><{tag} id=a>No script</div><p>{story}</p>") == want
+        assert html.main_text(f"<body><article><{tag} id=a>No script<p>{story}</p></article>") == want
+        assert html.main_text(f"<body><article><{tag}><{tag}><p>{story}</{tag}>x<style/></{tag}><p>{story}</p></article>") == want
+    other = "Это история о человеке, который жил в большом доме у реки и каждый день ходил на работу. " * 4
+    assert html.main_text(f"<div><a href=x>Дом</a></div><p>{other}</p><p><a href=x>{other}</a></p>") == other.strip()
+
+
 def test_extract_edges(spark):
     pages = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (2, "", "t"), (3, "<main>é</main>", "t")], "page_id long, html string, text string")
     got = sorted(tuple(r) for r in html.extract(pages, ["page_id"]).collect())
