@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataguild.session import checkpoint_folder, settle
 
-__all__ = ["checkpoint_folder", "settle", "read", "raw_text", "words_of", "map_batches", "WORD_BYTES"]
+__all__ = ["checkpoint_folder", "settle", "read", "drop_folder", "raw_text", "words_of", "map_batches", "WORD_BYTES"]
 
 #: Fixed by the word rule: digits, ASCII letters (lower-cased) and all bytes of other characters belong to words.
 WORD_BYTES = bytes(
@@ -22,6 +22,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of tables that no later step reads, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def raw_text(column: str = "text") -> Column:
     """The whole text as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b"").cast("binary"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataguild.llm import decontaminate, html, langid, licenses, mixing, quality, simhash, substrings, tokens, urls
+from strataguild.llm import decontaminate, html, langid, leaks, licenses, mixing, quality, runs, simhash, substrings, tokens, urls, vectors
 from strataguild.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,51 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.col("kept").alias("kept_sha256")
     )
+
+
+def _codes_sql(parts: int = vectors.PARTS, entries: int = vectors.ENTRIES, rounds: int = vectors.ROUNDS) -> str:
+    """All rounds written out: assign every part, average, assign again."""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid, * FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST({vectors.SCALE} AS DOUBLE) * x) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+        f"""cut AS MATERIALIZED (SELECT rid, vec_id, label, p,
+            list_slice(v, p * len(v) // {parts} + 1, (p + 1) * len(v) // {parts}) AS x FROM kept, range({parts}) t(p))""",
+        f"""c0 AS MATERIALIZED (SELECT p, j, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY rid) - 1 AS j FROM cut) WHERE j < {entries})""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (SELECT rid, p, vec_id, label, x, best % {entries} AS j, best // {entries} AS d FROM (
+                SELECT rid, p, any_value(vec_id) AS vec_id, any_value(label) AS label, any_value(x) AS x,
+                       min(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * {entries} + j) AS best
+                FROM cut JOIN c{n} USING (p) GROUP BY rid, p))"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT p, j, coalesce(m.c, old.c) AS c FROM c{n} old LEFT JOIN (
+                    SELECT p, j, list(CAST((s - ((s % k) + k) % k) // k AS BIGINT) ORDER BY i) AS c FROM (
+                        SELECT p, j, i, sum(x[i]) AS s, count(*) AS k FROM (SELECT p, j, x, unnest(range(1, len(x) + 1)) AS i FROM a{n}) GROUP BY p, j, i)
+                    GROUP BY p, j) m USING (p, j))"""
+            )
+    last = f"a{rounds}"
+    steps.append(
+        f"""coded AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(label) AS label, string_agg(printf('%02x', j), '' ORDER BY p) AS code,
+            CAST(sum(d) AS BIGINT) AS error FROM {last} GROUP BY rid)"""
+    )
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) FROM c{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.code_rows(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_rows(read(spark, sf_dir, "documents"))
+
+
+@query("op13_secrets")
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.secret_rows(read(spark, sf_dir, "documents"))
