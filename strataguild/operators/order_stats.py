@@ -8,7 +8,6 @@ shuffled.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,39 +15,11 @@ from pyspark.sql import functions as F
 
 from strataguild.session import settle
 
-# A group is cut into about this many buckets per shuffle task and factor of two.
-BUCKETS_PER_TASK = 32
 # Ranks per lookup slice, and the most slices one group is cut into.
 SLICE_RANKS = 64
 MAX_SLICES = 1 << 22
 
 
-def bucket_bits(df: DataFrame) -> int:
-    """Bucket fineness that lets one group occupy every shuffle task of the cluster."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(20, max(6, math.ceil(math.log2(BUCKETS_PER_TASK * tasks))))
-
-
-def order_bucket(value: Column, bits: int) -> Column:
-    """Bucket number that never decreases as the value grows.
-
-    It is made of the binary exponent and the leading ``bits`` of the mantissa, so
-    every power-of-two range of values is cut into ``2**bits`` buckets.
-    """
-    value = value.cast("double")
-    size = F.least(F.greatest(F.abs(value), F.lit(1e-300)), F.lit(1e300))
-    exponent = F.floor(F.log2(size))
-    scale = float(1 << bits)
-    mantissa = F.floor(size / F.pow(F.lit(2.0), exponent) * scale)
-    magnitude = ((exponent + 1100) * int(scale) + mantissa).cast("bigint")
-    return (
-        F.when(value.isNull(), None)
-        .when(value == 0, F.lit(0).cast("bigint"))
-        .when(value > 0, magnitude)
-        .otherwise(-magnitude)
-    )
-
-
 def value_histogram(
     df: DataFrame, by: Sequence[str], value: str, weight: str | None = None
 ) -> DataFrame:

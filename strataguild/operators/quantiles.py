@@ -8,14 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataguild.operators.joins import same_keys
-from strataguild.operators.order_stats import (
-    bucket_bits,
-    order_bucket,
-    value_histogram,
-    values_at_ranks,
-    with_positions,
-)
-from strataguild.session import measured
+from strataguild.operators.order_stats import value_histogram, values_at_ranks, with_positions
+from strataguild.operators.rank_search import SHORT, values_of_wanted
+from strataguild.session import measured, settle
 
 FIVE = (("q0", 0.0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q100", 1.0))
 # Probabilities of the resampling summary.
@@ -41,12 +36,6 @@ def _wanted(total: str, probs: Sequence[tuple[str, float]]) -> str:
     return f"array({', '.join(items)})"
 
 
-def _may_hold(total: str, before: str, n: str, probs: Sequence[tuple[str, float]]) -> str:
-    """Cheap SQL test that lets through every bucket with a wanted rank, and few others."""
-    h, low, end = f"double({total} - 1)", f"double({before}) - 1D", f"double({before} + {n}) + 1D"
-    return " OR ".join(f"({h} * {p!r}D >= {low} AND {h} * {p!r}D < {end})" for _, p in probs)
-
-
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -57,11 +46,10 @@ def quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one named column per probability, plus ``n``.
 
-    ``rescan`` counts rows per order bucket, finds the few buckets that hold the
-    wanted ranks and reads the rows of only those in a second scan: rows are never
-    shuffled.  ``histogram`` makes one pass and shuffles distinct values; use it when
-    the input is costly to compute twice.  ``builtin`` keeps a group in one task and
-    is for groups whose size is bounded by a parameter, such as a draw count.
+    The input is computed once.  ``rescan`` keeps its rows and shuffles only those near a
+    wanted rank; ``histogram`` counts equal values first, for inputs of few distinct ones.
+    ``builtin`` keeps a group in one task and is for groups whose size is bounded by a
+    parameter, such as a draw count.
     """
     if method == "builtin":
         if weight is not None:
@@ -84,48 +72,18 @@ def order_statistics(
     probs: Sequence[tuple[str, float]],
     method: str = "rescan",
     weight: str | None = None,
+    short: int = SHORT,
 ) -> DataFrame:
     """Group size ``n`` and a map from "name/low" and "name/high" to the values at those ranks."""
     if method == "histogram":
         df, weight = value_histogram(df, by, value, weight), "n"
     elif method != "rescan":
         raise ValueError(f"unknown method {method!r}")
-
-    count = F.sum(weight).cast("bigint") if weight else F.count(F.lit(1))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_bkt", order_bucket(F.col(value), bucket_bits(df)))
-    buckets = rows.groupBy(*by, "_bkt").agg(count.alias("_n"))
-    group = Window.partitionBy(*by)
-    earlier = group.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.select(
-        *by,
-        "_bkt",
-        "_n",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(group).alias("_total"),
-    )
-    inside = lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_n"))
-    likely = placed.where(_may_hold("_total", "_before", "_n", probs))
-    wanted = likely.withColumn("_want", F.filter(F.expr(_wanted("_total", probs)), inside))
-    wanted = wanted.where(F.size("_want") > 0).drop("_n")
-    if method == "rescan":
-        # Counted before the second scan: broadcast if short, so that scan shuffles nothing.
-        wanted = measured(wanted)
-
-    hits = same_keys(rows.select(*by, "_bkt", value, *([weight] if weight else [])), wanted, [*by, "_bkt"])
-    carried = ["_before", "_total", "_want"]
-    fine = hits.groupBy(*by, "_bkt", value).agg(count.alias("_c"), *[F.first(c).alias(c) for c in carried])
-    local = Window.partitionBy(*by, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = fine.withColumn("_end", F.col("_before") + F.sum("_c").over(local))
-    here = lambda w: (w["rank"] > F.col("_end") - F.col("_c")) & (w["rank"] <= F.col("_end"))
-    picked = fine.select(*by, value, "_total", F.explode_outer(F.filter("_want", here)).alias("w"))
+    rows = settle(df.where(F.col(value).isNotNull()).select(*by, value, *([weight] if weight else [])))
+    picked = values_of_wanted(rows, by, value, _wanted("_total", probs), [p for _, p in probs], weight, short)
     # Two entries per quantile and group.
-    return (
-        picked.where(F.col("w").isNotNull())
-        .groupBy(*by)
-        .agg(
-            F.max("_total").alias("n"),
-            F.map_from_entries(F.collect_list(F.struct("w.key", value))).alias("_v"),
-        )
+    return picked.groupBy(*by).agg(
+        F.max("_total").alias("n"), F.map_from_entries(F.collect_list(F.struct("_key", value))).alias("_v")
     )
 
 

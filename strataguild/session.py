@@ -34,11 +34,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def marked(kept: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table, marked for broadcast only if its counted rows are few."""
+    few = kept.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(kept) if few else kept
+
+
 def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Settle a table and mark it for broadcast only if its counted rows are few.
 
     Above the bound the table is returned unmarked, and joins with it shuffle.
     """
-    kept = settle(df)
-    few = kept.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(kept) if few else kept
+    return marked(settle(df), max_rows)

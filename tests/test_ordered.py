@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataguild.operators import order_stats as O
 from strataguild.operators import quantiles as Q
+from strataguild.operators import rank_search as R
 from strataguild.operators import summaries as S
 from strataguild.operators.density import density
 from strataguild.operators.quantreg import quantile_regression
@@ -29,21 +30,53 @@ def groups(pdf):
         yield name, np.sort(part.v.to_numpy())
 
 
-def test_bucket_keeps_order(spark):
-    vals = sorted([0.0, 1e-310, 1e-300, 0.5, 1.0, 1.0000001, 1.9999999999, 2.0, 3.0, 4.0, 1e5, 1e301, float("inf")])
-    vals = sorted([-v for v in vals] + vals)
-    df = spark.createDataFrame([(v,) for v in vals], "v double")
-    b = [r[0] for r in df.select(O.order_bucket(F.col("v"), 8)).collect()]
-    assert b == sorted(b)
-
-
-@settings(max_examples=5, deadline=None)
-@given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=64), min_size=2, max_size=200))
-def test_bucket_keeps_order_of_any_doubles(spark, vals):
-    vals = sorted(vals)
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    b = [r[0] for r in df.select(O.order_bucket(F.col("v"), 12)).collect()]
-    assert b == sorted(b)
+NARROW = {
+    "close": lambda i: 1e6 + i / 20_000,
+    "wide": lambda i: 10.0 ** (-i / 60),
+    "tied": lambda i: float(i % 7),
+    "half tied": lambda i: 5.0 if i % 2 else float(i),
+    "one": lambda i: 3.25,
+}
+
+
+@pytest.mark.parametrize("method", ["rescan", "histogram"])
+def test_quantiles_of_any_spread_keep_tasks_short(spark, method):
+    """Close, very wide and tied values: ranks are exact and no task sorts more than a set number of rows."""
+    n, short = 20_000, 400
+    rows = [(name, f(i)) for name, f in NARROW.items() for i in range(n)] + [("few", float(i)) for i in range(11)] + [(None, 1.0)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["g", "v"]), "g string, v double").repartition(6).cache()
+    found = Q.interpolated(Q.order_statistics(df, ["g"], "v", Q.RESAMPLE, method, short=short), ["g"], Q.RESAMPLE)
+    got = {r["g"]: r for r in found.collect()}
+    for name, f in [*NARROW.items(), ("few", float)]:
+        x = [f(i) for i in range(11 if name == "few" else n)]
+        assert got[name]["n"] == len(x)
+        for col, p in Q.RESAMPLE:
+            assert np.isclose(got[name][col], np.quantile(x, p), rtol=1e-12), (name, col)
+    assert got[None]["y50"] == 1.0
+    base = O.value_histogram(df, ["g"], "v") if method == "histogram" else df
+    weight = "n" if method == "histogram" else None
+    rounds = list(R.narrowed(base, ["g"], "v", Q._wanted("_total", Q.RESAMPLE), [p for _, p in Q.RESAMPLE], weight, short))
+    assert 2 <= len(rounds) <= 4
+    for live, tasks in rounds:
+        most = live.join(tasks.select("g", "_seg"), ["g", "_seg"]).groupBy("g", "_seg").count().agg(F.max("count")).first()[0]
+        assert most is None or most <= short
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=64), min_size=2, max_size=120))
+def test_stretches_keep_the_order_of_any_doubles(spark, vals):
+    edges = sorted((vals * R.EDGES)[: R.EDGES])
+    df = spark.createDataFrame([(float(v), [float(e) for e in edges]) for v in sorted(vals)], "v double, e array<double>")
+    at = [r[0] for r in df.select(R.stretch(F.col("v"), F.col("e"))).collect()]
+    assert at == sorted(at)
+    assert all((k % 2 == 1) == (float(v) in edges) for k, v in zip(at, sorted(vals)))
+
+
+def test_quantiles_compute_their_input_once(spark):
+    """A value that differs at every computation still gives ranks of one of them."""
+    df = spark.range(0, 30_000, 1, 4).select((F.col("id") % 2).alias("g"), F.rand().alias("v"))
+    seen = Q.quantiles(df, ["g"], "v", (("low", 0.0), ("mid", 0.5), ("high", 1.0))).collect()
+    assert len(seen) == 2 and all(0 <= r["low"] < 0.01 and 0.45 < r["mid"] < 0.55 and r["high"] > 0.99 for r in seen)
 
 
 @pytest.mark.parametrize("method", ["rescan", "histogram", "builtin"])
