@@ -123,14 +123,14 @@ def interval_overlap_closed(t):
         ON lad < hi AND fad > lo GROUP BY day""",
 )
 def interval_overlap_cells(t):
-    """Spans against every order day: more intervals than one task should compare."""
+    """Spans against every order day."""
     age = lambda c: F.datediff(F.lit(END).cast("date"), c.cast("date")).cast("double")
     spans = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(
         age(F.min("l_shipdate")).alias("fad"), age(F.max("l_shipdate")).alias("lad")
     )
     days = t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), age(F.col("o_orderdate")).alias("hi"))
     days = days.distinct().withColumn("lo", F.col("hi") - 1)
-    return group_counts(J.overlap_join(spans, days, cell=30.0), ["day"])
+    return group_counts(J.overlap_join(spans, days), ["day"])
 
 
 @query(

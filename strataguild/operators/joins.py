@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Interval rows that may be compared with every span directly.
-SMALL_INTERVALS = 1_000
+from strataguild.session import BROADCAST_ROWS, settle
+
+# Quantile stretches of an age axis: two to this power at most; finer cells cut them evenly.
+MOST_COARSE = 10
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -47,6 +50,31 @@ def _overlaps(fad: Column, lad: Column, hi: Column, lo: Column, closed: bool) ->
     return (lad <= hi) & (fad >= lo) if closed else (lad < hi) & (fad > lo)
 
 
+def _cell(x: Column, edges: Column, steps: Sequence[int], fine: int) -> Column:
+    """Cell of a position: which quantile stretch it lies in, cut evenly into ``2**fine`` cells."""
+    at = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda acc, s: acc + F.when(x >= F.get(edges, acc + s - 1), s).otherwise(0))
+    low, high = F.get(edges, at - 1), F.get(edges, at)
+    share = F.when(high > low, (x - low) / (high - low)).otherwise(0.0)
+    # Beyond the outer edges, or between infinite ones, a stretch is not cut.
+    part = F.coalesce(F.when(share.between(0.0, 1.0), F.floor(share * float(1 << fine))), F.lit(0))
+    return at.cast("bigint") * (1 << fine) + F.least(part, F.lit((1 << fine) - 1)).cast("bigint")
+
+
+def _cover(first: str, last: str, depth: int) -> Column:
+    """The fewest nodes of a binary tree over ``2**depth`` cells that make up the cells ``first..last``."""
+    left = f"((({first}) + shiftleft(1L, k) - 1) div shiftleft(1L, k))"
+    right = f"((({last}) + 1) div shiftleft(1L, k))"
+    node = lambda i: f"shiftleft(1L, {depth} - k) + {i}"
+    pair = f"""array(CASE WHEN {left} < {right} AND {left} % 2 = 1 THEN {node(left)} END,
+                     CASE WHEN {left} < {right} AND {right} % 2 = 1 THEN {node(f"{right} - 1")} END)"""
+    return F.expr(f"filter(flatten(transform(sequence(0, {depth}), k -> {pair})), x -> x IS NOT NULL)")
+
+
+def _path(cell: str, levels: Sequence[int], depth: int) -> Column:
+    """The nodes above a cell at the given levels (0 for the cell itself)."""
+    return F.array(*[F.expr(f"shiftleft(1L, {depth - k}) + shiftright({cell}, {k})") for k in levels])
+
+
 def overlap_join(
     spans: DataFrame,
     intervals: DataFrame,
@@ -55,34 +83,71 @@ def overlap_join(
     hi: str = "hi",
     lo: str = "lo",
     closed: bool = False,
-    cell: float | None = None,
 ) -> DataFrame:
     """Each span paired with every interval it overlaps.
 
     Ages count backwards: ``first`` >= ``last`` and ``hi`` >= ``lo``.  Open overlap
-    is ``last < hi and first > lo``; closed overlap uses <= and >=.  A counted,
-    small interval table is sent to every task and compared there.  A larger one is
-    joined on cells of width ``cell`` along the age axis, each pair being reported
-    only from the first cell the two share.
-    """
-    if cell is None and intervals.limit(SMALL_INTERVALS + 1).count() <= SMALL_INTERVALS:
-        cond = _overlaps(F.col(first), F.col(last), F.col(hi), F.col(lo), closed)
-        return spans.join(F.broadcast(intervals), cond, "inner")
-    if cell is None:
-        cell = intervals.agg(F.avg(F.col(hi) - F.col(lo))).first()[0] or 1.0
+    is ``last < hi and first > lo``; closed overlap uses <= and >=.  Rows with a null end overlap nothing.
 
-    def cells(df: DataFrame, top: str, bottom: str, start: str) -> DataFrame:
+    Two ranges meet if the later of their lower ends lies in the other range.  So ranges
+    become the few nodes of a binary tree that cover them, lower ends the nodes above
+    them, and every pair meets in exactly one node by an equi-join.  The tree's cells
+    follow the quantiles of the interval ends and their number.  Nodes that many spans
+    meet in are dealt over several tasks by a hash of the span.
+    """
+    known = intervals.where(F.col(hi).isNotNull() & F.col(lo).isNotNull())
+    total = known.count()
+    depth = max(1, math.ceil(math.log2(2 * max(1, total))))
+    coarse = min(depth, MOST_COARSE)
+    shares = [(i + 1) / (1 << coarse) for i in range((1 << coarse) - 1)]
+    ends = known.select(F.explode(F.array(F.col(lo).cast("double"), F.col(hi).cast("double"))).alias("x"))
+    # Taken once, so that both sides see the same cells: a short array, whatever the number of intervals.
+    found = ends.agg(F.percentile_approx("x", shares, F.lit(100 << coarse))).first()[0]
+    edges = F.lit(found or [0.0] * len(shares))
+    steps = [1 << (coarse - 1 - i) for i in range(coarse)]
+
+    def placed(df: DataFrame, top: str, bottom: str, low: str, high: str) -> DataFrame:
         known = df.where(F.col(top).isNotNull() & F.col(bottom).isNotNull())
-        low = F.floor(F.least(top, bottom) / cell)
-        high = F.floor(F.greatest(top, bottom) / cell)
-        return known.withColumn(start, low).withColumn("_cell", F.explode(F.sequence(low, high)))
-
-    left = cells(spans, first, last, "_sc")
-    right = cells(intervals, hi, lo, "_ic")
-    both = left.join(right, "_cell")
+        cell = lambda x: _cell(x.cast("double"), edges, steps, depth - coarse)
+        return known.withColumn(low, cell(F.least(top, bottom))).withColumn(high, cell(F.greatest(top, bottom)))
+
+    kinds = lambda points, ranges: F.array(
+        F.struct(F.lit(1).alias("k"), points.alias("n")), F.struct(F.lit(2).alias("k"), ranges.alias("n"))
+    )
+    right = placed(intervals, hi, lo, "_il", "_ih")
+    right = right.withColumn("_set", F.explode(kinds(_cover("_il", "_ih", depth), _path("_il", range(depth + 1), depth))))
+    right = right.select(*intervals.columns, F.col("_set.k").alias("_kind"), F.explode("_set.n").alias("_node"))
+    right = settle(right)
+    # Spans look only at the levels at which intervals have nodes.
+    level = F.expr(f"{depth + 1} - length(bin(_node))")
+    used = right.where("_kind = 1").agg(F.array_sort(F.collect_set(level))).first()[0]
+    left = placed(spans, first, last, "_sl", "_sh")
+    left = left.withColumn("_set", F.explode(kinds(_path("_sl", used, depth) if used else F.array().cast("array<bigint>"), _cover("_sl", "_sh", depth))))
+    left = left.select(*spans.columns, F.col("_set.k").alias("_kind"), F.explode("_set.n").alias("_node"))
+
+    on = ["_kind", "_node"]
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        both = left.join(F.broadcast(right), on)
+    else:
+        both = _dealt_join(left, right, on, [F.col(c) for c in spans.columns])
     keep = _overlaps(F.col(first), F.col(last), F.col(hi), F.col(lo), closed)
-    keep = keep & (F.col("_cell") == F.greatest("_sc", "_ic"))
-    return both.where(keep).drop("_cell", "_sc", "_ic")
+    span_low, low = F.least(first, last), F.least(hi, lo)
+    # Each pair is reported by the range that holds the later of the lower ends.
+    own = F.when(F.col("_kind") == 1, span_low >= low).otherwise(low > span_low)
+    return both.where(keep & own).drop("_kind", "_node")
+
+
+def _dealt_join(left: DataFrame, right: DataFrame, on: Sequence[str], row: Sequence[Column]) -> DataFrame:
+    """Inner join in which keys with more left rows than a task's even share are cut by a hash of the row."""
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = settle(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")))
+    share = F.lit(max(1, (counts.agg(F.sum("_n")).first()[0] or 0) // (4 * tasks)))
+    # At most four keys a task have so many rows.
+    hot = F.broadcast(counts.where(F.col("_n") > share).select(*on, F.ceil(F.col("_n") / share).cast("int").alias("_cuts")))
+    cuts = F.coalesce(F.col("_cuts"), F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_cut", F.pmod(F.xxhash64(*row), cuts).cast("int")).drop("_cuts")
+    copies = right.join(hot, on, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), cuts - 1))).drop("_cuts")
+    return dealt.join(copies, [*on, "_cut"]).drop("_cut")
 
 
 def present_only(df: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:

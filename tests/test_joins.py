@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strataguild.operators import joins as J
@@ -24,15 +25,41 @@ def test_overlap_edges(spark):
     assert closed == {("a", "old"), ("a", "young"), ("b", "old"), ("b", "young"), ("c", "old"), ("c", "young")}
 
 
-def test_cells_give_the_same_pairs(spark):
-    pdf = spans(spark)
-    df = spark.createDataFrame(pdf)
-    bins = spark.createDataFrame([(i, float(i + w), float(i)) for i in range(20) for w in (1, 3)], "i int, hi double, lo double")
-    for closed in (False, True):
-        direct = sorted(tuple(r) for r in J.overlap_join(df, bins, closed=closed).select("name", "i", "hi").collect())
-        for cell in (0.7, 2.0, 50.0):
-            got = J.overlap_join(df, bins, closed=closed, cell=cell).select("name", "i", "hi").collect()
-            assert sorted(tuple(r) for r in got) == direct
+@pytest.mark.parametrize("sent", [True, False])
+@pytest.mark.parametrize("closed", [True, False])
+def test_overlap_matches_all_comparisons(spark, sent, closed, monkeypatch):
+    """Narrow, wide, nested, equal and reversed ranges, nulls, and a crowd in the youngest interval; by broadcast and by shuffle."""
+    if not sent:
+        monkeypatch.setattr(J, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(7)
+    ages = [(int(i), float(f), float(la)) for i, f, la in spans(spark).itertuples(index=False)]
+    ages += [(100 + i, float(x), float(x) / 2) for i, x in enumerate(rng.uniform(0, 0.01, 200))]
+    ages += [(400, 25.0, -5.0), (401, 3.0, 3.0), (401, 3.0, 3.0), (402, None, 1.0), (403, 2.0, None), (404, 1.0, 4.0), (405, 1e9, 1e8), (406, float("inf"), 19.0)]
+    bins = [(i * 10 + w, float(i + w), float(i)) for i in range(20) for w in (1, 3)]
+    bins += [(1000 + i, float(x) + 0.001, float(x)) for i, x in enumerate(np.round(rng.uniform(0, 0.01, 40), 4))]
+    bins += [(2000, 20.0, 0.0), (2001, 5.0, 5.0), (2002, None, 1.0), (2003, 1.0, 6.0), (2004, float("inf"), 20.0)]
+
+    def meets(s, i):
+        if None in (*s, *i):
+            return False
+        return s[2] <= i[1] and s[1] >= i[2] if closed else s[2] < i[1] and s[1] > i[2]
+
+    want = sorted((s[0], i[0]) for s in ages for i in bins if meets(s, i))
+    df = spark.createDataFrame(ages, "name int, fad double, lad double").repartition(3)
+    ranges = spark.createDataFrame(bins, "i int, hi double, lo double").repartition(3)
+    joined = J.overlap_join(df, ranges, closed=closed)
+    assert sorted((r["name"], r["i"]) for r in joined.collect()) == want
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert J.overlap_join(df, ranges.limit(0)).count() == 0 and J.overlap_join(df.limit(0), ranges).count() == 0
+
+
+def test_cover_and_path_meet_once(spark):
+    """A cell and a range share one node if the cell lies in the range, else none."""
+    rows = [(a, b, c) for a in range(8) for b in range(a, 8) for c in range(8)]
+    df = spark.createDataFrame(rows, "a long, b long, c long")
+    both = F.size(F.array_intersect(J._cover("a", "b", 3), J._path("c", range(4), 3)))
+    assert all(r["n"] == (r["a"] <= r["c"] <= r["b"]) for r in df.select("*", both.alias("n")).collect())
 
 
 def test_null_safe_keys(spark):
