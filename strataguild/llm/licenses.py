@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataguild.llm.license_texts import TEXTS
+
 #: Words of a gram; the shortest phrase has as many.
 K = 3
 #: Diagonals this close belong to one match with words put in or left out.
 DRIFT = 3
-#: Share of a notice's grams that a merged span must hold.
+#: Share of a notice's words that a merged span must hold, and share of the span's words that must come from it.
 LEAST = 0.6
 BROADCAST_ROWS = 50_000
 
@@ -42,6 +45,7 @@ NOTICES = [
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", False),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", False),
 ]
+NOTICES += [Template(label, " ".join(re.findall("[a-z0-9]+", text.lower())), False) for label, text in TEXTS]
 
 
 def words(text: Column) -> Column:
@@ -73,12 +77,14 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     All k-grams of a document's words are joined by hash (and then text) to the template positions.  Hits are counted
     per offset diagonal (document word minus template word); the hits of a diagonal are verified words, so a base
     phrase stands exactly where its diagonal holds all its grams.  For longer notices, diagonals up to ``DRIFT`` apart
-    and near in the document are merged, and the merged span counts if it holds ``LEAST`` of the notice's grams.
+    and near in the document are merged.  A merged span is verified word by word: the places of the notice's words that it
+    holds, each counted once however often they are hit, must be ``LEAST`` of the notice, and those of the document's
+    words that they cover ``LEAST`` of the span.  Equal spans of one label are all listed.
 
     Returns ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans``: places of base
     phrases, their smallest and largest start, the sorted labels of the base phrases and of all matches, the best
-    share of a template's grams found (1 with a base phrase), and the notices' spans as (label, first word, last word,
-    share).  Null and empty texts give no places and score 0.  Repeated rows are all returned, with equal answers;
+    share of a notice's words found in a span (1 with a base phrase), and the notices' spans as (label, first word,
+    last word, share).  Texts are taken whole, however long.  Null and empty texts give no places and score 0.  Repeated rows are all returned, with equal answers;
     rows that share a doc_id but not a text are told apart.  Other columns are ignored.
     """
     templates = PHRASES + NOTICES if templates is None else templates
@@ -101,12 +107,15 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     # Copies of a row have equal hits; ``copies`` gives every one of them its row in the end.
     votes = (
         hits.groupBy("doc_id", "body", "n_words", "tpl", (F.col("dpos") - F.col("tpos")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("tpos").alias("votes"), F.min("dpos").alias("low"), F.max("dpos").alias("high"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.collect_set("tpos").alias("held"), F.min("dpos").alias("low"), F.max("dpos").alias("high"))
     )
     whole = votes.select(
-        "doc_id", "body", "n_words", "tpl", "diagonal", "rows", "votes", "low", "high", (base & (F.col("votes") == size)).alias("is_base"), base.alias("of_base")
+        "doc_id", "body", "n_words", "tpl", "diagonal", "rows", "held", "low", "high", (base & (F.size("held") == size)).alias("is_base"), base.alias("of_base")
     )
-    entry = F.struct("tpl", "low", "high", "diagonal", "votes")
+    # Places of the template's and of the document's words that a diagonal's grams cover.
+    covered = lambda places: F.array_distinct(F.flatten(F.transform(places, lambda x: F.sequence(x, x + K - 1))))
+    in_tpl = covered(F.col("held"))
+    entry = F.struct("tpl", "low", "high", "diagonal", in_tpl.alias("own"), F.transform(in_tpl, lambda x: x + F.col("diagonal")).alias("met"))
     gathered = whole.groupBy("doc_id", "body", "n_words").agg(
         F.max(F.when(F.col("tpl").isNull(), F.col("rows"))).alias("copies"),
         F.count(F.when(F.col("is_base"), 1)).alias("n_base"),
@@ -125,25 +134,27 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
             last["low"].alias("low"),
             F.greatest(last["high"], x["high"]).alias("high"),
             x["diagonal"].alias("diagonal"),
-            (last["votes"] + x["votes"]).alias("votes"),
+            F.array_union(last["own"], x["own"]).alias("own"),
+            F.array_union(last["met"], x["met"]).alias("met"),
         )
-        fresh = F.struct(*[x[f].alias(f) for f in ("tpl", "low", "high", "diagonal", "votes")])
+        fresh = F.struct(*[x[f].alias(f) for f in ("tpl", "low", "high", "diagonal", "own", "met")])
         return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
 
-    none = F.array().cast("array<struct<tpl:int,low:int,high:int,diagonal:int,votes:bigint>>")
+    none = F.array().cast("array<struct<tpl:int,low:int,high:int,diagonal:int,own:array<int>,met:array<int>>>")
     spans = F.aggregate("found", none, merge)
-    grams_of = F.array(*[F.lit(x) for x in sizes])
+    words_of = F.array(*[F.lit(x + K - 1) for x in sizes])
     scored = F.transform(
         spans,
         lambda x: F.struct(
             label(x["tpl"]).alias("label"),
             x["low"].cast("long").alias("first"),
             (x["high"] + K - 1).cast("long").alias("last"),
-            F.least(x["votes"] / F.get(grams_of, x["tpl"]), F.lit(1.0)).alias("share"),
+            (F.size(x["own"]) / F.get(words_of, x["tpl"])).alias("share"),
+            (F.size(x["met"]) / (x["high"] + K - x["low"])).alias("filled"),
         ),
     )
     done = gathered.select("*", F.transform("base_tpls", label).alias("base_names"), scored.alias("tried"))
-    spans = F.filter("tried", lambda x: x["share"] >= LEAST)
+    spans = F.filter("tried", lambda x: (x["share"] >= LEAST) & (x["filled"] >= LEAST))
     best = F.coalesce(F.array_max(F.transform("tried", lambda x: x["share"])), F.lit(0.0))
     out = done.select(
         "doc_id",
@@ -154,7 +165,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct("base_names")), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat("base_names", F.transform(spans, lambda x: x["label"])))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(best).alias("score"),
-        spans.alias("spans"),
+        F.transform(spans, lambda x: F.struct(*[x[f].alias(f) for f in ("label", "first", "last", "share")])).alias("spans"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     )
     return out.drop("copy")
