@@ -42,7 +42,7 @@ def query(name: str, columns: str, sql: str | None = None, ctes: str = ""):
         run.__doc__ = build.__doc__
         QUERIES[name] = run
         if sql is not None:
-            head = f"WITH {ctes} " if ctes else ""
+            head = f"WITH RECURSIVE {ctes} " if ctes else ""
             TWINS[name] = f"{head}SELECT {', '.join(_sql_column(*c) for c in spec)} FROM ({sql}) AS twin"
         return build
 

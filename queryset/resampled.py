@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from queryset.registry import query
-from queryset.views import TRAITS, draw_rank
+from queryset.views import TRAITS, bootstrap_sql, draw_rank, text_number
 from strataguild.operators import resample as R
 from strataguild.plans import fossil
 
-SIZES, SAMPLE_REPS, BOOT_REPS, SEED = (5, 20, 100), 10, 10, 1234
+SIZES, SAMPLE_REPS, BOOT_REPS, SEED = tuple(range(5, 101, 5)), 100, 1000, 1234
 STATS = "y0:d y5:d y25:d y50:d y75:d y95:d y100:d avg:d stddev:d"
 SUMMARY = """min(mass) AS y0, quantile_cont(mass, 0.05) AS y5, quantile_cont(mass, 0.25) AS y25, median(mass) AS y50,
   avg(mass) AS avg, quantile_cont(mass, 0.75) AS y75, quantile_cont(mass, 0.95) AS y95, max(mass) AS y100, stddev_samp(mass) AS stddev"""
@@ -17,9 +17,20 @@ SUB = f"""{RANKED}, draws AS (SELECT rk, gk, n, sample, rep, {draw_rank(['rk', '
   FROM sized, (VALUES {', '.join(f'({s})' for s in SIZES)}) AS k(sample), generate_series(1, {SAMPLE_REPS}) AS r(rep),
        generate_series(1, {max(SIZES)}) AS d(draw) WHERE draw <= sample),
 sub AS (SELECT rk, gk, n AS species, sample, rep, {SUMMARY} FROM draws JOIN ranked USING (rk, gk, rank) GROUP BY ALL)"""
-BOOT = f"""{RANKED}, draws AS (SELECT rk, gk, n, rep, {draw_rank(['rk', 'gk', 'rep', 'draw'], 'n', SEED)}
-  FROM sized, generate_series(1, {BOOT_REPS}) AS r(rep), (SELECT unnest(generate_series(1, (SELECT max(n) FROM sized))) AS draw) WHERE draw <= n),
-boot AS (SELECT rk, gk, n AS species, rep, {SUMMARY} FROM draws JOIN ranked USING (rk, gk, rank) GROUP BY ALL)"""
+# All seven quantiles from one list of values.
+SEVEN = """q[1] AS y0, q[2] AS y5, q[3] AS y25, q[4] AS y50, q[5] AS y75, q[6] AS y95, q[7] AS y100, avg, stddev"""
+AT_ONCE = """quantile_cont(mass, [0, 0.05, 0.25, 0.5, 0.75, 0.95, 1]) AS q, avg(mass) AS avg, stddev_samp(mass) AS stddev"""
+
+
+def boot_ctes(by: str, key, ranked: str) -> str:
+    return f"""{ranked}, {bootstrap_sql(by, key, BOOT_REPS, SEED, R.POSITIONS, R.FLIPS)},
+boot AS (SELECT {by}, n AS species, rep, {SEVEN} FROM (SELECT {by}, n, rep, {AT_ONCE} FROM draws JOIN ranked USING ({by}, rank) GROUP BY ALL))"""
+
+
+BOOT = boot_ctes("rk, gk", ["rk", "gk"], RANKED)
+TEXT_RANKED = f"""{TRAITS}, ranked AS (SELECT region, guild, mass, row_number() OVER (PARTITION BY region, guild ORDER BY mass) AS rank FROM traits),
+sized AS (SELECT region, guild, count(*) AS n FROM traits GROUP BY ALL)"""
+TEXT_BOOT = boot_ctes("region, guild", text_number(["region", "guild"]), TEXT_RANKED)
 
 
 def meta_sql(src: str, by: str, reps: int, least: int) -> str:
@@ -66,7 +77,7 @@ def bootstrap_ranges(t):
     return fossil.with_ranges(R.resample_meta(boot, ["rk", "gk"], 5))
 
 
-@query("bootstrap_hashed", f"region:s guild:s species:i rep:i {STATS}")
+@query("bootstrap_hashed", f"region:s guild:s species:i rep:i {STATS}", "SELECT * FROM boot", TEXT_BOOT)
 def bootstrap_hashed(t):
-    """Default hash draws over text keys; other engines lack the hash, so there is no SQL twin."""
+    """Default draws over text keys."""
     return R.bootstrap(t.traits(), ["region", "guild"], "mass", BOOT_REPS)

@@ -225,3 +225,44 @@ def mix31(cols, seed: int, out: str) -> str:
 
 def draw_rank(cols, n: str, seed: int) -> str:
     return f"{mix31(cols, seed, 'hi')}, {mix31(cols, seed + 1, 'lo')}, (hi * {P31} + lo) % {n} + 1 AS rank"
+
+
+def fold(state: str, key: str) -> str:
+    """SQL for one more key folded into a state column."""
+    x = f"(({state} * 48271 + {key} % {P31} + 11) % {P31})"
+    return f"((({x} * {x}) % {P31}) * 69621 + 7919) % {P31}"
+
+
+def finish(state: str) -> str:
+    return f"((({state}) * ({state})) % {P31} * 16807 + 5) % {P31}"
+
+
+def text_number(cols) -> str:
+    """SQL for the number of text keys."""
+    return f"CAST('0x' || substr(md5(concat_ws(chr(1), {', '.join(cols)})), 1, 13) AS BIGINT)"
+
+
+def bootstrap_sql(by: str, key, reps: int, seed: int, positions: int, flips: int) -> str:
+    """CTEs that end in ``draws``: by, n, rep, rank.
+
+    ``ranked`` and ``sized`` come before.  ``key`` lists whole-number columns, or is SQL for one number.
+    """
+    cols = key if isinstance(key, list) else ["kn"]
+    steps = ", ".join(mix31(cols, seed + i, s) for i, s in enumerate(("hi", "lo", "tr")))
+    last = f"_{len(cols) - 1}c"
+    number = "0 AS kn" if isinstance(key, list) else f"{key} AS kn"
+    keyed = f"""keyed AS (SELECT {by}, n, hi{last} AS hi, lo{last} AS lo, tr{last} AS tr FROM (SELECT *, {steps} FROM (SELECT *, {number} FROM sized)))"""
+    word = finish(fold("st", "w"))
+    return f"""{keyed},
+tree AS (
+  SELECT {by}, n, hi, lo, {fold('tr', 'rep')} AS tr, CASE WHEN n <= {positions} THEN 0 ELSE length(bin((n - 1) // {positions})) END AS k, rep, 0 AS lev, CAST(1 AS BIGINT) AS node, n AS m
+  FROM keyed, generate_series(1, {reps}) AS r(rep)
+  UNION ALL
+  SELECT {by}, n, hi, lo, tr, k, rep, lev + 1, 2 * node + side, CASE side WHEN 0 THEN ones ELSE m - ones END FROM (
+    SELECT *, CAST(list_sum(list_transform(range((m + {flips - 1}) // {flips}), lambda w:
+      bit_count(CAST(({word}) & (CASE WHEN (w + 1) * {flips} <= m THEN {(1 << flips) - 1} ELSE (1 << (m - w * {flips})) - 1 END) AS BIGINT)))) AS BIGINT) AS ones
+    FROM (SELECT *, {fold('tr', 'node')} AS st FROM tree WHERE lev < k AND m > 0)), (VALUES (0), (1)) AS s(side)),
+leaf AS (SELECT *, node - (1 << k) AS b, {fold('h1', 'node')} AS h2, {fold('l1', 'node')} AS l2 FROM (
+  SELECT *, {fold('hi', 'rep')} AS h1, {fold('lo', 'rep')} AS l1 FROM tree WHERE lev = k AND m > 0)),
+draws AS (SELECT {by}, n, rep, (b * n + ({finish('h3')} * {P31} + {finish('l3')}) % n) // (1 << k) + 1 AS rank FROM (
+  SELECT *, {fold('h2', 'd')} AS h3, {fold('l2', 'd')} AS l3 FROM (SELECT *, unnest(range(1, m + 1)) AS d FROM leaf)))"""

@@ -39,22 +39,42 @@ def mix31(cols: Sequence[Column], seed: int = 0) -> Column:
     return _finish(mix_state(cols, seed))
 
 
-def draw_states(keys: Sequence[Column], seed: int, rng: str) -> dict[str, Column]:
-    """Part of a draw that its work item shares, computed once per item.
+def key_number(cols: Sequence[Column]) -> Column:
+    """Whole number below 2^52 for keys of any type: the first 13 digits of the md5 of their texts."""
+    text = F.concat_ws("\x01", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
+def key_state(cols: Sequence[Column], seed: int, rng: str) -> Column:
+    """State of a work item's keys.
 
-    ``rng="hash"`` hashes keys of any type; ``rng="mix"`` wants whole-number keys and
-    can be repeated by other SQL engines.
+    ``rng="mix"`` wants whole-number keys; ``rng="hash"`` turns keys of any type into one
+    number first.  Either can be repeated by other SQL engines.
     """
     if rng == "hash":
-        return {"_s0": F.xxhash64(F.lit(seed), *keys)}
+        return mix_state([key_number(cols)], seed)
     if rng == "mix":
-        return {"_s0": mix_state(keys, seed), "_s1": mix_state(keys, seed + 1)}
+        return mix_state(cols, seed)
     raise ValueError(f"unknown rng {rng!r}")
 
 
-def draw_rank(draw: Column, n: Column, rng: str) -> Column:
+def draw_states(keys: Sequence[Column], seed: int, rng: str) -> dict[str, Column]:
+    """Part of a draw that its work item shares, computed once per item."""
+    return {"_s0": key_state(keys, seed, rng), "_s1": key_state(keys, seed + 1, rng)}
+
+
+def draw_rank(draw: Column, n: Column) -> Column:
     """Whole number in 1..n for a numbered draw of an item with its states."""
-    if rng == "hash":
-        return F.pmod(F.xxhash64("_s0", draw), n) + 1
     high, low = _finish(_fold(F.col("_s0"), draw)), _finish(_fold(F.col("_s1"), draw))
     return (high * PRIME + low) % n + 1
+
+
+def fold_in(state, key):
+    """``_fold`` for whole numbers or integer arrays."""
+    state = (state * 48271 + key % PRIME + 11) % PRIME
+    return ((state * state) % PRIME * 69621 + 7919) % PRIME
+
+
+def finished(state):
+    """``_finish`` for whole numbers or integer arrays."""
+    return ((state * state) % PRIME * 16807 + 5) % PRIME

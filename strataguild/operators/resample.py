@@ -2,23 +2,33 @@
 
 A draw is a whole number computed from its key, read as a position in the sorted
 values of its group.  Nothing depends on row order or partitioning.
+
+A resample at full size is never laid out.  How many of its draws fall into each block
+of positions is found by splitting their number in halves again and again; draws inside
+a block are made where the block's values are, and only sums and wanted values leave it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataguild.functions.seeded import draw_rank, draw_states
+from strataguild.functions.seeded import draw_rank, draw_states, finished, fold_in, key_state
 from strataguild.operators.joins import same_keys
 from strataguild.operators.order_stats import value_histogram, values_at_ranks, with_positions
-from strataguild.operators.quantiles import RESAMPLE, interpolated, order_statistics, resample_summary
+from strataguild.operators.quantiles import RESAMPLE, _wanted, interpolated, resample_summary
 from strataguild.operators.summaries import inverse_variance
 from strataguild.session import settle
 
 DRAW_BLOCK = 1 << 16
+# Positions of a block of a resample, about; draws that one task splits at once; coin flips in a random word.
+POSITIONS = 1 << 10
+SPLIT_DRAWS = 1 << 24
+FLIPS = 24
 # Trims used when averaging each statistic over replicates.
 META_TRIMS = {"y0": 0.0, "y5": 0.05, "y25": 0.25, "y50": 0.5, "y75": 0.75, "y95": 0.95, "y100": 1.0}
 
@@ -46,7 +56,7 @@ def _draws(items: DataFrame, by: Sequence[str], keys: Sequence[str], count: str,
     draws = blocks.withColumn(
         "draw", F.explode_outer(F.sequence(start + 1, F.least(start + DRAW_BLOCK, F.col(count).cast("bigint"))))
     )
-    ranked = draws.withColumn("rank", draw_rank(F.col("draw"), F.col("n_total"), rng))
+    ranked = draws.withColumn("rank", draw_rank(F.col("draw"), F.col("n_total")))
     return ranked.drop("_b", "draw", *states)
 
 
@@ -74,6 +84,120 @@ def subsample(
     return out.drop("n")
 
 
+def heads(state: int, first: int, last: int) -> int:
+    """Heads among the coin flips ``first`` to ``last - 1`` of a node; ``first`` starts a word."""
+    words = np.arange(first // FLIPS, -(-last // FLIPS), dtype=np.int64)
+    bits = finished(fold_in(state, words)) & ((1 << FLIPS) - 1)
+    if last % FLIPS:
+        bits[-1] &= (1 << last % FLIPS) - 1
+    return int(np.bitwise_count(bits).sum())
+
+
+def split(state: int, node: int, draws: int, levels: int) -> list[tuple[int, int]]:
+    """(node, draws) of the nodes ``levels`` below a node that get any of its draws, each half by a coin flip a draw."""
+    now = [(node, draws)]
+    for _ in range(levels):
+        below = []
+        for at, m in now:
+            left = heads(fold_in(state, at), 0, m)
+            below += [(2 * at, left)] if left else []
+            below += [(2 * at + 1, m - left)] if m > left else []
+        now = below
+    return now
+
+
+def block_counts(items: DataFrame, by: Sequence[str], split_draws: int = SPLIT_DRAWS) -> DataFrame:
+    """``by, rep, _block, _m``: draws of every replicate in every block that gets any.
+
+    ``items`` have ``by``, ``rep``, ``n_total``, ``_levels`` (a group has two to that power blocks) and ``_tree``, the
+    state of the replicate's coin flips.  More than ``split_draws`` draws are halved in slices, a level at a time; the
+    rest is split where it is.
+    """
+    key = [*by, "rep"]
+    nodes = items.select(*key, "_tree", "_levels", F.lit(1).cast("bigint").alias("_node"), F.col("n_total").alias("_m"))
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in key)
+
+    def flip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = zip(*[batch.column(c).to_pylist() for c in ("_tree", "_node", "_m", "_slice")], strict=True)
+            ones = [heads(fold_in(t, n), s * split_draws, min(m, (s + 1) * split_draws)) for t, n, m, s in parts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in (*key, "_tree", "_levels", "_node", "_m")] + [pa.array(ones, pa.int64())],
+                names=[*key, "_tree", "_levels", "_node", "_m", "_left"],
+            )
+
+    done = None
+    while (most := nodes.where(f"_levels > 0 AND _m > {split_draws}").agg(F.max("_levels")).first()[0]) is not None and most:
+        long = nodes.where(f"_levels > 0 AND _m > {split_draws}")
+        rest = nodes.where(f"NOT (_levels > 0 AND _m > {split_draws})")
+        done = rest if done is None else done.unionByName(rest)
+        slices = _spread(long.withColumn("_slice", F.explode(F.expr(f"sequence(0L, (_m - 1) div {split_draws})"))), *key, "_slice")
+        schema = f"{names}, _tree bigint, _levels int, _node bigint, _m bigint, _left bigint"
+        halves = slices.mapInArrow(flip, schema).groupBy(*key, "_tree", "_levels", "_node", "_m").agg(F.sum("_left").alias("_left"))
+        sides = F.array(
+            F.struct((F.col("_node") * 2).alias("_node"), F.col("_left").alias("_m")),
+            F.struct((F.col("_node") * 2 + 1).alias("_node"), (F.col("_m") - F.col("_left")).alias("_m")),
+        )
+        nodes = halves.select(*key, "_tree", (F.col("_levels") - 1).alias("_levels"), F.inline(sides)).where("_m > 0")
+        nodes = settle(nodes.select(*key, "_tree", "_levels", "_node", "_m"))
+    nodes = nodes if done is None else done.unionByName(nodes)
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = zip(*[batch.column(c).to_pylist() for c in ("_tree", "_node", "_m", "_levels")], strict=True)
+            found = [split(t, n, m, k) for t, n, m, k in parts]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            leaf = pa.array([n for f in found for n, _ in f], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(at) for c in key] + [leaf, pa.array([m for f in found for _, m in f], pa.int64())],
+                names=[*key, "_leaf", "_m"],
+            )
+
+    leaves = _spread(nodes, *key, "_node").mapInArrow(descend, f"{names}, _leaf bigint, _m bigint")
+    # The leading one of a leaf's number tells its level; without it, it is the block's place.
+    return leaves.select(*key, F.expr("_leaf - shiftleft(1L, length(bin(_leaf)) - 1)").alias("_block"), "_m")
+
+
+def _block_values(pos: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """``by, _block, _starts, _values``: first positions and values of the runs of equal values in every block.
+
+    Block ``j`` of ``b`` stands for the positions whose shares of the group overlap ``[j / b, (j + 1) / b)``.
+    """
+    blocks = "shiftleft(1L, _levels)"
+    first = f"(n_before * {blocks}) div n_total"
+    last = f"((n_before + n) * {blocks} - 1) div n_total"
+    runs = pos.withColumn("_block", F.explode(F.expr(f"sequence({first}, {last})")))
+    entry = F.struct(F.greatest(F.col("n_before"), F.expr(f"_block * n_total div {blocks}")).alias("s"), F.col(value).cast("double").alias("v"))
+    # One entry a position at most, and a block has a set number of positions.
+    return runs.groupBy(*by, "_block").agg(F.array_sort(F.collect_list(entry)).alias("_r")).select(
+        *by, "_block", F.col("_r.s").alias("_starts"), F.col("_r.v").alias("_values")
+    )
+
+
+def _drawn_sums(state_high: int, state_low: int, block: int, levels: int, total: int, starts, values, reps, draws, wants, shift: float) -> list[dict]:
+    """Sums and wanted values of the draws that fall into a block, for each of some replicates."""
+    blocks = 1 << levels
+    rep = np.repeat(np.array(reps, np.int64), draws)
+    at = np.arange(len(rep)) - np.repeat(np.cumsum(draws) - draws, draws) + 1
+    part = [finished(fold_in(fold_in(fold_in(s, rep), blocks + block), at)) for s in (state_high, state_low)]
+    share = (part[0] * 2147483647 + part[1]) % total
+    place = block * (total // blocks) + (block * (total % blocks) + share) // blocks
+    run = np.searchsorted(starts, place, side="right") - 1
+    x = values[run]
+    ends = np.cumsum(draws)
+    centred = x - shift
+    s1, s2 = (np.add.reduceat(y, ends - draws) for y in (centred, centred * centred))
+    out = []
+    for i, (r, m, want) in enumerate(zip(reps, draws.tolist(), wants, strict=True)):
+        picks = []
+        if want:
+            ordered = np.sort(x[ends[i] - m : ends[i]])
+            picks = [{"key": w["key"], "value": float(ordered[w["rank"] - 1])} for w in want]
+        out.append({"rep": r, "s1": float(s1[i]), "s2": float(s2[i]), "picks": picks})
+    return out
+
+
 def bootstrap(
     df: DataFrame,
     by: Sequence[str],
@@ -81,32 +205,73 @@ def bootstrap(
     reps: int,
     seed: int = 1234,
     rng: str = "hash",
+    positions: int = POSITIONS,
+    split_draws: int = SPLIT_DRAWS,
 ) -> DataFrame:
     """Summary of ``reps`` resamples of each group at its full size ``species``.
 
-    Values rise with their positions, so the quantiles of a resample sit at order
-    statistics of its drawn positions; only the moments need the value of every draw.
+    The draws of a replicate are multinomial over equally likely blocks of at most about
+    ``positions`` positions.  A block is read once for all replicates; shuffled are one
+    count and one pair of sums a block and replicate, never the draws.
     """
     pos = with_positions(value_histogram(df, by, value), by, value)
-    sized = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n_total"))
-    items = _numbered(settle(sized), "rep", F.lit(reps)).withColumn("species", F.col("n_total"))
-    draws = _draws(items, by, ["rep"], "n_total", seed, rng)
-    keys = [*by, "species", "rep"]
-    moments = (
-        values_at_ranks(pos, draws, by, value)
-        .groupBy(*keys)
-        .agg(F.avg(value).alias("avg"), F.stddev_samp(value).alias("stddev"))
+    pos = settle(pos.select(*by, value, "n", "n_before", "n_total"))
+    sized = pos.groupBy(*by).agg(
+        F.max("n_total").alias("n_total"), (F.sum(F.col("n") * F.col(value)) / F.sum("n")).alias("_shift")
     )
-    places = order_statistics(draws, keys, "rank", RESAMPLE)
-    asked = places.select(
-        *keys, F.col("n").alias("n_total"), F.explode("_v").alias("_key", "rank")
+    levels = F.expr(f"CASE WHEN n_total <= {positions} THEN 0 ELSE length(bin((n_total - 1) div {positions})) END").cast("int")
+    states = {f"_{name}": key_state([F.col(c) for c in by], seed + i, rng) for i, name in enumerate(("high", "low", "tree"))}
+    sized = settle(sized.withColumn("_levels", levels).withColumns(states))
+    items = _numbered(sized.select(*by, "n_total", "_levels", "_tree"), "rep", F.lit(reps))
+    # The replicate is folded into the state, so that its coin flips are its own.
+    items = items.withColumn("_tree", F.expr("(_tree * 48271 + rep % 2147483647 + 11) % 2147483647"))
+    items = items.withColumn("_tree", F.expr("((_tree * _tree) % 2147483647 * 69621 + 7919) % 2147483647"))
+    counts = settle(block_counts(_spread(items, *by, "rep"), by, split_draws))
+
+    key = [*by, "rep"]
+    few = same_keys(counts, sized.select(*by, F.col("n_total").alias("_n")), by)
+    before = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = few.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    inside = lambda w: (w["rank"] > F.col("_before")) & (w["rank"] <= F.col("_before") + F.col("_m"))
+    local = lambda w: F.struct(w["key"].alias("key"), (w["rank"] - F.col("_before")).alias("rank"))
+    want = F.transform(F.filter(F.expr(_wanted("_n", RESAMPLE)), inside), local)
+    per_block = placed.groupBy(*by, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("rep", F.col("_m").alias("m"), want.alias("want")))).alias("_reps")
     )
-    found = values_at_ranks(pos, asked, by, value)
-    found = found.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("_key", value))).alias("_v")
+    values = same_keys(_block_values(same_keys(pos, sized.select(*by, "_levels"), by), by, value), sized, by)
+    work = same_keys(values, per_block, [*by, "_block"])
+    place = {c: i for i, c in enumerate(work.columns)}
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                get = lambda c: batch.column(place[c])[i].as_py()  # noqa: B023, E731
+                listed = get("_reps")
+                found = _drawn_sums(
+                    get("_high"), get("_low"), get("_block"), get("_levels"), get("n_total"),
+                    np.array(get("_starts"), np.int64), np.array(get("_values"), float),
+                    [r["rep"] for r in listed], np.array([r["m"] for r in listed], np.int64), [r["want"] for r in listed], get("_shift"),
+                )
+                keys = [pa.repeat(batch.column(place[c])[i], len(found)) for c in (*by, "n_total", "_shift")]
+                rest = [pa.array([f[c] for f in found], t) for c, t in sums.items()]
+                yield pa.RecordBatch.from_arrays(keys + rest, names=[*by, "n_total", "_shift", *sums])
+
+    pick = pa.list_(pa.struct([("key", pa.string()), ("value", pa.float64())]))
+    sums = {"rep": pa.int32(), "s1": pa.float64(), "s2": pa.float64(), "picks": pick}
+    names = ", ".join(f"`{c}` {work.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{names}, n_total bigint, _shift double, rep int, s1 double, s2 double, picks array<struct<key:string,value:double>>"
+    drawn = work.repartition(*by, "_block").mapInArrow(draw, schema)
+    total = drawn.groupBy(*by, "n_total", "_shift", "rep").agg(
+        F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.flatten(F.collect_list("picks")).alias("_p")
     )
-    summary = interpolated(found.withColumn("n", F.col("species")), keys, RESAMPLE).drop("n")
-    return same_keys(summary, moments, keys)
+    total = total.select(
+        *by, F.col("n_total").alias("species"), "rep", F.map_from_entries("_p").alias("_v"), F.col("n_total").alias("n"),
+        (F.col("_shift") + F.col("s1") / F.col("n_total")).alias("avg"),
+        F.when(F.col("n_total") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n_total")) / (F.col("n_total") - 1)))).alias("stddev"),
+    )
+    keys = [*by, "species", "rep"]
+    kept = interpolated(total, [*keys, "avg", "stddev"], RESAMPLE)
+    return kept.select(*keys, *[name for name, _ in RESAMPLE], "avg", "stddev")
 
 
 def _trimmed(ordered: Column, trim: float) -> Column:

@@ -33,6 +33,42 @@ def test_bootstrap_is_independent_of_partitioning(sample):
         assert mine.y0.min() >= part.v.min() and mine.y100.max() <= part.v.max()
 
 
+def test_counts_of_blocks_do_not_depend_on_how_they_are_split(spark):
+    """Splitting in slices over the cluster gives the counts of splitting in place; they are multinomial."""
+    items = spark.createDataFrame([("a", r, 9000, 4, 77 + r) for r in range(1, 61)], "g string, rep int, n_total bigint, _levels int, _tree bigint")
+    whole = frame(R.block_counts(items, ["g"]), ["rep", "_block"])
+    sliced = frame(R.block_counts(items, ["g"], split_draws=24 * 30), ["rep", "_block"])
+    pd.testing.assert_frame_equal(whole, sliced)
+    wide = whole.pivot(index="rep", columns="_block", values="_m")
+    assert wide.shape == (60, 16) and (wide.sum(axis=1) == 9000).all()
+    p = 1 / 16
+    assert abs(wide.to_numpy().mean() - 9000 * p) < 1e-9
+    assert 0.8 < wide.to_numpy().var() / (9000 * p * (1 - p)) < 1.2
+
+
+@pytest.mark.parametrize("positions", [7, 64])
+def test_blocks_cover_every_position_evenly(spark, positions):
+    """Uneven blocks: every position is drawn with one chance, and the summaries are those of the drawn values."""
+    n, reps = 150, 400
+    df = spark.createDataFrame([("a", float(i)) for i in range(n)], "g string, v double")
+    got = frame(R.bootstrap(df, ["g"], "v", reps, positions=positions), ["rep"])
+    assert len(got) == reps
+    mean, se = (n - 1) / 2, np.sqrt((n * n - 1) / 12 / n)
+    assert abs(got.avg.mean() - mean) < 5 * se / np.sqrt(reps) and 0.85 < got.avg.std() / se < 1.15
+    # Of n draws the smallest position is missed with chance (1 - 1/n)^n.
+    for edge, col in ((0.0, "y0"), (n - 1.0, "y100")):
+        assert abs((got[col] != edge).mean() - (1 - 1 / n) ** n) < 0.1
+    assert (got[["y0", "y5", "y25", "y50", "y75", "y95", "y100"]].diff(axis=1).iloc[:, 1:] >= 0).all().all()
+
+
+def test_drawn_sums_are_those_of_the_listed_draws():
+    starts, values = np.array([10, 13, 14]), np.array([1.0, 5.0, 7.0])
+    want = [[{"key": "k", "rank": 2}], []]
+    a, b = R._drawn_sums(11, 12, 1, 1, 20, starts, values, [3, 4], np.array([50, 1]), want, 2.0)
+    assert (a["rep"], b["rep"], b["picks"]) == (3, 4, []) and a["picks"][0]["value"] in values
+    assert -50 <= a["s1"] <= 250 and a["s2"] >= a["s1"] ** 2 / 50
+
+
 def test_subsample_sizes(sample):
     df, pdf = sample
     got = frame(R.subsample(df, ["g"], "v", [5, 50], 30), ["g", "sample", "rep"])
