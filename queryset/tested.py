@@ -64,6 +64,34 @@ def taxon_tests(t):
     return living.taxon_tests(t.traits(), GUILDS, ["region"], "mass")
 
 
+FLAGS = ("A", "N", "R")
+PRICED = f"""priced AS (SELECT l_partkey AS part, l_returnflag AS flag, l_extendedprice * (1 - l_discount) AS v FROM lineitem)"""
+
+
+@query(
+    "rank_sum_small_samples",
+    "part:i group_a:s group_b:s n_a:i n_b:i stat:c p:p",
+    f"""SELECT t.part, group_a, group_b, t.n_a, t.n_b, t.stat, CASE WHEN z.ties = 0 AND t.n_a < 50 AND t.n_b < 50 THEN least(1.0::DOUBLE, 2 * tail) ELSE t.p END AS p
+        FROM tests t JOIN zs z ON t.part = z.part AND t.group_a = z.ga AND t.group_b = z.gb
+        LEFT JOIN tails ON tails.a = t.n_a AND tails.b = t.n_b AND tails.u = least(CAST(round(t.stat) AS BIGINT), CAST(t.n_a * t.n_b - round(t.stat) AS BIGINT))""",
+    f"""{PRICED}, {rank_sum('priced', 'part', 'flag', FLAGS, 'v', False)},
+    most AS (SELECT max(greatest(n_a, n_b)) AS n FROM sums WHERE ties = 0 AND n_a < 50 AND n_b < 50),
+    law AS (SELECT 0 AS a, 0 AS b, CAST(0 AS BIGINT) AS u, 1.0::DOUBLE AS c UNION ALL (
+      SELECT a, b, u, sum(c) AS c FROM (
+        SELECT a + 1 AS a, b, u + b AS u, c * (a + 1) / (a + b + 1) AS c FROM law, most WHERE a < n UNION ALL
+        SELECT a, b + 1, u, c * (b + 1) / (a + b + 1) FROM law, most WHERE b < n) GROUP BY a, b, u)),
+    tails AS (SELECT a, b, u, sum(c) OVER (PARTITION BY a, b ORDER BY u) AS tail FROM law)""",
+)
+def rank_sum_small_samples(t):
+    """Samples below 50: the exact law where values are untied, the normal one where they are tied."""
+    priced = t.lineitem.select(
+        F.col("l_partkey").alias("part"),
+        F.col("l_returnflag").alias("flag"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"),
+    )
+    return RT.pairwise_rank_sum(priced, "v", "flag", FLAGS, ["part"])
+
+
 def region_table_sql(regions, region: str) -> tuple[str, str]:
     cols = ", ".join(f"max(p_adj) FILTER (guild = '{g}') AS \"{g}\"" for g in GUILDS)
     counts = ", ".join(f"sum(CASE WHEN \"{g}\" < 0.05 THEN 1 ELSE 0 END) AS \"{g}\"" for g in GUILDS)

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from strataguild.functions.normal import two_sided_p
 from strataguild.functions.scalar import stars
-from strataguild.operators.order_stats import running
+from strataguild.operators.joins import same_keys
+from strataguild.operators.order_stats import running, value_histogram
+from strataguild.operators.rank_search import SHORT
 from strataguild.operators.reshape import add_count_row, to_wide
-from strataguild.session import settle
+from strataguild.session import marked, settle
 
 EXACT_BELOW = 50
 
@@ -104,38 +104,38 @@ def level_name(index: str, levels: Sequence[str]) -> Column:
     return F.get(F.array(*[F.lit(x) for x in levels]), F.col(index))
 
 
-@F.pandas_udf(DoubleType())
-def exact_rank_sum_p(na: pd.Series, nb: pd.Series, u: pd.Series) -> pd.Series:
-    """Two-sided exact p of U for samples below 50 without ties; null elsewhere."""
-    import numpy as np
-
-    laws: dict[tuple[int, int], np.ndarray] = {}
-
-    def law(m: int, n: int) -> np.ndarray:
-        # Counts of U: Gaussian binomial coefficients in exact integers.
-        if (m, n) not in laws:
-            size = m * n + 1
-            c = [1] + [0] * (size - 1)
-            for i in range(1, m + 1):
-                for j in range(size - 1, n + i - 1, -1):
-                    c[j] -= c[j - n - i]
-                for j in range(i, size):
-                    c[j] += c[j - i]
-            total = sum(c)
-            laws[m, n] = np.array([x / total for x in c])
-        return laws[m, n]
-
-    out = []
-    for m, n, stat in zip(na, nb, u):
-        if pd.isna(stat):
-            out.append(None)
-            continue
-        m, n = int(m), int(n)
-        cdf = np.cumsum(law(m, n))
-        q = int(round(stat))
-        tail = 1.0 - (cdf[q - 1] if q > 0 else 0.0) if stat > m * n / 2 else cdf[q]
-        out.append(min(1.0, 2.0 * tail))
-    return pd.Series(out, dtype="float64")
+def rank_sum_laws(sizes: DataFrame) -> DataFrame:
+    """``n_a, n_b, _law`` of every pair of sample sizes below ``EXACT_BELOW``: the chance of each U from 0 to n_a * n_b.
+
+    The largest of the pooled values is one of a's with chance n_a / (n_a + n_b) and then beats all of b's; so the law
+    of (n_a, n_b) is a mix of those of (n_a - 1, n_b), shifted, and (n_a, n_b - 1).  One row per distinct n_a carries
+    the laws of all its n_b along, whatever the number of tests.
+    """
+    asked = sizes.select(F.col("n_a").cast("int"), F.col("n_b").cast("int")).distinct()
+    one = F.array(F.lit(1.0))
+
+    def next_row(before: Column, a: Column) -> Column:
+        def law(b: Column, row: Column) -> Column:
+            won = F.concat(F.array_repeat(F.lit(0.0), b), F.get(before, b))
+            lost = F.concat(F.get(row, b - 1), F.array_repeat(F.lit(0.0), a))
+            return F.zip_with(won, lost, lambda x, y: (x * a + y * b) / (a + b))
+
+        return F.aggregate(F.sequence(F.lit(1), F.col("_most")), F.array(one), lambda row, b: F.concat(row, F.array(law(b, row))))
+
+    start = F.transform(F.sequence(F.lit(0), F.col("_most")), lambda _: one)
+    rows = asked.groupBy("n_a").agg(F.max("n_b").alias("_most"), F.collect_set("n_b").alias("_asked"))
+    # As many rows as sizes below the bound.
+    rows = rows.withColumn("_laws", F.aggregate(F.sequence(F.lit(1), F.col("n_a")), start, next_row))
+    out = rows.select("n_a", "_laws", F.explode("_asked").alias("n_b"))
+    return out.select(F.col("n_a").cast("bigint"), F.col("n_b").cast("bigint"), F.get("_laws", F.col("n_b")).alias("_law"))
+
+
+def exact_rank_sum_p(law: Column, stat: Column) -> Column:
+    """Two-sided p of U under its law; the law is symmetric, so the nearer tail counts twice."""
+    last = F.size(law) - 1
+    u = F.round(stat).cast("int")
+    tail = F.aggregate(F.slice(law, 1, F.least(u, last - u) + 1), F.lit(0.0), lambda acc, x: acc + x)
+    return F.least(F.lit(1.0), tail * 2.0)
 
 
 def pairwise_rank_sum(
@@ -169,8 +169,12 @@ def pairwise_rank_sum(
     p = F.when(sigma > 0, two_sided_p(z))
     if exact == "auto":
         small = (F.col("n_a") < EXACT_BELOW) & (F.col("n_b") < EXACT_BELOW) & (F.col("_ties") == 0)
-        law = exact_rank_sum_p("n_a", "n_b", F.when(small, d("stat")))
-        p = F.when(small, law).otherwise(p)
+        sums = settle(sums.withColumn("_p", p).withColumn("_small", F.coalesce(small, F.lit(False))))
+        # At most one law per pair of sizes below the bound.
+        laws = F.broadcast(settle(rank_sum_laws(sums.where("_small"))))
+        own = (sums["n_a"] == laws["n_a"]) & (sums["n_b"] == laws["n_b"]) & F.col("_small")
+        sums = sums.join(laws.select("n_a", "n_b", "_law"), own, "left").drop(laws["n_a"]).drop(laws["n_b"])
+        p = F.when(F.col("_small"), exact_rank_sum_p(F.col("_law"), d("stat"))).otherwise(F.col("_p"))
     out = sums.select(
         *by,
         level_name("ia", levels).alias("group_a"),
@@ -187,16 +191,25 @@ def pairwise_rank_sum(
 
 
 def p_adjust(df: DataFrame, p: str = "p", family: Sequence[str] = (), name: str = "p_adj") -> DataFrame:
-    """Holm step-down adjustment within each family; null p-values do not count."""
-    # A table of tests is short and costly to compute, so it is computed once.
+    """Holm step-down adjustment within each family; null p-values do not count.
+
+    Equal p-values are counted, stepped down as one and get the same adjusted value: the first of them is scaled the
+    most, and the others can't fall below it.
+    """
+    # A table of tests is costly to compute, so it is computed once.
     df = settle(df)
-    known = df.where(F.col(p).isNotNull())
-    ranked = running(known.withColumn("_one", F.lit(1)), family, p, [("_before", "_one", "sum")], [("_m", "_one")])
-    scored = ranked.withColumn("_score", (F.col("_m") - F.col("_before")) * F.col(p))
-    stepped = running(scored, family, p, [("_top", "_score", "max")], inclusive=True)
-    done = stepped.withColumn(name, F.least(F.lit(1.0), F.col("_top")))
-    nulls = df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double"))
-    return done.select(*df.columns, name).unionByName(nulls)
+    counts = settle(value_histogram(df, family, p))
+    if counts.limit(SHORT + 1).count() <= SHORT:
+        upto = Window.partitionBy(*family).orderBy(p)
+        before = F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        left = F.sum("n").over(Window.partitionBy(*family)) - before
+        stepped = counts.withColumn("_score", left * F.col(p)).withColumn("_top", F.max("_score").over(upto))
+    else:
+        ranked = running(counts, family, p, [("_before", "n", "sum")], [("_m", "n")])
+        scored = ranked.withColumn("_score", (F.col("_m") - F.col("_before")) * F.col(p))
+        stepped = running(scored, family, p, [("_top", "_score", "max")], inclusive=True)
+    adjusted = marked(settle(stepped.select(*family, p, F.least(F.lit(1.0), F.col("_top")).alias(name))))
+    return same_keys(df, adjusted, [*family, p], "left").select(*df.columns, name)
 
 
 def among_region_table(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataguild.functions.nulls import propagate
 from strataguild.functions.scalar import normal_interval, trunc
 from strataguild.operators.joins import same_keys
 from strataguild.operators.quantiles import quantiles
-from strataguild.session import measured
+from strataguild.session import measured, settle
 
 
 def group_counts(df: DataFrame, by: Sequence[str], name: str = "n") -> DataFrame:
@@ -31,20 +31,18 @@ def range_summary(df: DataFrame, by: Sequence[str], value: str, name: str) -> Da
 
     Nulls are skipped; on ties the name that sorts first is reported.
     """
-    known = df.where(F.col(value).isNotNull())
-    low = F.min(F.struct(F.col(value).alias("v"), F.col(name).alias("k")))
-    # Largest value, then smallest name: negate the value instead of the name.
-    high = F.min(F.struct((-F.col(value)).alias("v"), F.col(name).alias("k")))
-    ends = known.groupBy(*by).agg(low.alias("_a"), high.alias("_b"))
-    ends = ends.select(
-        *by,
-        F.col("_a.v").alias("min_size"),
-        F.col("_a.k").alias("which_min"),
-        (-F.col("_b.v")).alias("max_size"),
-        F.col("_b.k").alias("which_max"),
-    )
-    med = quantiles(df, by, value, (("med_size", 0.5),)).drop("n")
-    return same_keys(ends, med, by)
+    rows = settle(df.where(F.col(value).isNotNull()).select(*by, value, name))
+    # Plain extremes first, then the names among the few rows that hold them.
+    ends = measured(rows.groupBy(*by).agg(F.min(value).alias("min_size"), F.max(value).alias("max_size")))
+    found = ends
+    for end, which in (("min_size", "which_min"), ("max_size", "which_max")):
+        held = same_keys(rows, ends.select(*by, end), by).where(F.col(value) == F.col(end))
+        names = held.groupBy(*by, name).agg(F.count(F.lit(1)).alias("_n"))
+        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(name).asc_nulls_first()))
+        names = names.withColumn("_first", first).where(F.col("_first") == 1).select(*by, F.col(name).alias(which))
+        found = same_keys(found, names, by)
+    med = quantiles(rows, by, value, (("med_size", 0.5),)).drop("n")
+    return same_keys(found, med, by).select(*by, "min_size", "which_min", "max_size", "which_max", "med_size")
 
 
 def period_contrasts(

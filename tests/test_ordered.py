@@ -194,3 +194,11 @@ def test_density_of_a_constant_group(spark):
     df = spark.createDataFrame([(5.0,), (5.0,)], "v double")
     peak = density(df, "v", [], 3).collect()[0]["density"]
     assert peak == pytest.approx(1 / (0.9 * 5 * 2**-0.2 * np.sqrt(2 * np.pi)))
+
+
+def test_range_summary_names_and_plan(spark):
+    """Names of the extremes are found among equal rows only; nothing is sorted to aggregate."""
+    rows = [("g", 1.0, "c"), ("g", 1.0, "b"), ("g", 9.0, "z"), ("g", 9.0, "y"), ("g", None, "a"), ("h", 2.0, None), (None, 3.0, "n")]
+    got = S.range_summary(spark.createDataFrame(rows, "g string, v double, k string"), ["g"], "v", "k")
+    assert {tuple(r) for r in got.collect()} == {("g", 1.0, "b", 9.0, "y", 5.0), ("h", 2.0, None, 2.0, None, 2.0), (None, 3.0, "n", 3.0, "n", 3.0)}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()

@@ -51,6 +51,53 @@ def test_neighbours_skip_missing_levels(sample):
     assert pairs == {("p", "a", "b"), ("p", "b", "c"), ("p", "c", "d"), ("q", "a", "c"), ("q", "c", "d")}
 
 
+def plain_law(m, n):
+    """Counts of U over all ways to place m values among m + n, by sums of ranks."""
+    ways = [[0] * (m * (m + n) + 1) for _ in range(m + 1)]
+    ways[0][0] = 1
+    for rank in range(1, m + n + 1):
+        for k in range(min(rank, m), 0, -1):
+            for s in range(len(ways[k]) - 1, rank - 1, -1):
+                ways[k][s] += ways[k - 1][s - rank]
+    low = m * (m + 1) // 2
+    return [x / math.comb(m + n, m) for x in ways[m][low : low + m * n + 1]]
+
+
+def test_rank_sum_laws_of_all_sizes(spark):
+    sizes = [(1, 1), (1, 7), (7, 1), (3, 5), (5, 3), (12, 9), (30, 17), (49, 49)]
+    df = spark.createDataFrame(sizes, "n_a bigint, n_b bigint")
+    got = {(r["n_a"], r["n_b"]): r["_law"] for r in RT.rank_sum_laws(df.union(df)).collect()}
+    assert set(got) == set(sizes)
+    for (m, n), law in got.items():
+        assert len(law) == m * n + 1 and np.allclose(law, plain_law(m, n), rtol=1e-10, atol=0)
+
+
+def test_holm_of_very_many_equal_values(spark):
+    """A million tests of one p in one family, beside a few others: counts are stepped down, not rows."""
+    same = spark.range(1_000_000).select(F.lit("a").alias("f"), F.lit(1.0).alias("p"))
+    few = spark.createDataFrame([("a", 0.001), ("a", 0.001), ("a", 0.5), ("b", 0.01), ("b", None)], "f string, p double")
+    got = RT.p_adjust(same.unionByName(few), family=["f"]).groupBy("f", "p", "p_adj").count().collect()
+    assert {(r["f"], r["p"], r["p_adj"], r["count"]) for r in got} == {
+        ("a", 1.0, 1.0, 1_000_000), ("a", 0.001, 1.0, 2), ("a", 0.5, 1.0, 1), ("b", 0.01, 0.01, 1), ("b", None, None, 1),
+    }
+
+
+def test_holm_by_range_parts_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(str(i % 3), float(np.round(x, 2))) for i, x in enumerate(rng.random(300) ** 3)]
+    df = spark.createDataFrame(rows, "f string, p double")
+    direct = sorted(tuple(r) for r in RT.p_adjust(df, family=["f"]).collect())
+    monkeypatch.setattr(RT, "SHORT", 0)
+    assert sorted(tuple(r) for r in RT.p_adjust(df, family=["f"]).collect()) == direct
+    for f in "012":
+        own = sorted(p for g, p in rows if g == f)
+        step, want = 0.0, []
+        for i, p in enumerate(own):
+            step = max(step, (len(own) - i) * p)
+            want.append(min(1.0, step))
+        assert np.allclose(sorted(a for g, _, a in direct if g == f), want)
+
+
 def test_exact_law_for_small_untied_samples(spark):
     a, b = [1.1, 2.3, 5.7, 8.1], [0.4, 3.3, 3.9, 6.6, 9.9]
     df = spark.createDataFrame([("x", v) for v in a] + [("y", v) for v in b], "g string, v double")
