@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queryset.registry import query
-from queryset.views import BIOMES, GUILDS, REGIONS, TRAITS, holm, mix31, pair_table, rank_sum, star
+from queryset.views import BIOMES, GUILDS, REGIONS, TRAITS, holm, mix31, pair_table, permuted, rank_sum, star
 from strataguild.functions.scalar import stars
 from strataguild.operators import percentile_tests as PT
 from strataguild.operators import quantreg
@@ -160,16 +160,31 @@ def percentile_perm_dealt(t):
     )
 
 
-@query("percentile_perm", DIFF + " hits:i p:p p_adj:p stars:s")
+PERM_REPS, REGION_REPS, SEED = 5000, 20_000, 1234
+
+
+@query(
+    "percentile_perm",
+    DIFF + " hits:i p:p p_adj:p stars:s",
+    f"SELECT *, {star('p_adj')} AS stars FROM ({holm('tests')})",
+    f"{TRAITS}, {permuted('traits', 'region', 'guild', GUILDS, 'mass', True, 0.9, PERM_REPS, SEED)}",
+)
 def percentile_perm(t):
-    """Drawn permutations have no SQL twin; the sampler is checked against full enumeration in the tests."""
-    return fossil.guild_percentile_tests(t.traits(), ["region"], GUILDS, "mass", r=5000)
+    return fossil.guild_percentile_tests(t.traits(), ["region"], GUILDS, "mass", r=PERM_REPS, seed=SEED)
+
+
+def percentile_table_sql(regions, region: str, r: int) -> tuple[str, str]:
+    cols = ", ".join(f"max(p_adj) FILTER (guild = '{g}') AS \"{g}\"" for g in GUILDS)
+    counts = ", ".join(f"sum(CASE WHEN \"{g}\" < 0.05 THEN 1 ELSE 0 END) AS \"{g}\"" for g in GUILDS)
+    ctes = f"""{TRAITS}, {permuted('traits', 'guild', region, regions, 'mass', False, 0.9, r, SEED)},
+    wide AS (SELECT group_a || ' - ' || group_b AS pair, {cols} FROM ({holm('tests')}) GROUP BY 1)"""
+    return f"SELECT * FROM wide UNION ALL SELECT '# Significant', {counts} FROM wide", ctes
 
 
-@query("among_region_percentile", WIDE)
+@query("among_region_percentile", WIDE, *percentile_table_sql(REGIONS, "region", REGION_REPS))
 def among_region_percentile(t):
-    """All region pairs within each guild, 90th percentile; drawn permutations have no SQL twin."""
-    return living.among_region_percentiles(t.traits(), "region", REGIONS, "guild", GUILDS, "mass", r=2000)
+    """All region pairs within each guild at the 90th percentile."""
+    return living.among_region_percentiles(t.traits(), "region", REGIONS, "guild", GUILDS, "mass", r=REGION_REPS, seed=SEED)
 
 
 QR_POINTS = """pts AS (SELECT o_orderpriority AS priority, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS x,

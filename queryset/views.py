@@ -266,3 +266,58 @@ leaf AS (SELECT *, node - (1 << k) AS b, {fold('h1', 'node')} AS h2, {fold('l1',
   SELECT *, {fold('hi', 'rep')} AS h1, {fold('lo', 'rep')} AS l1 FROM tree WHERE lev = k AND m > 0)),
 draws AS (SELECT {by}, n, rep, (b * n + ({finish('h3')} * {P31} + {finish('l3')}) % n) // (1 << k) + 1 AS rank FROM (
   SELECT *, {fold('h2', 'd')} AS h3, {fold('l2', 'd')} AS l3 FROM (SELECT *, unnest(range(1, m + 1)) AS d FROM leaf)))"""
+
+
+def permuted(src: str, by: str, group: str, labels, value: str, adjacent: bool, tau: float, r: int, seed: int) -> str:
+    """CTEs that end in ``tests``: the observed differences with the share of ``r`` label permutations that reach them.
+
+    A replicate draws how many of group a lie below a place, then walks up and down from it, as whole numbers.
+    """
+    low = lambda n: f"(CAST(floor(({n} - 1) * {tau}::DOUBLE) AS BIGINT) + 1)"
+    weight = lambda n: f"(({n} - 1) * {tau}::DOUBLE - floor(({n} - 1) * {tau}::DOUBLE))"
+    prime2 = P31 * P31
+    order = "(VALUES " + ", ".join(f"('{x}', {i})" for i, x in enumerate(labels)) + ") AS {0}(g, i)"
+    mets = ", ".join(
+        f"CASE WHEN {'fa' if j < 2 else 'NOT fa'} AND {'na' if j < 2 else 'nb'} = {k} THEN npos ELSE p{j} END AS p{j}"
+        for j, k in enumerate(("ka", "ka2", "kb", "kb2"))
+    )
+    # Upwards: the next position's label.  Downwards: the label of the position that is passed.
+    return f"""pairs AS ({pair_table(src, by, group, labels, adjacent)}),
+q AS (SELECT {by}, {group} AS g, count(*) AS n, quantile_cont({value}, {tau}) AS q FROM {src} GROUP BY ALL),
+observed AS (SELECT row_number() OVER () AS pid, p.{by}, ga, gb, la.i AS ia, lb.i AS ib, a.n AS n_a, b.n AS n_b, a.q - b.q AS diff,
+    {low('a.n')} AS ka, least({low('a.n')} + 1, a.n) AS ka2, {low('b.n')} AS kb, least({low('b.n')} + 1, b.n) AS kb2
+  FROM pairs p JOIN q a ON a.{by} = p.{by} AND a.g = ga JOIN q b ON b.{by} = p.{by} AND b.g = gb
+  JOIN {order.format('la')} ON la.g = ga JOIN {order.format('lb')} ON lb.g = gb),
+support AS (SELECT pid, x, CASE WHEN x = lo THEN 0.0::DOUBLE ELSE
+    ln((n_a - x + 1)::DOUBLE * (h - x + 1) / (x::DOUBLE * (n_b - h + x))) END AS step
+  FROM (SELECT *, unnest(range(lo, hi + 1)) AS x FROM (SELECT pid, n_a, n_b, ka + kb AS h, greatest(0, ka + kb - n_b) AS lo, least(n_a, ka + kb) AS hi FROM observed))),
+logs AS (SELECT pid, x, sum(step) OVER (PARTITION BY pid ORDER BY x) AS lp FROM support),
+mass AS (SELECT pid, x, exp(lp - max(lp) OVER (PARTITION BY pid)) AS m FROM logs),
+chance AS (SELECT pid, x, sum(m) OVER (PARTITION BY pid ORDER BY x) / sum(m) OVER (PARTITION BY pid) AS c FROM mass),
+keyed AS (SELECT pid, kn_0c AS st FROM (SELECT pid, {mix31(['kk'], seed, 'kn')} FROM (SELECT pid, {text_number([by, 'ia', 'ib'])} AS kk FROM observed))),
+reps AS (SELECT pid, rep, own, ({finish('u1')} * {P31} + {finish('u2')})::DOUBLE / {prime2}::DOUBLE AS u FROM (
+  SELECT *, {fold('own', '1')} AS u1, {fold('own', '2')} AS u2 FROM (
+    SELECT pid, rep, {fold('st', 'rep')} AS own FROM keyed, generate_series(1, {r}) AS s(rep)))),
+begun AS (SELECT reps.pid, rep, own, x FROM reps ASOF JOIN chance ON reps.pid = chance.pid AND u <= c),
+walk(pid, rep, up, st, pos, a, step, p0, p1, p2, p3) USING KEY (pid, rep, up) AS (
+  SELECT b.pid, rep, up, CASE WHEN up THEN {fold('own', '3')} ELSE {fold('own', '4')} END, ka + kb, x, 0,
+    CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  FROM begun b JOIN observed USING (pid), (VALUES (true), (false)) AS d(up)
+  UNION
+  SELECT pid, rep, up, st, CASE WHEN up THEN pos + 1 ELSE pos - 1 END, CASE WHEN up THEN a + fa::BIGINT ELSE a - fa::BIGINT END, step, {mets} FROM (
+    SELECT *, CASE WHEN up THEN a + 1 ELSE a END AS na, CASE WHEN up THEN pos + 1 - a ELSE pos - a END AS nb, CASE WHEN up THEN pos + 1 ELSE pos END AS npos FROM (
+      SELECT *, CASE WHEN up THEN w * (n_a + n_b - pos) < (n_a - a) * {P31} ELSE w * pos < a * {P31} END AS fa FROM (
+        SELECT pid, rep, up, st, pos, a, step, p0, p1, p2, p3, n_a, n_b, ka, ka2, kb, kb2, {finish('s2')} AS w FROM (
+          SELECT pid, rep, up, st, pos, a, step + 1 AS step, p0, p1, p2, p3, n_a, n_b, ka, ka2, kb, kb2, {fold('st', '(step + 1)')} AS s2
+          FROM walk JOIN observed USING (pid)
+          WHERE CASE WHEN up THEN a < ka2 OR pos - a < kb2 ELSE a >= ka OR pos - a >= kb END))))),
+places AS (SELECT pid, rep, max(p0) AS p0, max(p1) AS p1, max(p2) AS p2, max(p3) AS p3 FROM walk GROUP BY ALL),
+taken AS (SELECT pid, p0, p1, p2, p3, count(*) AS times FROM places GROUP BY ALL),
+pooled AS (SELECT pid * 1000000000000 + row_number() OVER (PARTITION BY pid ORDER BY {value}) AS place, {value} AS v
+  FROM {src} JOIN observed ON {src}.{by} = observed.{by} AND ({group} = ga OR {group} = gb)),
+tests AS (SELECT {by}, group_a, group_b, n_a, n_b, diff, hits, hits / {r}::DOUBLE AS p FROM (
+  SELECT o.{by}, ga AS group_a, gb AS group_b, n_a, n_b, diff, sum(CASE WHEN round(abs(
+      (v0.v + (v1.v - v0.v) * {weight('n_a')}) - (v2.v + (v3.v - v2.v) * {weight('n_b')})), 9) >= round(abs(diff), 9) THEN times ELSE 0 END) AS hits
+  FROM taken t JOIN observed o USING (pid)
+  {' '.join(f'JOIN pooled v{j} ON v{j}.place = t.pid * 1000000000000 + p{j}' for j in range(4))}
+  GROUP BY ALL))"""

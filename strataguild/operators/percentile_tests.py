@@ -2,9 +2,12 @@
 
 Shuffling the labels of a pair only decides which positions of the pooled, sorted
 values each group takes, and its percentile needs just two of those positions.
-The default mode draws those positions directly from their exact joint law, so a
-replicate costs the same for ten rows and for ten billion; the values at the drawn
-positions are then looked up in the running counts.
+Replicates draw those positions directly from their exact joint law.  The default
+mode draws how many of a group lie below a place near the percentile and walks from
+there, one position and one whole number at a time, so that other SQL engines can
+repeat it; its cost grows with the root of the pair's size.  ``draws="beta"`` costs
+the same for ten rows and for ten billion.  Few distinct positions are looked up in
+the running counts, however many replicates there are.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataguild.functions.seeded import mix31
+from strataguild.functions.seeded import PRIME, finished, fold_in, key_state, mix31
 from strataguild.operators.joins import same_keys
 from strataguild.operators.order_stats import value_histogram, values_at_ranks, with_positions
 from strataguild.operators.quantiles import quantiles
@@ -24,6 +27,9 @@ from strataguild.operators.reshape import stack_loose
 from strataguild.session import measured, settle
 
 BLOCK = 250
+WALK_BLOCK = 5000
+# Standard deviations of the first draw that are listed; the chance beyond is below 1e-300.
+REACH = 40
 # Differences are compared after rounding, so equal differences stay equal.
 DIGITS = 9
 
@@ -84,6 +90,80 @@ def position_sampler(tau: float):
     return draw
 
 
+def below_law(n_a: int, n_b: int, first: int):
+    """Values and running chances of how many of group a are among the ``first`` pooled positions."""
+    import numpy as np
+
+    n = n_a + n_b
+    mean = first * n_a / n
+    spread = REACH * (np.sqrt(mean * (n_b / n) * (n - first) / max(1, n - 1)) + 1)
+    low, high = max(0, first - n_b, int(mean - spread)), min(n_a, first, int(mean + spread) + 1)
+    x = np.arange(low, high + 1, dtype=float)
+    ratio = (n_a - x[:-1]) * (first - x[:-1]) / ((x[:-1] + 1) * (n_b - first + x[:-1] + 1))
+    logs = np.concatenate(([0.0], np.cumsum(np.log(ratio))))
+    p = np.exp(logs - logs.max())
+    return np.arange(low, high + 1), np.cumsum(p) / p.sum()
+
+
+def walked_ranks(tau: float, state: int, n_a: int, n_b: int, first_rep: int, reps: int):
+    """Four pooled ranks a replicate: of the two order statistics around ``tau`` in group a and in group b.
+
+    A draw from ``below_law`` says how many of a are among the first positions; from there the labels of further
+    positions are drawn one by one upwards, and those of the positions passed downwards, until all four are met.
+    """
+    import numpy as np
+
+    def order(n: int) -> tuple[int, int]:
+        k = int(np.floor((n - 1) * tau)) + 1
+        return k, min(k + 1, n)
+
+    wanted = [*order(n_a), *order(n_b)]
+    start, n = wanted[0] + wanted[2], n_a + n_b
+    own = fold_in(np.int64(state), np.arange(first_rep, first_rep + reps, dtype=np.int64))
+    u = (finished(fold_in(own, 1)) * PRIME + finished(fold_in(own, 2))).astype(float) / float(PRIME * PRIME)
+    values, chances = below_law(n_a, n_b, start)
+    below = values[np.minimum(np.searchsorted(chances, u), len(values) - 1)].astype(np.int64)
+    ranks = np.zeros((reps, 4), np.int64)
+
+    def note(rows, of_a, count, at):
+        """Positions of group members whose number is a wanted one."""
+        for i, k in enumerate(wanted):
+            hit = (of_a if i < 2 else ~of_a) & (count == k)
+            ranks[rows[hit], i] = at[hit]
+
+    for up, key in ((True, 3), (False, 4)):
+        states = fold_in(own, key)
+        rows, at, a, step = np.arange(reps), np.full(reps, start, np.int64), below.copy(), 0
+        while True:
+            b = at - a
+            live = (a < wanted[1]) | (b < wanted[3]) if up else (a >= wanted[0]) | (b >= wanted[2])
+            rows, at, a, b = rows[live], at[live], a[live], b[live]
+            if not len(rows):
+                break
+            step += 1
+            w = finished(fold_in(states[rows], step))
+            if up:
+                of_a = w * (n - at) < (n_a - a) * PRIME
+                at, a = at + 1, a + of_a
+                note(rows, of_a, np.where(of_a, a, at - a), at)
+            else:
+                of_a = w * at < a * PRIME
+                note(rows, of_a, np.where(of_a, a, b), at)
+                at, a = at - 1, a - of_a
+    return ranks
+
+
+def walk_sampler(tau: float):
+    """Pandas UDF: (state, n_a, n_b, first replicate, replicates) -> flat array of four pooled ranks per replicate."""
+
+    @F.pandas_udf("array<bigint>")
+    def draw(state: pd.Series, n_a: pd.Series, n_b: pd.Series, first: pd.Series, reps: pd.Series) -> pd.Series:
+        rows = zip(state, n_a, n_b, first, reps, strict=True)
+        return pd.Series([walked_ranks(tau, int(s), int(a), int(b), int(f), int(r)).ravel() for s, a, b, f, r in rows])
+
+    return draw
+
+
 def percentile_differences(
     df: DataFrame,
     value: str,
@@ -141,40 +221,38 @@ def pairwise_percentile_test(
     r: int = 5000,
     seed: int = 1234,
     pairs: str = "all",
+    draws: str = "walk",
 ) -> DataFrame:
-    """Share of r label permutations whose absolute difference reaches the observed one."""
+    """Share of r label permutations whose absolute difference reaches the observed one.
+
+    ``draws`` is "walk" (repeatable in SQL, for pairs below 2^32 rows) or "beta".
+    """
     if not by:
         one = pairwise_percentile_test(
-            df.withColumn("_all", F.lit(1)), value, group, levels, ["_all"], tau, r, seed, pairs
+            df.withColumn("_all", F.lit(1)), value, group, levels, ["_all"], tau, r, seed, pairs, draws
         )
         return one.drop("_all")
     by = list(by)
     key = [*by, "ia", "ib"]
+    # Read three times: for the observed differences, the running counts and the values that are asked for.
+    df = settle(df.where(F.col(value).isNotNull() & F.col(group).isin(list(levels))).select(*by, group, value))
     observed = settle(percentile_differences(df, value, group, levels, by, tau, pairs))
-    blocks = observed.withColumn(
-        "_blk", F.explode(F.sequence(F.lit(0), F.lit((r - 1) // BLOCK)))
-    ).repartition(max(8, df.sparkSession.sparkContext.defaultParallelism), *key, "_blk")
-    draws = blocks.withColumn(
-        "_r",
-        position_sampler(tau)(
-            F.xxhash64(F.lit(seed), *key, "_blk"),
-            "n_a",
-            "n_b",
-            F.least(F.lit(BLOCK), F.lit(r) - F.col("_blk") * BLOCK),
-        ),
-    )
-    ranks = draws.select(
-        *key, "_blk", (F.col("n_a") + F.col("n_b")).alias("n_total"), F.posexplode("_r").alias("_i", "rank")
-    )
-    asked = settle(
-        ranks.select(
-            *key,
-            "n_total",
-            "rank",
-            (F.col("_blk") * BLOCK + F.floor(F.col("_i") / 4)).alias("rep"),
-            (F.col("_i") % 4).alias("role"),
-        )
+    block = {"walk": WALK_BLOCK, "beta": BLOCK}[draws]
+    blocks = observed.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((r - 1) // block))))
+    blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "_blk")
+    count = F.least(F.lit(block), F.lit(r) - F.col("_blk") * block)
+    if draws == "walk":
+        drawn = walk_sampler(tau)(key_state([F.col(c) for c in key], seed, "hash"), "n_a", "n_b", F.col("_blk") * block + 1, count)
+    else:
+        drawn = position_sampler(tau)(F.xxhash64(F.lit(seed), *key, "_blk"), "n_a", "n_b", count)
+    four = lambda i: F.struct(*[F.get("_r", i * 4 + j).alias(f"_p{j}") for j in range(4)])
+    reps = blocks.withColumn("_r", drawn).select(
+        *key, "n_a", "n_b", "diff", F.inline(F.transform(F.sequence(F.lit(0), (F.size("_r") / 4).cast("int") - 1), four))
     )
+    # Replicates that took the same positions have the same difference.
+    reps = settle(reps.groupBy(*key, "n_a", "n_b", "diff", *[f"_p{j}" for j in range(4)]).agg(F.count(F.lit(1)).alias("_reps")))
+    positions = F.explode(F.array(*[F.col(f"_p{j}") for j in range(4)]))
+    asked = reps.select(*key, (F.col("n_a") + F.col("n_b")).alias("n_total"), positions.alias("rank")).distinct()
     spans = measured(
         asked.groupBy(*key).agg(
             F.min("rank").alias("_lo"), F.max("rank").alias("_hi"), F.first("n_total").alias("n_total")
@@ -190,17 +268,15 @@ def pairwise_percentile_test(
         (both("c") > 0) & (both("b") < F.col("_hi")) & (both("b") + both("c") >= F.col("_lo"))
     )
     near = near.select(*key, value, both("c").alias("n"), both("b").alias("n_before"), "n_total")
-    found = values_at_ranks(near, asked, key, value)
-    role = lambda i: F.max(F.when(F.col("role") == i, F.col(value)))
-    reps = same_keys(
-        found.groupBy(*key, "rep").agg(*[role(i).alias(f"_v{i}") for i in range(4)]), observed, key
-    )
+    found = measured(values_at_ranks(near, asked, key, value))
+    for j in range(4):
+        reps = same_keys(reps, found.select(*key, F.col("rank").alias(f"_p{j}"), F.col(value).alias(f"_v{j}")), [*key, f"_p{j}"])
     weight = lambda n: (F.col(n) - 1) * tau - F.floor((F.col(n) - 1) * tau)
     q_a = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * weight("n_a")
     q_b = F.col("_v2") + (F.col("_v3") - F.col("_v2")) * weight("n_b")
     hit = F.round(F.abs(q_a - q_b), DIGITS) >= F.round(F.abs(F.col("diff")), DIGITS)
     tested = reps.groupBy(*key, "n_a", "n_b", "diff").agg(
-        F.sum(F.when(hit, 1).otherwise(0)).alias("hits"), F.count(F.lit(1)).alias("r")
+        F.sum(F.when(hit, F.col("_reps")).otherwise(0)).alias("hits"), F.sum("_reps").alias("r")
     )
     return _named(tested, by, levels, "n_a", "n_b", "diff", "hits", (F.col("hits") / F.col("r")).alias("p"))
 

@@ -141,11 +141,16 @@ def test_count_row(spark):
     assert (last["x"], last["y"]) == (2.0, 1.0)
 
 
-def test_position_sampler_matches_full_enumeration(spark):
-    """Joint law of the four pooled ranks, against every way to deal 6 + 5 rows."""
-    na, nb, tau, reps = 6, 5, 0.7, 40000
-    df = spark.createDataFrame([(s, na, nb, 10000) for s in range(4)], "s bigint, a bigint, b bigint, r bigint")
-    flat = np.concatenate([np.array(r[0]) for r in df.select(PT.position_sampler(tau)("s", "a", "b", "r")).collect()])
+@pytest.mark.parametrize("na,nb,tau", [(6, 5, 0.7), (2, 7, 0.9), (1, 4, 0.5)])
+@pytest.mark.parametrize("draws", ["walk", "beta"])
+def test_position_sampler_matches_full_enumeration(spark, draws, na, nb, tau):
+    """Joint law of the four pooled ranks, against every way to deal a few rows."""
+    reps = 40000
+    if draws == "walk":
+        flat = np.concatenate([PT.walked_ranks(tau, s, na, nb, 1, 10000) for s in range(4)])
+    else:
+        df = spark.createDataFrame([(s, na, nb, 10000) for s in range(4)], "s bigint, a bigint, b bigint, r bigint")
+        flat = np.concatenate([np.array(r[0]) for r in df.select(PT.position_sampler(tau)("s", "a", "b", "r")).collect()])
     drawn = [tuple(x) for x in flat.reshape(-1, 4)]
     assert len(drawn) == reps
 
@@ -166,9 +171,20 @@ def test_position_sampler_matches_full_enumeration(spark):
     assert chi2 < dof + 4 * math.sqrt(2 * dof)
 
 
-def test_permutation_modes_agree(sample):
+def test_walk_of_large_groups_starts_and_ends_right():
+    """Sizes far beyond a listing: ranks are in order and centred on the percentile."""
+    n = 3_000_000
+    ranks = PT.walked_ranks(0.9, 5, n, n, 1, 400)
+    assert (ranks[:, 0] < ranks[:, 1]).all() and (ranks[:, 2] < ranks[:, 3]).all() and (ranks > 0).all()
+    # The standard deviation of a group's percentile among the pooled positions.
+    sd = math.sqrt(0.9 * 0.1 * 2 * n)
+    assert abs(ranks[:, 0].mean() - 1.8 * n) < 5 * sd / 20 and 0.8 < ranks[:, 0].std() / sd < 1.2
+
+
+@pytest.mark.parametrize("draws", ["walk", "beta"])
+def test_permutation_modes_agree(sample, draws):
     df, pdf = sample
-    drawn = PT.pairwise_percentile_test(df, "v", "g", list("abcd"), ["part"], 0.9, 3000, 1, "adjacent").toPandas()
+    drawn = PT.pairwise_percentile_test(df, "v", "g", list("abcd"), ["part"], 0.9, 3000, 1, "adjacent", draws).toPandas()
     dealt = PT.pairwise_percentile_test_dealt(df, "v", "g", list("abcd"), "id", ["part"], 0.9, 150, "adjacent").toPandas()
     both = drawn.merge(dealt, on=["part", "group_a", "group_b"], suffixes=("", "_d"))
     assert len(both) == 5 and (both.r if "r" in both else True) is not None
