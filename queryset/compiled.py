@@ -242,7 +242,7 @@ def older_group_means(t):
 
 FISH = """SELECT concat('fish ', CAST(l_suppkey AS {text}), ' ', CAST(l_linenumber AS {text})) AS taxon,
   CASE l_returnflag WHEN 'A' THEN 'Herbivore' WHEN 'N' THEN 'omnivore' ELSE 'Higher carnivore' END AS trophic_group,
-  l_linestatus AS realm, l_quantity AS lmax, l_orderkey AS pos_a, l_partkey AS pos_b FROM lineitem"""
+  l_linestatus AS realm, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS lmax, l_orderkey AS pos_a, l_partkey AS pos_b FROM lineitem"""
 
 
 @query(
@@ -250,7 +250,7 @@ FISH = """SELECT concat('fish ', CAST(l_suppkey AS {text}), ' ', CAST(l_linenumb
     "binomial:s guild:s value:d realm:s tax:s",
     f"""SELECT taxon AS binomial, CASE trophic_group WHEN 'Herbivore' THEN 'herbivore' WHEN 'omnivore' THEN 'omnivore' ELSE 'higher carnivore' END AS guild,
         ln(lmax) AS value, realm, 'Fishes' AS tax FROM (SELECT *, row_number() OVER (PARTITION BY taxon ORDER BY pos_a, pos_b, lmax) AS rn
-        FROM ({FISH.format(text='VARCHAR')})) WHERE rn = 1""",
+        FROM ({FISH.format(text='VARCHAR')})) WHERE rn = 1 AND lmax IS NOT NULL""",
 )
 def fish_guilds(t):
     return living.fishes(spark_rows(t, FISH), ["pos_a", "pos_b", "lmax"])

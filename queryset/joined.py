@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queryset.registry import query
-from queryset.views import DEATHS, END, QUARTERS, SPANS
+from queryset.views import DEATHS, END, QUARTERS, SPANS, YEARS
 from strataguild.functions.scalar import interval_label, override
 from strataguild.operators import joins as J
 from strataguild.operators.summaries import group_counts
@@ -15,12 +15,11 @@ from strataguild.operators.summaries import group_counts
     "left_enrich",
     "c_custkey:i c_name:s o_orderkey:i status:s",
     """SELECT c_custkey, c_name, o_orderkey, coalesce(nullif(o_orderstatus, 'P'), 'none') AS status
-       FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey""",
+       FROM customer LEFT JOIN orders ON c_custkey = o_custkey""",
 )
 def left_enrich(t):
     """Left join on keys of different names; a customer may meet many orders or none."""
-    big = t.orders.where(F.col("o_totalprice") > 400000)
-    both = J.enrich(t.customer, big, "c_custkey", "o_custkey", "tax_")
+    both = J.enrich(t.customer, t.orders, "c_custkey", "o_custkey", "tax_")
     return both.select(
         "c_custkey",
         "c_name",
@@ -33,14 +32,14 @@ def left_enrich(t):
     "full_join",
     "part:i supplies:i size:i",
     """SELECT coalesce(a.part, b.part) AS part, supplies, size FROM
-       (SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS supplies FROM lineitem WHERE l_quantity > 48 GROUP BY 1) a
-       FULL JOIN (SELECT p_partkey AS part, p_size AS size FROM part WHERE p_size > 25) b ON a.part = b.part""",
+       (SELECT l_partkey AS part, count(DISTINCT l_suppkey) AS supplies FROM lineitem GROUP BY 1) a
+       FULL JOIN (SELECT p_partkey AS part, p_size AS size FROM part) b ON a.part = b.part""",
 )
 def full_join(t):
-    a = t.lineitem.where(F.col("l_quantity") > 48).groupBy(F.col("l_partkey").alias("part")).agg(
+    a = t.lineitem.groupBy(F.col("l_partkey").alias("part")).agg(
         F.countDistinct("l_suppkey").alias("supplies")
     )
-    b = t.part.where(F.col("p_size") > 25).select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"))
+    b = t.part.select(F.col("p_partkey").alias("part"), F.col("p_size").alias("size"))
     return J.same_keys(a, b, ["part"], "full")
 
 
@@ -89,6 +88,18 @@ def alive_in_year(t):
     return J.alive_in_year(t.pool(), t.deaths().where(F.col("run") == 3), 10)
 
 
+@query(
+    "alive_every_year",
+    "run:i guild:s year:i n:i mean:d",
+    f"""SELECT runs.run, guild, year, count(*) AS n, avg(value) AS mean FROM runs CROSS JOIN pool CROSS JOIN generate_series(0, {YEARS}) AS y(year)
+        LEFT JOIN deaths d ON d.run = runs.run AND d.name = pool.name WHERE d.death_year IS NULL OR d.death_year > year GROUP BY ALL""",
+    DEATHS,
+)
+def alive_every_year(t):
+    """Survivors of every run and year, from one table of changes."""
+    return J.alive_by_year(t.pool(), t.deaths(), t.runs(), YEARS)
+
+
 OVERLAP = "name:i guild:s bin_num:i interval:s"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queryset.registry import query
-from queryset.views import BIOMES, GUILDS, REGIONS, TRAITS, holm, mix31, pair_table, permuted, rank_sum, star
+from queryset.views import BIOMES, GUILDS, REGIONS, TRAITS, exact_tests, holm, mix31, pair_table, permuted, rank_sum, star
 from strataguild.functions.scalar import stars
 from strataguild.operators import percentile_tests as PT
 from strataguild.operators import quantreg
@@ -71,16 +71,8 @@ PRICED = f"""priced AS (SELECT l_partkey AS part, l_returnflag AS flag, l_extend
 @query(
     "rank_sum_small_samples",
     "part:i group_a:s group_b:s n_a:i n_b:i stat:c p:p",
-    f"""SELECT t.part, group_a, group_b, t.n_a, t.n_b, t.stat, CASE WHEN z.ties = 0 AND t.n_a < 50 AND t.n_b < 50 THEN least(1.0::DOUBLE, 2 * tail) ELSE t.p END AS p
-        FROM tests t JOIN zs z ON t.part = z.part AND t.group_a = z.ga AND t.group_b = z.gb
-        LEFT JOIN tails ON tails.a = t.n_a AND tails.b = t.n_b AND tails.u = least(CAST(round(t.stat) AS BIGINT), CAST(t.n_a * t.n_b - round(t.stat) AS BIGINT))""",
-    f"""{PRICED}, {rank_sum('priced', 'part', 'flag', FLAGS, 'v', False)},
-    most AS (SELECT max(greatest(n_a, n_b)) AS n FROM sums WHERE ties = 0 AND n_a < 50 AND n_b < 50),
-    law AS (SELECT 0 AS a, 0 AS b, CAST(0 AS BIGINT) AS u, 1.0::DOUBLE AS c UNION ALL (
-      SELECT a, b, u, sum(c) AS c FROM (
-        SELECT a + 1 AS a, b, u + b AS u, c * (a + 1) / (a + b + 1) AS c FROM law, most WHERE a < n UNION ALL
-        SELECT a, b + 1, u, c * (b + 1) / (a + b + 1) FROM law, most WHERE b < n) GROUP BY a, b, u)),
-    tails AS (SELECT a, b, u, sum(c) OVER (PARTITION BY a, b ORDER BY u) AS tail FROM law)""",
+    "SELECT * FROM exact_tests",
+    f"""{PRICED}, {rank_sum('priced', 'part', 'flag', FLAGS, 'v', False)}, {exact_tests('part')}""",
 )
 def rank_sum_small_samples(t):
     """Samples below 50: the exact law where values are untied, the normal one where they are tied."""
@@ -192,7 +184,7 @@ QR_POINTS = """pts AS (SELECT o_orderpriority AS priority, (year(o_orderdate) -
   lines AS (SELECT DISTINCT a.priority, (a.y - (b.y - a.y) / (b.x - a.x) * a.x) AS a, (b.y - a.y) / (b.x - a.x) AS b
     FROM pts a JOIN pts b ON a.priority = b.priority AND a.x < b.x),
   scored AS (SELECT l.priority, tau, l.a, l.b, round(sum((y - l.a - l.b * x) * (CASE WHEN y - l.a - l.b * x >= 0 THEN tau ELSE tau - 1 END)), 9) AS loss
-    FROM lines l JOIN pts USING (priority) CROSS JOIN (VALUES (0.03::DOUBLE), (0.97::DOUBLE)) AS k(tau) GROUP BY ALL)"""
+    FROM lines l JOIN pts USING (priority) CROSS JOIN (VALUES (0.025::DOUBLE), (0.975::DOUBLE)) AS k(tau) GROUP BY ALL)"""
 
 
 @query(
@@ -207,4 +199,4 @@ def quantile_regression(t):
         F.col("o_orderpriority").alias("priority"),
         ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")).alias("x"),
     ).agg((F.avg("o_totalprice") / 1000).alias("y"))
-    return quantreg.quantile_regression(points, "x", "y", (0.03, 0.97), ["priority"])
+    return quantreg.quantile_regression(points, "x", "y", (0.025, 0.975), ["priority"])

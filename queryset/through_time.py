@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from queryset.registry import query
 from queryset.views import DEATHS, YEARS
 from strataguild.operators.trajectory import survivor_quantiles
 from strataguild.plans import future
+from strataguild.session import checkpoint_folder
 
 NAMES = "y0:d y25:d y50:d y75:d y100:d"
 FIVE = """min(value) AS y0, quantile_cont(value, 0.25) AS y25, median(value) AS y50, quantile_cont(value, 0.75) AS y75, max(value) AS y100"""
@@ -133,11 +136,27 @@ def survivor_mean_of_runs(t):
 @query(
     "survivor_two_quantiles",
     "run:i guild:s year:i med:d q90:d",
-    """SELECT run, guild, year, a.stat AS med, b.q90 FROM traj a JOIN (
+    f"""SELECT run, guild, year, a.stat AS med, b.q90 FROM traj a JOIN (
          SELECT runs.run, guild, year, quantile_cont(value, 0.9) AS q90 FROM runs CROSS JOIN pool
-         CROSS JOIN (VALUES (5), (20), (35)) AS y(year) LEFT JOIN deaths d ON d.run = runs.run AND d.name = pool.name
+         CROSS JOIN generate_series(1, {YEARS}) AS y(year) LEFT JOIN deaths d ON d.run = runs.run AND d.name = pool.name
          WHERE d.death_year IS NULL OR d.death_year > year GROUP BY ALL) b USING (run, guild, year)""",
     dense(0.5),
 )
 def survivor_two_quantiles(t):
-    return survivor_quantiles(t.pool(), t.deaths(), t.runs(), (("med", 0.5), ("q90", 0.9)), (5, 20, 35))
+    return survivor_quantiles(t.pool(), t.deaths(), t.runs(), (("med", 0.5), ("q90", 0.9)), range(1, YEARS + 1))
+
+
+@query(
+    "trajectory_staged",
+    "statistic:s guild:s year:i mean:d low_ci:d upp_ci:d low_ci_50:d upp_ci_50:d",
+    " UNION ALL ".join(
+        f"SELECT * FROM (WITH {dense(p)} SELECT '{name}' AS statistic, guild, year, {CHANGED} FROM summary JOIN start USING (guild)) AS {name}"
+        for name, p in (("median", 0.5), ("q90", 0.9))
+    ),
+)
+def trajectory_staged(t):
+    """Both statistics from the pool to their changes, each read back alone from the staged tables."""
+    folder = f"{checkpoint_folder(t.spark)}/trajectories-{uuid.uuid4().hex}"
+    future.stage_trajectories(t.pool(), t.deaths(), t.runs(), {"median": 0.5, "q90": 0.9}, YEARS, folder)
+    parts = [future.staged_change(t.spark, folder, name).withColumn("statistic", F.lit(name)) for name in ("median", "q90")]
+    return parts[0].unionByName(parts[1])

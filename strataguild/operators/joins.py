@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataguild.session import BROADCAST_ROWS, settle
@@ -171,6 +171,28 @@ def alive_in_year(pool: DataFrame, dead: DataFrame, year: int, name: str = "name
     return pool.join(gone, [name], "left_anti")
 
 
+def alive_by_year(pool: DataFrame, dead: DataFrame, runs: DataFrame, last: int, name: str = "name") -> DataFrame:
+    """Number ``n`` and ``mean`` value of the pool rows alive in every run, guild and year 0..``last``.
+
+    Deaths become a table of changes: what is left of a guild after each year with a death.  A year takes the last
+    change up to it, so the work grows with deaths and years and not with their product.  A name is dead from its first
+    death year on; guilds without survivors give no row.
+    """
+    amounts = [F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")]
+    base = per_run(pool.groupBy("guild").agg(*amounts), runs)
+    first = dead.groupBy("run", name).agg(F.min("death_year").alias("year"))
+    lost = first.join(pool.select(name, "guild", "value"), name).groupBy("run", "guild", "year").agg(*amounts)
+    changes = base.withColumn("year", F.lit(0)).unionByName(lost.withColumns({"n": -F.col("n"), "total": -F.col("total")}))
+    # A run and guild have a row per year at most.
+    upto = Window.partitionBy("run", "guild").orderBy("year").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    states = changes.select("run", "guild", "year", F.struct(F.sum("n").over(upto).alias("n"), F.sum("total").over(upto).alias("total")).alias("s"))
+    asked = base.select("run", "guild", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("year"))
+    both = states.withColumn("ask", F.lit(0)).unionByName(asked.withColumn("ask", F.lit(1)), allowMissingColumns=True)
+    order = Window.partitionBy("run", "guild").orderBy("year", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = both.withColumn("s", F.last("s", ignorenulls=True).over(order)).where("ask = 1 AND s.n > 0")
+    return known.select("run", "guild", "year", F.col("s.n").alias("n"), (F.col("s.total") / F.col("s.n")).alias("mean"))
+
+
 def against_baseline(df: DataFrame, baseline: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows with the baseline of their group next to them."""
     return same_keys(df, baseline, list(on), "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataguild.functions import classify as C
@@ -16,6 +16,7 @@ from strataguild.operators.reshape import stack_loose
 from strataguild.operators.summaries import abs_limit, mean_of
 from strataguild.operators.trajectory import survivor_quantiles
 from strataguild.session import settle
+from strataguild.sources.files import read_stage, write_stage
 
 FIVE_NAMES = (("y0", 0.0), ("y25", 0.25), ("y50", 0.5), ("y75", 0.75), ("y100", 1.0))
 # Species that survive only in captivity.
@@ -103,3 +104,21 @@ def trajectory_change(summary: DataFrame, start: DataFrame) -> DataFrame:
 
 def change_limit(change: DataFrame) -> DataFrame:
     return abs_limit(change, "low_ci", "upp_ci")
+
+
+def stage_trajectories(
+    pool: DataFrame, events: DataFrame, runs: DataFrame, shares: dict[str, float], years: int, folder: str
+) -> None:
+    """Write trajectories and year zero of several statistics, one part of the staged tables for each."""
+    named = [(F.lit(name), p) for name, p in shares.items()]
+    moved = stack_loose(*[trajectory(pool, events, runs, p, years).withColumn("statistic", name) for name, p in named])
+    start = stack_loose(*[year_zero(pool, p).withColumn("statistic", name) for name, p in named])
+    write_stage(moved, f"{folder}/trajectory", ["statistic"])
+    write_stage(start, f"{folder}/start", ["statistic"])
+
+
+def staged_change(spark: SparkSession, folder: str, statistic: str) -> DataFrame:
+    """Percent change of one statistic from the staged tables; only its parts are read."""
+    start = read_stage(spark, f"{folder}/start", statistic=statistic).drop("statistic")
+    moved = read_stage(spark, f"{folder}/trajectory", statistic=statistic).drop("statistic")
+    return trajectory_change(trajectory_summary(moved, start), start)

@@ -104,9 +104,9 @@ def reptiles(traits: DataFrame) -> DataFrame:
 
 
 def fishes(traits: DataFrame, order: Sequence[str] = ("realm",)) -> DataFrame:
-    """Fish taxa once each, with five guilds and ln maximum length."""
+    """Fish taxa once each, with five guilds and ln maximum length; taxa without a length are left out."""
     once = first_per_key(traits, ["taxon"], list(order))
-    return once.select(
+    return once.where(positive_ln(F.col("lmax")).isNotNull()).select(
         F.col("taxon").alias("binomial"),
         C.by_map(F.col("trophic_group"), C.FISH_TROPHIC).alias("guild"),
         positive_ln(F.col("lmax")).alias("value"),

@@ -64,3 +64,18 @@ def write_stage(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None
     """Hand-off table between plans, one folder per statistic where asked."""
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
+
+
+def read_stage(spark: SparkSession, path: str, **parts: str) -> DataFrame:
+    """A staged table, or only the named parts of one: ``read_stage(spark, path, statistic="median")``.
+
+    A table without its commit marker was not written to the end and is an error.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    marker = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        raise FileNotFoundError(f"{path} holds no committed table")
+    table = spark.read.parquet(path)
+    for name, value in parts.items():
+        table = table.where(F.col(name) == value)
+    return table

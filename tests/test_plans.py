@@ -1,8 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strataguild.operators import joins
 from strataguild.operators.summaries import period_contrasts
-from strataguild.plans import fossil, living
+from strataguild.plans import fossil, future, living
+from strataguild.sources import files
 
 
 def test_taxon_source_updates_and_filters(spark):
@@ -136,3 +138,37 @@ def test_percentile_test_without_partition(spark):
     df = spark.createDataFrame([(g, float(i * (k + 1))) for k, g in enumerate("ab") for i in range(80)], "g string, v double")
     r = pairwise_percentile_test(df, "v", "g", ["a", "b"], r=200).collect()
     assert len(r) == 1 and r[0]["p"] < 0.05 and r[0]["n_a"] == 80
+
+
+def test_staged_trajectories_are_read_by_part(spark, tmp_path):
+    """One statistic reads its own folders only; a table without its commit marker is refused."""
+    pool = spark.createDataFrame([(i, "g", float(i)) for i in range(30)], "name int, guild string, value double")
+    dead = spark.createDataFrame([(r, i, 1 + (i + r) % 4) for r in (1, 2) for i in range(25)], "run int, name int, death_year int")
+    runs = spark.createDataFrame([(1,), (2,)], "run int")
+    future.stage_trajectories(pool, dead, runs, {"median": 0.5, "q90": 0.9}, 6, str(tmp_path / "t"))
+    table = files.read_stage(spark, str(tmp_path / "t" / "trajectory"), statistic="q90")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(statistic" in plan
+    direct = future.trajectory_summary(future.trajectory(pool, dead, runs, 0.9, 6), future.year_zero(pool, 0.9))
+    want = sorted(tuple(r) for r in future.trajectory_change(direct, future.year_zero(pool, 0.9)).collect())
+    assert sorted(tuple(r) for r in future.staged_change(spark, str(tmp_path / "t"), "q90").collect()) == want
+    (tmp_path / "t" / "start" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        future.staged_change(spark, str(tmp_path / "t"), "q90")
+
+
+def test_alive_by_year_is_the_count_of_survivors(spark):
+    pool = [(i, "gh"[i % 2], float(i)) for i in range(12)]
+    dead = [(1, i, 1 + i % 5) for i in range(12)] + [(2, 3, 2), (2, 3, 4), (2, 99, 1)]
+    got = joins.alive_by_year(
+        spark.createDataFrame(pool, "name int, guild string, value double"),
+        spark.createDataFrame(dead, "run int, name int, death_year int"),
+        spark.createDataFrame([(1,), (2,), (3,)], "run int"), 7,
+    ).collect()
+    want = {}
+    for run in (1, 2, 3):
+        for year in range(8):
+            for name, guild, value in pool:
+                if not any(d[0] == run and d[1] == name and d[2] <= year for d in dead):
+                    want.setdefault((run, guild, year), []).append(value)
+    assert {(r["run"], r["guild"], r["year"]): (r["n"], r["mean"]) for r in got} == {k: (len(v), sum(v) / len(v)) for k, v in want.items()}
