@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strataguild.session import checkpoint_folder, settle
 
-__all__ = ["checkpoint_folder", "settle", "read", "drop_folder", "raw_text", "words_of", "map_batches", "WORD_BYTES"]
+__all__ = ["checkpoint_folder", "settle", "read", "drop_folder", "release_memory", "raw_text", "words_of", "map_batches", "WORD_BYTES"]
 
 #: Fixed by the word rule: digits, ASCII letters (lower-cased) and all bytes of other characters belong to words.
 WORD_BYTES = bytes(
@@ -38,6 +39,14 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker that Spark keeps for later tasks would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, step: Callable, schema: str) -> DataFrame:
     """Apply ``step(batch) -> dict of columns`` to every Arrow batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,5 +59,7 @@ def map_batches(df: DataFrame, step: Callable, schema: str) -> DataFrame:
             if batch.num_rows:
                 out = step(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                del out, batch
+            release_memory()
 
     return df.mapInArrow(run, schema)

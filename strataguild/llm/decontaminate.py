@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataguild.llm.common import raw_text, words_of
+from strataguild.llm.common import raw_text, release_memory, words_of
 
 #: Text bytes of one shard and of one block of benchmark items; a longer single text makes a larger one.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 BLOCK_BYTES = 4 << 20
 WINDOW = 10
 
@@ -218,6 +218,8 @@ def _shards(batches: Iterator[pa.RecordBatch], body: str, shard_bytes: int) -> I
             size += len(b)
         if bodies:
             yield batch.slice(start), bodies[start:]
+        del batch, bodies
+        release_memory()
 
 
 def contamination(

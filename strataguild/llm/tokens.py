@@ -16,10 +16,10 @@ from strataguild.llm import coder
 from strataguild.llm.common import checkpoint_folder, raw_text
 
 #: Ids that a row of a file gathers before it is coded; a longer document makes a longer row.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 END = 1
 #: Pieces of text that a worker remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
 FILE = "part int, segment int, start long, doc_ids array<long>, lengths array<long>, coded binary"
 
