@@ -184,7 +184,7 @@ QR_POINTS = """pts AS (SELECT o_orderpriority AS priority, (year(o_orderdate) -
   lines AS (SELECT DISTINCT a.priority, (a.y - (b.y - a.y) / (b.x - a.x) * a.x) AS a, (b.y - a.y) / (b.x - a.x) AS b
     FROM pts a JOIN pts b ON a.priority = b.priority AND a.x < b.x),
   scored AS (SELECT l.priority, tau, l.a, l.b, round(sum((y - l.a - l.b * x) * (CASE WHEN y - l.a - l.b * x >= 0 THEN tau ELSE tau - 1 END)), 9) AS loss
-    FROM lines l JOIN pts USING (priority) CROSS JOIN (VALUES (0.025::DOUBLE), (0.975::DOUBLE)) AS k(tau) GROUP BY ALL)"""
+    FROM lines l JOIN pts USING (priority) CROSS JOIN (VALUES (0.03::DOUBLE), (0.97::DOUBLE)) AS k(tau) GROUP BY ALL)"""
 
 
 @query(
@@ -195,8 +195,22 @@ QR_POINTS = """pts AS (SELECT o_orderpriority AS priority, (year(o_orderdate) -
     QR_POINTS,
 )
 def quantile_regression(t):
-    points = t.orders.groupBy(
+    return quantreg.quantile_regression(regression_points(t), "x", "y", (0.03, 0.97), ["priority"])
+
+
+@query(
+    "quantile_regression_edges",
+    "priority:s tau:c loss:c",
+    "SELECT priority, tau, min(loss) AS loss FROM scored GROUP BY priority, tau",
+    QR_POINTS.replace("0.03::", "0.025::").replace("0.97::", "0.975::"),
+)
+def quantile_regression_edges(t):
+    """The 95% band: several lines may be best where the share of points is whole, all with this loss."""
+    return quantreg.quantile_regression(regression_points(t), "x", "y", (0.025, 0.975), ["priority"])
+
+
+def regression_points(t):
+    return t.orders.groupBy(
         F.col("o_orderpriority").alias("priority"),
         ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")).alias("x"),
     ).agg((F.avg("o_totalprice") / 1000).alias("y"))
-    return quantreg.quantile_regression(points, "x", "y", (0.025, 0.975), ["priority"])
