@@ -402,6 +402,38 @@ def test_quality_outliers(spark):
     assert 0.049 < quality.chi_square_tail(11.07) < 0.051
 
 
+def test_planted_junk_goes_and_small_groups_borrow_an_estimate(spark):
+    """Signs after every third, fifth or tenth word and glued words go; a source or language with few rows is judged by
+    its language or by all rows; a hot source changes nothing."""
+    rnd = random.Random(11)
+    clean = [(i, prose(rnd, rnd.randrange(40, 300)), "en", f"s{i % 3}") for i in range(600)]
+    clean += [(i, prose(rnd, rnd.randrange(40, 300)), "en", "few") for i in range(600, 610)]
+    clean += [(i, prose(rnd, rnd.randrange(40, 300)), None, None) for i in range(610, 615)]
+    junk = []
+    for k, change in enumerate(
+        [lambda w, i, n=n: w + " # " if i % n == 0 else w + " " for n in (3, 5, 10)] + [lambda w, i: w + " " if i % 3 == 0 else w]
+    ):
+        for j in range(8):
+            words = prose(rnd, rnd.randrange(60, 300)).split()
+            place = [("en", "s1"), ("en", "few"), (None, None)][j % 3]
+            junk.append((10000 + 10 * k + j, "".join(change(w, i + 1) for i, w in enumerate(words)).strip(), *place))
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs_of(spark, clean + junk)).collect()}
+    tested = [i for i, *_ in junk if not got[i]["base_failed"]]
+    assert len(tested) >= 30 and not any(got[i]["kept"] for i in tested)
+    good = [i for i, *_ in clean if not got[i]["base_failed"]]
+    assert sum(got[i]["kept"] for i in good) >= 0.97 * len(good)
+    assert all(got[i]["distance"] is not None for i in (605, 612))
+
+
+def test_quality_of_equal_rows_and_a_very_long_text(spark):
+    rnd = random.Random(12)
+    text = prose(rnd, 80)
+    rows = [(i, text, "en", "s") for i in range(80)] + [(100, "", "en", "s"), (101, ("river stone " + prose(rnd, 40_000)), "en", "s")]
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs_of(spark, rows)).collect()}
+    assert len({got[i]["distance"] for i in range(80)}) == 1 and all(got[i]["kept"] for i in range(80))
+    assert not got[100]["kept"] and got[101]["n_words"] == 40_002
+
+
 # --- Language
 
 
