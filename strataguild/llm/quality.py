@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataguild.llm.common import settle
-from strataguild.session import measured
+from strataguild.session import BROADCAST_ROWS, marked, measured
 
 STATS = ("v0", "v1", "v2", "v3", "v4")
 P = len(STATS)
@@ -24,7 +24,7 @@ MIN_GROUP = 10 * P
 #: Squared distance beyond which a document is rejected: one in a thousand of a normal law (``chi_square_tail``).
 LIMIT = 20.515
 #: Log determinants that fall by less than this stand still.
-STILL = 1e-4
+STILL = 1e-3
 #: Words of common length, in letters, and without any sign that all texts are smoothed with, so that one symbol or long
 #: word in a short text is no outlier: shares and means of few words vary more.
 SMOOTH = 50
@@ -187,12 +187,12 @@ def _starts(good: DataFrame) -> DataFrame:
         *[F.percentile_approx(v, F.lit(0.5), F.lit(2000)).alias(f"m{i}") for i, v in enumerate(STATS)], F.count(F.lit(1)).alias("size")
     ).where(F.col("size") >= MIN_GROUP).select("grp", *FIT[:P], *_floors()))
     away = [F.abs(F.col(v) - F.col(f"m{i}")) for i, v in enumerate(STATS)]
-    spread = good.join(measured(middle), "grp").groupBy("grp").agg(
+    spread = good.join(marked(middle), "grp").groupBy("grp").agg(
         *[F.greatest(1.4826 * F.percentile_approx(x, F.lit(0.5), F.lit(2000)), F.max(f"f{i}")).alias(f"d{i}") for i, x in enumerate(away)]
     )
     scaled = settle(middle.join(spread, "grp"))
     bent = [F.tanh((F.col(v) - F.col(f"m{i}")) / F.col(f"d{i}")) for i, v in enumerate(STATS)]
-    bends = good.join(measured(scaled), "grp").groupBy("grp").agg(*[F.covar_pop(bent[i], bent[j]).alias(f"b{i}{j}") for i, j in PAIRS])
+    bends = good.join(marked(scaled), "grp").groupBy("grp").agg(*[F.covar_pop(bent[i], bent[j]).alias(f"b{i}{j}") for i, j in PAIRS])
     scale = {(i, j): F.col(f"d{i}") * F.col(f"d{j}") for i, j in PAIRS}
     plain = scaled.select("grp", F.lit(0).alias("start"), *FIT[: 2 * P], *[(scale[i, j] if i == j else F.lit(0.0)).alias(f"a{i}{j}") for i, j in PAIRS])
     bowed = scaled.join(bends, "grp").select(
@@ -214,18 +214,21 @@ def robust_distance(stats: DataFrame) -> DataFrame:
     rows = settle(_grouped(stats))
     good = settle(rows.where("not base_failed").select(F.explode("feeds").alias("grp"), *STATS))
     fit = settle(_starts(good).withColumn("det", F.lit(float("inf"))).withColumn("moved", F.lit(True)))
-    while (moving := fit.where("moved").drop("moved")).head(1):
-        near = settle(_distance(good, measured(moving), ["grp"]))
+    # No later table has more rows than this one, so one count bounds all that is sent to the tasks.
+    few = fit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else lambda table: table
+    while fit.where("moved").head(1):
+        near = _distance(good, sent(fit.where("moved").drop("moved")), ["grp"])
         edge = near.groupBy(*KEY).agg(F.percentile_approx("d2", F.lit(CORE), F.lit(2000)).alias("edge"))
-        new = _moments(near.join(measured(edge), KEY).where("d2 <= edge"))
+        new = _moments(near.join(sent(edge), KEY).where("d2 <= edge"))
         old = fit.drop("moved").withColumnsRenamed({c: f"old_{c}" for c in FIT})
         falls = F.coalesce(F.col("det") < F.col("old_det") - STILL, F.lit(False))
-        both = old.join(new, KEY, "left")
+        both = old.join(sent(new), KEY, "left")
         fit = settle(both.select(*KEY, *[F.when(falls, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in FIT], falls.alias("moved")))
     lowest = fit.groupBy("grp").agg(F.min_by(F.struct("start", *FIT), F.struct("det", "start")).alias("best")).select("grp", "best.*")
-    near = _distance(good, measured(lowest), ["grp"]).where(F.col("d2") <= NEAR)
-    best = _moments(near, NEAR_CONSISTENCY).drop("start", "det")
-    return _distance(rows, measured(best.drop(*FIT[P : 2 * P])), ["grp"], "left").drop("grp", "feeds")
+    near = _distance(good, sent(lowest), ["grp"]).where(F.col("d2") <= NEAR)
+    best = settle(_moments(near, NEAR_CONSISTENCY).drop("start", "det"))
+    return _distance(rows, sent(best.drop(*FIT[P : 2 * P])), ["grp"], "left").drop("grp", "feeds")
 
 
 def judge_quality(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
