@@ -25,6 +25,8 @@ DOMAINS = ("good", "poor", "good_toxic", "poor_toxic")
 #: target.  No document's posterior is zero, so a target of zero is never met; with a smaller weight its domain drives out
 #: documents that are hardly in it, until few are left with rates of many copies.
 PULL = (0.0001, 0.01)
+#: Step lengths that a move chooses from; the shortest but zero is below one over the largest curvature, 1 + 1 / min(PULL).
+LENGTHS = (0.0, *[4.0**-i for i in range(8)])
 #: Shares of all tokens that the documents shall have by domain after mixing.
 TARGETS = {"good": 0.93, "poor": 0.07, "good_toxic": 0.0, "poor_toxic": 0.0}
 
@@ -134,27 +136,30 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max
     return Classifier([math.log((s + 0.5) / (n - s + 0.5)) for s in sums], tuple(words), tuple(found), bins)
 
 
-def point_of(steps: list[list[float]], momentum: list[float], p: Column) -> Column:
-    """Struct of a document's rate ``r`` and the point ``y`` that its next gradient is taken at, after some steps from 1.
+def point_of(aims: list[list[float]], parts: list[float], p: Column) -> Column:
+    """Struct of a document's rate ``r`` after some moves from 1, for its posteriors ``p``.
 
-    A step moves a rate against the gradient and projects it to zero or more; momentum carries on the last move.  The
-    steps are numbers per domain, so no state is kept per document.
+    A move goes the share ``parts`` of the way to ``1 - aim p`` and projects the rate to zero or more.  Moves along the
+    gradient and moves within the face (where a rate of zero stays) take turns.  They are numbers per domain, so no
+    state is kept per document.
     """
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    if not steps:
-        return start
+    if not aims:
+        return F.named_struct(F.lit("r"), F.lit(1.0))
     # As SQL text: a literal is cheap to read there, and a column for each number is not.
-    listed = [f"struct(array({', '.join(f'{x!r}D' for x in c)}) AS c, {m!r}D AS m)" for c, m in zip(steps, momentum, strict=True)]
+    listed = [
+        f"struct(array({', '.join(f'{x!r}D' for x in aim)}) AS aim, {part!r}D AS part, {str(i % 2 == 1).lower()} AS face)"
+        for i, (aim, part) in enumerate(zip(aims, parts, strict=True))
+    ]
     moves = F.expr(f"array({', '.join(listed)})")
+    rate = F.aggregate(moves, F.lit(1.0), lambda r, s: _moved(r, s["aim"], s["part"], s["face"], p))
+    return F.named_struct(F.lit("r"), rate)
 
-    def move(acc: Column, s: Column) -> Column:
-        slope = F.lit(0.0)
-        for i in range(len(steps[0])):
-            slope = slope + F.get(s["c"], F.lit(i)) * F.get(p, F.lit(i))
-        new = F.greatest(F.lit(0.0), acc["y"] - slope)
-        return F.struct(new.alias("r"), (new + s["m"] * (new - acc["r"])).alias("y"))
 
-    return F.aggregate(moves, start, move)
+def _moved(rate: Column, aim: Column, part: Column, face: Column, p: Column) -> Column:
+    goal = F.lit(1.0)
+    for i in range(len(DOMAINS)):
+        goal = goal - F.get(aim, F.lit(i)) * F.get(p, F.lit(i))
+    return F.when(face & (rate <= 0), 0.0).otherwise(F.greatest(F.lit(0.0), rate + part * (goal - rate)))
 
 
 def alike(scored: DataFrame, model: Classifier) -> DataFrame:
@@ -166,22 +171,25 @@ def alike(scored: DataFrame, model: Classifier) -> DataFrame:
     return settle(sums.withColumn("posteriors", model.posteriors(F.col("code"))))
 
 
-def fit_rates(
-    scored: DataFrame, targets: dict[str, float], rounds: int = 200, tolerance: float = 1e-6
-) -> tuple[list[list[float]], list[float]]:
-    """The step of projected least squares for ``scored`` (``n_tokens``, ``posteriors``), for ``point_of``.
+def fit_rates(scored: DataFrame, targets: dict[str, float], tolerance: float = 1e-6) -> tuple[list[list[float]], list[float]]:
+    """The moves of projected-gradient least squares for ``scored`` (``n_tokens``, ``posteriors``), for ``point_of``.
 
     Minimises the squared differences between expected tokens per domain (sum of rate * tokens * posterior) and
     ``targets`` (shares of all tokens) over rates of zero or more.  A difference counts relative to the domain's own
     tokens, so a small domain weighs as much as a large one.  Many rates do equally well; ``PULL`` times the squared
-    distance of the rates from 1 chooses among them.  The rates then are ``max(0, 1 - y p)`` with one number ``y`` per
-    domain, which minimises a convex function; Newton steps with halving find it, a round being one aggregate to a few
-    numbers.  It ends when no domain's gradient is above ``tolerance`` of its own tokens; ``rounds`` without that raise.
+    distance of the rates from 1 chooses among them.
+
+    Two moves take turns, each the best of some step lengths and one aggregate to a few numbers: a projected gradient
+    step, which finds the rates that are zero, and a projected step towards the least-squares solution of the rates that
+    are not, so that badly scaled domains do not need thousands of gradient steps.  The shortest gradient step is below
+    one over the largest curvature, so the function falls until the gradient step of full length changes no domain's
+    expected tokens by more than ``tolerance`` of its own tokens, or until it can't fall any more in double precision.
+    There is no limit of rounds.
     """
     k = len(DOMAINS)
     p, t = F.col("posteriors"), F.col("n_tokens").cast("double")
-    part = [F.get(p, F.lit(i)) for i in range(k)]
-    row = scored.agg(F.sum(t), *[F.sum(t * x) for x in part]).first()
+    of = [F.get(p, F.lit(i)) for i in range(k)]
+    row = scored.agg(F.sum(t), *[F.sum(t * x) for x in of]).first()
     size = row[0]
     if not size:
         return [], []
@@ -189,34 +197,49 @@ def fit_rates(
     goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
     pull = np.where(goal > 0, *PULL) * own
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def at(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """The convex function, its gradient and its second derivatives."""
-        rate = F.col("rate")
-        rated = scored.select("n_tokens", "posteriors", point_of([y.tolist()], [0.0], p)["r"].alias("rate")).where("rate > 0")
-        row = rated.agg(F.sum(t * rate * rate), *[F.sum(t * rate * x) for x in part], *[F.sum(t * part[i] * part[j]) for i, j in pairs]).first()
-        got = np.array([x or 0.0 for x in row]) / size
+    aims: list[list[float]] = []
+    lengths: list[float] = []
+
+    def tried(aim: np.ndarray) -> dict[float, np.ndarray]:
+        """For each step length: squared distance from 1, tokens and moved tokens per domain, and the face's moments."""
+        face = F.lit(len(aims) % 2 == 1)
+        at = scored.select("n_tokens", "posteriors", point_of(aims, lengths, p)["r"].alias("rate"), F.explode(F.array(*[F.lit(x) for x in LENGTHS])).alias("part"))
+        to = F.array(*[F.lit(float(x)) for x in aim])
+        new = F.col("new")
+        sums = at.withColumn("new", _moved(F.col("rate"), to, F.col("part"), face, p)).groupBy("part").agg(
+            F.sum(t * (new - 1) ** 2),
+            *[F.sum(t * new * x) for x in of],
+            *[F.sum(t * F.abs(new - F.col("rate")) * x) for x in of],
+            *[F.sum(F.when(new > 0, t * x).otherwise(0.0)) for x in of],
+            *[F.sum(F.when(new > 0, t * of[i] * of[j]).otherwise(0.0)) for i, j in pairs],
+        )
+        return {r[0]: np.array(r[1:]) / size for r in sums.collect()}  # one row for each of LENGTHS
+
+    def value(sums: np.ndarray) -> float:
+        return float(sums[0] + (((sums[1 : 1 + k] - goal) ** 2) / pull).sum()) / 2
+
+    tokens, last = np.array(row[1:]) / size, math.inf
+    while True:
+        aim = (tokens - goal) / pull
+        found = tried(aim)
+        if (found[1.0][1 + k : 1 + 2 * k] <= tolerance * own).all():
+            return aims, lengths
+        part = min(LENGTHS, key=lambda x: value(found[x]))
+        aims, lengths = [*aims, aim.tolist()], [*lengths, part]
+        here = found[part]
         curve = np.diag(pull)
-        for (i, j), x in zip(pairs, got[1 + k :], strict=True):
+        for (i, j), x in zip(pairs, here[1 + 3 * k :], strict=True):
             curve[i, j] += x
             curve[j, i] = curve[i, j]
-        return float((pull * y * y).sum() / 2 + goal @ y + got[0] / 2), pull * y + goal - got[1 : 1 + k], curve
-
-    y, part_of_step, turn = np.zeros(k), 1.0, None
-    value, slope, curve = at(y)
-    for _ in range(rounds):
-        if (np.abs(slope) <= tolerance * own + 1e-12).all():
-            return [y.tolist()], [0.0]
-        if turn is None:
-            scale = 1 / np.sqrt(np.diag(curve))
-            turn, part_of_step = -scale * np.linalg.solve(curve * np.outer(scale, scale), scale * slope), 1.0
-        new = y + part_of_step * turn
-        found = at(new)
-        if found[0] <= value + 1e-4 * part_of_step * float(slope @ turn) + 1e-13 * (1 + abs(value)):
-            y, (value, slope, curve), turn = new, found, None
-        else:
-            part_of_step /= 2
-    raise RuntimeError(f"rates are not settled after {rounds} rounds: gradient {slope.tolist()} at own shares {own.tolist()}")
+        scale = 1 / np.sqrt(np.diag(curve))
+        aim = scale * np.linalg.solve(curve * np.outer(scale, scale), scale * (here[1 + 2 * k : 1 + 3 * k] - goal))
+        found = tried(aim)
+        part = min(LENGTHS, key=lambda x: value(found[x]))
+        aims, lengths = [*aims, aim.tolist()], [*lengths, part]
+        tokens = found[part][1 : 1 + k]
+        if value(found[part]) >= last * (1 - 1e-15):
+            return aims, lengths
+        last = value(found[part])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -229,8 +252,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     model = fit_classifier(docs, labels)
     scored = settle(_with_words(docs, ["doc_id"]).select("doc_id", F.col("mix.n").alias("n_tokens"), model.code(F.col("mix")).alias("code")))
     table = alike(scored, model)
-    steps, momentum = fit_rates(table, targets or TARGETS)
-    rates = table.select("code", "posteriors", point_of(steps, momentum, F.col("posteriors"))["r"].alias("rate"))
+    aims, lengths = fit_rates(table, targets or TARGETS)
+    rates = table.select("code", "posteriors", point_of(aims, lengths, F.col("posteriors"))["r"].alias("rate"))
     return scored.join(F.broadcast(rates), "code").select("doc_id", "n_tokens", "posteriors", "rate")  # fewer than 2 ** 20 rows
 
 
@@ -252,8 +275,8 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
     model = fit_classifier(docs, labels)
     scored = _with_words(docs, []).select(F.col("mix.n").alias("n_tokens"), model.code(F.col("mix")).alias("code"))
     table = alike(scored, model)
-    steps, momentum = fit_rates(table, targets or shares_without(table, unwanted))
-    copies = F.round(point_of(steps, momentum, F.col("posteriors"))["r"]).cast("int")
+    aims, lengths = fit_rates(table, targets or shares_without(table, unwanted))
+    copies = F.round(point_of(aims, lengths, F.col("posteriors"))["r"]).cast("int")
     copies = F.least(copies, F.lit(most)) if most is not None else copies
     wanted = settle(table.select("code", copies.alias("mix_copies"))).where("mix_copies > 0")
     names = [f"kept_{i}" for i in range(len(docs.columns))]

@@ -471,13 +471,29 @@ def test_rates_meet_feasible_targets(spark):
     table = spark.createDataFrame(rows, "n_tokens double, posteriors array<double>")
     size = sum(n for n, _ in rows)
     want = {"good": 0.5, "poor": 0.3, "good_toxic": 0.1, "poor_toxic": 0.05}
-    steps, momentum = mixing.fit_rates(table, want, rounds=200)
+    steps, momentum = mixing.fit_rates(table, want)
     rated = table.select("*", mixing.point_of(steps, momentum, F.col("posteriors"))["r"].alias("rate")).collect()
     assert min(r["rate"] for r in rated) >= 0
     for k, d in enumerate(mixing.DOMAINS):
         assert math.isclose(sum(r["rate"] * r["n_tokens"] * r["posteriors"][k] for r in rated) / size, want[d], abs_tol=5e-3)
 
 
+def test_rates_equal_plain_projected_gradient(spark):
+    rnd = np.random.default_rng(3)
+    p, n = rnd.dirichlet([0.4] * 4, 40), rnd.integers(1, 400, 40).astype(float)
+    table = spark.createDataFrame([(a, b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens double, posteriors array<double>")
+    want = {"good": 0.6, "poor": 0.1, "good_toxic": 0.0, "poor_toxic": 0.2}
+    goal, w = np.array(list(want.values())), n / n.sum()
+    pull = np.where(goal > 0, *mixing.PULL) * (w @ p)
+    step = 1 / (1 + 1 / min(mixing.PULL))
+    rate = np.ones(40)
+    for _ in range(300_000):
+        rate = np.maximum(0, rate - step * (rate - 1 + p @ (((w * rate) @ p - goal) / pull)))
+    aims, lengths = mixing.fit_rates(table, want)
+    got = [r["r"] for r in table.select(mixing.point_of(aims, lengths, F.col("posteriors"))["r"].alias("r")).collect()]
+    assert (rate == 0).any() and np.abs(rate - got).max() < 1e-3
+
+
 @pytest.mark.parametrize("toxic", [0.0005, 0.001, 0.003, 0.01, 0.02])
 def test_rates_of_small_domains_settle(spark, toxic):
     """Four types of documents, the toxic ones rare: the default rates have none of them and meet the other targets."""
