@@ -17,8 +17,8 @@ SAMPLE = 8000
 MAX_WORDS = 400
 STRONG = 2.0
 SURE = 25.0
-#: Telling words in a document are counted up to here.
-MOST = 6
+#: Bits of the level that stands for the number of a document's telling words: two levels to a doubling, so no number is cut.
+LEVEL_BITS = 5
 TRAITS = ("poor", "toxic")
 DOMAINS = ("good", "poor", "good_toxic", "poor_toxic")
 #: Weight of the rates' squared distance from 1 against the squared relative differences of domains with and without a
@@ -44,8 +44,8 @@ def _with_words(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def telling(mix: Column, words: list[str]) -> Column:
-    """How many of ``words`` a document has, up to ``MOST``."""
-    return F.least(F.size(F.array_intersect(mix["words"], F.array(*[F.lit(w) for w in words]))), F.lit(MOST))
+    """The level of how many of ``words`` a document has: two levels to a doubling."""
+    return F.floor(2 * F.log2(F.size(F.array_intersect(mix["words"], F.array(*[F.lit(w) for w in words]))) + F.lit(1.0))).cast("int")
 
 
 @dataclass
@@ -60,21 +60,21 @@ class Classifier:
     def code(self, mix: Column) -> Column:
         """All that the classifier sees of a document in one number: telling words of both traits, then the bins."""
         poor, toxic = (telling(mix, w) if w else F.lit(0) for w in self.words)
-        parts = [(poor, 1), (toxic, 8), (mix["bins"][0], 64), (mix["bins"][1] - 10, 1024), (mix["bins"][2] - 20, 16384)]
+        digits = [(poor, 0), (toxic, LEVEL_BITS), (mix["bins"][0], 2 * LEVEL_BITS), (mix["bins"][1] - 10, 2 * LEVEL_BITS + 4), (mix["bins"][2] - 20, 2 * LEVEL_BITS + 8)]
         total = F.lit(0).cast("long")
-        for part, weight in parts:
-            total = total + part * weight
+        for digit, at in digits:
+            total = total + digit * 2**at
         return F.coalesce(total, F.lit(0).cast("long"))
 
     def posteriors(self, code: Column) -> Column:
         """Array of the probabilities of ``DOMAINS`` for a document's code."""
         digit = lambda at, bits: F.shiftright(code, at).bitwiseAND(F.lit(2**bits - 1)).cast("int")
-        bins = [digit(6, 4), digit(10, 4) + 10, digit(14, 6) + 20]
+        bins = [digit(2 * LEVEL_BITS, 4), digit(2 * LEVEL_BITS + 4, 4) + 10, digit(2 * LEVEL_BITS + 8, 6) + 20]
 
         def odds(k: int) -> Column:
             total = F.lit(self.bias[k])
             if self.words[k]:
-                total += F.get(F.array(*[F.lit(x) for x in self.found[k]]), digit(3 * k, 3))
+                total += F.get(F.array(*[F.lit(x) for x in self.found[k]]), digit(LEVEL_BITS * k, LEVEL_BITS))
             if self.bins:
                 table = F.array(*[F.lit(self.bins.get(b, [0.0, 0.0])[k]) for b in range(max(self.bins) + 1)])
                 for b in bins:
@@ -130,7 +130,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max
         if words[k]:
             other, weight, _ = weigh(rows.where("half = 1"), telling(F.col("mix"), words[k]))
             steps = {r["key"]: r["w"] for r in other.select("key", weight[k].alias("w")).collect()}
-        found.append([steps.get(i, max(steps.values(), default=0.0)) for i in range(MOST + 1)])
+        found.append([steps.get(i, max(steps.values(), default=0.0)) for i in range(2**LEVEL_BITS)])
     counts, odds, _ = weigh(rows, F.explode("mix.bins"))
     bins = {r["key"]: [r["p"], r["t"]] for r in counts.select("key", odds[0].alias("p"), odds[1].alias("t")).collect()}
     return Classifier([math.log((s + 0.5) / (n - s + 0.5)) for s in sums], tuple(words), tuple(found), bins)
@@ -165,7 +165,8 @@ def _moved(rate: Column, aim: Column, part: Column, face: Column, p: Column) ->
 def alike(scored: DataFrame, model: Classifier) -> DataFrame:
     """``code, n_tokens, posteriors``: one row for all documents with the same code.
 
-    They share posteriors and rate, so nothing is lost.  There are fewer than 2 ** 20 codes.
+    They share posteriors and rate, so nothing is lost.  With at most ``MAX_WORDS`` telling words a trait has 18 levels; with
+    two bins of ten and one of 32 there are fewer than 2 ** 20 codes.
     """
     sums = scored.groupBy("code").agg(F.sum("n_tokens").alias("n_tokens"))
     return settle(sums.withColumn("posteriors", model.posteriors(F.col("code"))))

@@ -481,7 +481,7 @@ def test_rates_meet_feasible_targets(spark):
 def test_rates_equal_plain_projected_gradient(spark):
     rnd = np.random.default_rng(3)
     p, n = rnd.dirichlet([0.4] * 4, 40), rnd.integers(1, 400, 40).astype(float)
-    table = spark.createDataFrame([(a, b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens double, posteriors array<double>")
+    table = spark.createDataFrame([(a, b.tolist()) for a, b in zip(n.tolist(), p, strict=True)], "n_tokens double, posteriors array<double>")
     want = {"good": 0.6, "poor": 0.1, "good_toxic": 0.0, "poor_toxic": 0.2}
     goal, w = np.array(list(want.values())), n / n.sum()
     pull = np.where(goal > 0, *mixing.PULL) * (w @ p)
