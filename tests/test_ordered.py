@@ -179,6 +179,24 @@ def test_quantile_line_is_optimal(spark):
         assert loss == pytest.approx(best_loss(lined[g], tau), abs=1e-9)
 
 
+def test_short_groups_are_regressed_in_one_job(spark):
+    """The jobs do not grow with the turns, and turning by jobs finds lines of the same loss, also for the null group."""
+    rng = np.random.default_rng(31)
+    rows = [(g, float(x), float(rng.normal(x, 40))) for g in ("a", "b", None) for x in rng.integers(0, 90, 120)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    sc = spark.sparkContext
+    sc.setJobGroup("regression", "")
+    got = {(r["g"], r["tau"]): r["loss"] for r in quantile_regression(df, "x", "y", (0.1, 0.5), ["g"]).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("regression"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12
+    few = spark.createDataFrame([("a", float(i % 5), float(i * i % 11)) for i in range(12)] + [(None, 1.0, 2.0), (None, 3.0, 5.0)], "g string, x double, y double")
+    by_jobs = {r["g"]: r["loss"] for r in quantile_regression(few, "x", "y", (0.1,), ["g"], short=8).collect()}
+    assert by_jobs == {r["g"]: pytest.approx(r["loss"], abs=1e-9) for r in quantile_regression(few, "x", "y", (0.1,), ["g"]).collect()}
+    assert by_jobs.keys() == {"a", None} and len(got) == 6
+    assert quantile_regression(df.where("g = 'a'").drop("g"), "x", "y", (0.1,)).first()["loss"] == pytest.approx(got["a", 0.1], rel=1e-9)
+
+
 @pytest.mark.parametrize("values", [[1e6 + i / 4000 for i in range(4000)], [10 ** (-i / 40) for i in range(4000)], [5.0] * 3000 + list(range(1000))])
 def test_running_totals_stay_spread(spark, values):
     """Close values, values over many magnitudes and one heavy tie: right, and no part holds much more than its share."""
