@@ -69,6 +69,29 @@ def test_drawn_sums_are_those_of_the_listed_draws():
     assert -50 <= a["s1"] <= 250 and a["s2"] >= a["s1"] ** 2 / 50
 
 
+def test_numbers_mixed_in_place_are_the_plain_ones():
+    from strataguild.functions.seeded import PRIME, finish_sums, finished, fold_in, opened
+
+    state = np.r_[0, PRIME - 1, PRIME - 1, np.random.default_rng(4).integers(0, PRIME, 40_000)]
+    key = np.r_[PRIME - 1, PRIME - 1, 0, np.arange(40_000)]
+    sums = (opened(state) + key).astype(np.uint64)
+    finish_sums(sums)
+    assert (sums == finished(fold_in(state, key)).astype(np.uint64)).all()
+
+
+def test_counts_travel_in_rows_of_blocks(spark):
+    """2^RUN blocks a row, with the draws of all blocks before; also where a replicate is split over several nodes."""
+    items = spark.createDataFrame([("a", r, 90_000, 7, 77 + r) for r in range(1, 9)], "g string, rep int, n_total bigint, _levels int, _tree bigint")
+    for at_once in (1 << 24, 24 * 30):
+        runs = R.block_runs(items, ["g"], at_once).toPandas()
+        assert runs._m.map(len).max() <= 1 << R.RUN
+        for _, own in runs.sort_values("_first").groupby("rep"):
+            sums = own._m.map(sum)
+            assert (own._before == sums.cumsum() - sums).all() and sums.sum() == 90_000
+        if at_once == 1 << 24:
+            assert len(runs) == 8 * 128 >> R.RUN
+
+
 def test_subsample_sizes(sample):
     df, pdf = sample
     got = frame(R.subsample(df, ["g"], "v", [5, 50], 30), ["g", "sample", "rep"])
