@@ -209,3 +209,26 @@ def test_drawn_p_does_not_depend_on_partitioning(sample):
     ]
     a, b = (r.sort_values(["part", "group_a"]).reset_index(drop=True) for r in runs)
     assert a.equals(b)
+
+
+def test_dealt_rows_are_not_kept(spark, monkeypatch):
+    """Repeated and missing row ids, and ties; what is kept of the dealt rows is a small share of them."""
+    from strataguild.operators import order_stats
+
+    rng = np.random.default_rng(3)
+    n, r = 300, 6
+    pdf = pd.DataFrame({"g": rng.choice(["x", "y"], n), "v": np.round(rng.normal(0, 1, n), 2), "id": rng.integers(0, 250, n)})
+    rows = [(g, float(v), None if i % 50 == 0 else int(i)) for g, v, i in pdf.itertuples(index=False)]
+    kept, plain = [], order_stats.settle
+    monkeypatch.setattr(order_stats, "settle", lambda df: (out := plain(df), kept.append(out.count()))[0])
+    df = spark.createDataFrame(rows, "g string, v double, id bigint")
+    got = PT.pairwise_percentile_test_dealt(df, "v", "g", ["x", "y"], "id", r=r, tau=0.9).first()
+    assert 0 < max(kept) < n * r / 2
+    keys = df.select("v", "g", *[F.coalesce(PT.permutation_key(F.col("id"), F.lit(k)), F.lit(-1)).alias(f"k{k}") for k in range(1, r + 1)]).toPandas()
+    q = lambda a: np.quantile(a, 0.9)
+    n_a, diff = (keys.g == "x").sum(), q(keys.v[keys.g == "x"]) - q(keys.v[keys.g == "y"])
+    hits = 0
+    for k in range(1, r + 1):
+        v = keys.sort_values([f"k{k}", "v"]).v.to_numpy()
+        hits += round(abs(q(v[:n_a]) - q(v[n_a:])), 9) >= round(abs(diff), 9)
+    assert (got["n_a"], got["hits"], got["p"]) == (n_a, hits, hits / r) and math.isclose(got["diff"], diff)
