@@ -232,3 +232,29 @@ def test_dealt_rows_are_not_kept(spark, monkeypatch):
         v = keys.sort_values([f"k{k}", "v"]).v.to_numpy()
         hits += round(abs(q(v[:n_a]) - q(v[n_a:])), 9) >= round(abs(diff), 9)
     assert (got["n_a"], got["hits"], got["p"]) == (n_a, hits, hits / r) and math.isclose(got["diff"], diff)
+
+
+def test_rank_sums_add_up_over_parts(spark, monkeypatch):
+    """Many parts, cut batches, ties over levels and the null group; the counts per value are not kept and not paired."""
+    from strataguild.operators import order_stats
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"p": rng.choice(["a", "b", None], 3000, p=[0.8, 0.1, 0.1]), "g": rng.choice(list("xyz"), 3000), "v": np.round(rng.normal(0, 1, 3000), 3)})
+    kept = []
+    monkeypatch.setattr(order_stats, "settle", lambda df: kept.append(df) or df)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "p string, g string, v double")
+    sums = RT._pair_sums(df, "v", "g", list("xyz"), ["p"], "all").collect()
+    assert not kept and len(sums) == 9
+    for r in sums:
+        own = pdf[pdf.p.isna()] if r["p"] is None else pdf[pdf.p == r["p"]]
+        a, b = (own.v[own.g == "xyz"[i]].to_numpy() for i in (r["ia"], r["ib"]))
+        t = np.unique(np.concatenate([a, b]), return_counts=True)[1].astype(float)
+        assert (r["n_a"], r["n_b"], r["stat"], r["_ties"]) == (len(a), len(b), brute_u(a, b), (t**3 - t).sum())
+    run = RT._part_sums(["p"], ["p"], [RT.pa.string()], 3)
+    monkeypatch.setattr(RT, "TaskContext", type("T", (), {"get": lambda: type("P", (), {"partitionId": lambda s: 0})()}))
+    hist = pdf[pdf.p == "a"].groupby(["p", "v", "g"]).size().reset_index(name="_c").rename(columns={"v": "_v"})
+    hist["_lv"], hist["_c"] = hist.g.map("xyz".index).astype("int32"), hist._c.astype(float)
+    batches = RT.pa.RecordBatch.from_pandas(hist[["p", "_v", "_lv", "_c"]], preserve_index=False)
+    whole = list(run(iter([batches])))
+    cut = list(run(batches.slice(i, 7) for i in range(0, len(hist), 7)))
+    assert len(whole) == len(cut) == 1 and whole[0].equals(cut[0])
