@@ -211,6 +211,31 @@ def test_drawn_p_does_not_depend_on_partitioning(sample):
     assert a.equals(b)
 
 
+def test_percentile_test_ranks_only_values_near_the_percentile(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    shift = {"a": 0.0, "b": 0.1, "c": 3.0, "d": 0.0}
+    rows = [(None if i % 2 else "p", g, i, float(x)) for g, s in shift.items() for i, x in enumerate(rng.normal(s, 1, 5000))]
+    df = spark.createDataFrame(rows, "part string, g string, id long, v double")
+    ranked = []
+
+    def counted(rows, *args, **kwargs):
+        ranked.append(rows.count())
+        return ranks(rows, *args, **kwargs)
+
+    ranks = PT.running
+    for module in (PT, RT):
+        monkeypatch.setattr(module, "running", counted, raising=False)
+    got = PT.pairwise_percentile_test(df, "v", "g", list("abcd"), ["part"], 0.9, 500, 3).toPandas()
+    assert len(got) == 12 and set(got["n_a"]) == {2500}
+    # 20,000 different values, of which only those near a wanted rank are put in order.
+    assert ranked and max(ranked) < 5000
+    data = pd.DataFrame(rows, columns=["part", "g", "id", "v"]).fillna({"part": "none"})
+    q = data.groupby(["part", "g"])["v"].quantile(0.9)
+    for r in got.fillna({"part": "none"}).itertuples():
+        assert r.diff == pytest.approx(q[r.part, r.group_a] - q[r.part, r.group_b], abs=1e-12)
+        assert r.hits == 0 or "c" not in (r.group_a, r.group_b)
+
+
 def test_dealt_rows_are_not_kept(spark, monkeypatch):
     """Repeated and missing row ids, and ties; what is kept of the dealt rows is a small share of them."""
     from strataguild.operators import order_stats
