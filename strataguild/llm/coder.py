@@ -2,57 +2,85 @@
 
 Blocks of ``BLOCK`` ids are coded independently; each starts from the same fresh model.  For every id the model mixes
 
-* order 2 and order 1: the id that followed the last two ids, and the last one, before in this block, each with its
-  own confidence; the chance that the order-2 guess holds is the mean of what both confidences say;
+* order 2 and order 1: the id that followed the last two ids, and the last one, before in this block.  Both have a
+  confidence; the chances that either guess holds are learned for every pair of confidences, and for agreeing guesses;
 * order 0: adaptive frequencies of the id's high byte; its low byte is taken as even.
 
 The chances are whole numbers, so that any machine decodes what another has coded.  Arrays hold one entry a block
-("lane"), and all lanes take a step at once.  Coded bytes of a block: header (magic, ids, bytes, crc32 of the ids as
-little-endian unsigned 32-bit numbers), then the range coder's 16-bit words, little-endian.
+("lane"), and the lanes of a group take a step at once.  Coded bytes of a block: header (magic, ids, bytes, crc32 of the
+ids as little-endian unsigned 32-bit numbers), then the range coder's 32-bit words, little-endian.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"RC12"
+MAGIC = b"RC13"
 HEAD = struct.Struct("<4sIII")
+#: Blocks that take a step at once: few enough that their tables stay near the processor.
+LANES = 1024
 _U = np.uint64
-TOP, BOTTOM = _U(1 << 48), _U(1 << 40)
 #: Bits of a whole: 8 for the choice of the order, 12 for the high byte, 8 for the low byte.
 WHOLE = _U(28)
+#: An interval below this sends its first word.
+NARROW = _U(1 << 32)
+WORD = _U(32)
 W1, W2 = 512, 2048
 #: Steps before which the order-0 frequencies in use are taken anew from the counts.
 REFRESH = frozenset((32, 96, 256, 640, 1280))
+LAST = max(REFRESH)
+#: What a first guess is worth by its confidence, of 1 << 16.
+FIRST = 1 << 14
 
 
 class _Model:
     """The state of all lanes: ``see`` gives guesses and chances for the next ids, ``learn`` takes the ids."""
 
-    def __init__(self, lanes: int) -> None:
+    def __init__(self, lanes: int, find: bool = False) -> None:
         lane = np.arange(lanes)
-        self.of1, self.of2, self.of4, self.of8, self.of256, self.of257 = (lane * k for k in (W1, W2, 4, 8, 256, 257))
+        self.of1, self.of2, self.of32, self.of256, self.of4096 = (lane * k for k in (W1, W2, 32, 256, 4096))
         self.a = np.zeros(lanes, np.uint32)
         self.b = np.zeros(lanes, np.uint32)
         self.t1 = np.zeros(lanes * W1, np.int32)
         self.t2 = np.zeros(lanes * W2, np.int32)
-        self.by1 = np.full(lanes * 4, 1 << 14, np.int32)
-        self.by2 = np.full(lanes * 4, 1 << 14, np.int32)
-        self.second = np.full(lanes * 8, 1 << 14, np.int32)
+        self.by2 = np.full(lanes * 32, FIRST, np.int32)
+        self.by1 = np.full(lanes * 32, FIRST, np.int32)
         self.high = np.tile((2000 // (np.arange(256) + 4) + 1).astype(np.int32), lanes)
+        #: High bytes of the steps since the last refresh.
+        self.seen: list[np.ndarray] = []
         self.step = 0
+        self.find = find
         self.refresh()
 
     def refresh(self) -> None:
+        """Order-0 shares of 4,096 from the counts; what rounding leaves goes to the last byte."""
+        if self.seen:
+            for i in range(0, len(self.seen), 64):
+                at = np.concatenate([self.of256[: len(x)] + x for x in self.seen[i : i + 64]])
+                self.high += np.bincount(at, minlength=len(self.high)).astype(np.int32) * np.int32(32)
+            self.seen = []
         counts = self.high.reshape(-1, 256)
+        lanes = len(counts) if self.step else 1
+        counts = counts[:lanes]
         share = counts * np.int32(4096 - 256) // counts.sum(axis=1, dtype=np.int32)[:, None] + 1
-        cum = np.zeros((len(counts), 257), np.int32)
+        cum = np.zeros((lanes, 257), np.int32)
         np.cumsum(share, axis=1, out=cum[:, 1:])
-        self.cum = cum.ravel()
+        cum[:, 256] = 4096
+        slots = None
+        if self.find:
+            share[:, 255] = 4096 - cum[:, 255]
+            slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), lanes), share.ravel())
+        if not self.step:
+            n = len(self.of1)
+            cum = np.tile(cum, (n, 1))
+            slots = np.tile(slots, n) if self.find else None
+        # Start and width of a byte's interval in one number.
+        self.cum, self.slots = ((cum[:, :-1] << 13) | np.diff(cum, axis=1)).ravel(), slots
 
     def see(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Guesses of order 2 and 1 and their chances in 1/256, for the first ``n`` lanes."""
@@ -65,108 +93,100 @@ class _Model:
         self.e1, self.e2 = self.t1.take(self.at1), self.t2.take(self.at2)
         p1, p2 = self.e1 >> 2, self.e2 >> 2
         self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.i1, self.i2 = self.of4[:n] + self.c1, self.of4[:n] + self.c2
-        self.i3 = self.of8[:n] + (self.c1 + ((p1 == p2) << 2))
-        self.m1, self.m2, self.m3 = self.by1.take(self.i1), self.by2.take(self.i2), self.second.take(self.i3)
-        q2 = ((self.m1 + self.m2) * 125 >> 16) + 1
-        q1 = ((254 - q2) * (self.m3 >> 4) >> 12) + 1
+        self.i = self.of32[:n] + (((p1 == p2) * np.int32(16) + (self.c2 << 2)) + self.c1)
+        self.m2, self.m1 = self.by2.take(self.i), self.by1.take(self.i)
+        q2 = (self.m2 * 250 >> 16) + 1
+        q1 = ((254 - q2) * (self.m1 >> 4) >> 12) + 1
         return p2, p1, q2, q1
 
     def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """Take in the ids ``x`` of the lanes last seen, and which guesses of order 2 and 1 held."""
         n = len(x)
-        aim = hit2.astype(np.int32) << 16
-        self.by1[self.i1] = self.m1 + (aim - self.m1 >> 4)
-        self.by2[self.i2] = self.m2 + (aim - self.m2 >> 4)
-        aim = np.where(hit2, self.m3, hit1.astype(np.int32) << 16)
-        self.second[self.i3] = self.m3 + (aim - self.m3 >> 4)
+        self.by2[self.i] = self.m2 + ((hit2 * np.int32(1 << 16)) - self.m2 >> 4)
+        self.by1[self.i] = np.where(hit2, self.m1, self.m1 + ((hit1 * np.int32(1 << 16)) - self.m1 >> 4))
         new = (x << 2) + 1
         # A guess that held gains confidence, one that failed loses it; without any left it is replaced.
         self.t1[self.at1] = np.where(hit1, self.e1 + (self.c1 < 3), np.where(self.c1 > 1, self.e1 - 1, new))
         self.t2[self.at2] = np.where(hit2, self.e2 + (self.c2 < 3), np.where(self.c2 > 1, self.e2 - 1, new))
-        at = self.of256[:n] + (x >> 8)
-        self.high[at] = self.high.take(at) + 32
+        if self.step <= LAST:
+            self.seen.append((x >> 8).astype(np.uint8))
         self.a[:n] = self.b[:n]
         self.b[:n] = x
 
 
-class _Range:
-    """The coder's interval in every lane; ``move`` narrows it and tells which lanes shift a word out."""
-
-    def __init__(self, lanes: int) -> None:
-        self.low, self.span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-
-    def narrow(self, n: int, from_: np.ndarray, wide: np.ndarray) -> None:
-        low, span = self.low[:n], self.span[:n]
-        unit = span >> WHOLE
-        low += unit * from_.astype(_U)
-        np.multiply(unit, wide.astype(_U), out=span)
-
-    def ready(self, n: int) -> np.ndarray:
-        """Lanes whose first word is settled; a narrow interval that straddles two words is cut so that it is."""
-        low, span = self.low[:n], self.span[:n]
-        settled = (low ^ (low + (span - _U(1)))) < TOP
-        tight = span < BOTTOM
-        if (tight & ~settled).any():
-            cut = np.flatnonzero(tight & ~settled)
-            span[cut] = (~low[cut] + _U(1)) & (BOTTOM - _U(1))
-            settled[cut] = True
-        return settled
-
-    def shift(self, n: int, go: np.ndarray) -> None:
-        by = go.astype(_U) << _U(4)
-        self.low[:n] <<= by
-        self.span[:n] <<= by
-
-
-def encode(ids: np.ndarray) -> bytes:
-    """The coded blocks of a run of ids, one after the other."""
+def _encode_lanes(ids: np.ndarray) -> list[bytes]:
     total = len(ids)
     lanes = -(-total // BLOCK)
-    if not lanes:
-        return b""
-    grid = np.zeros(lanes * BLOCK, np.int32)
+    grid = np.zeros(lanes * BLOCK, np.uint16)
     grid[:total] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     sizes = np.full(lanes, BLOCK)
     sizes[-1] = total - (lanes - 1) * BLOCK
-    model, range_ = _Model(lanes), _Range(lanes)
-    width = 2 * BLOCK + 8
-    words, at = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+    model = _Model(lanes)
+    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    # The first word of a lane never runs over, as the value stays below one.
+    width = BLOCK + 4
+    words, at = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
     for step in range(BLOCK):
         n = lanes if step < sizes[-1] else lanes - 1
         if not n:
             break
-        x = grid[step, :n]
+        if n < len(low):
+            kept = (low[n:], span[n:], at[n:])
+            low, span, at = low[:n], span[:n], at[:n]
+        x = grid[step, :n].astype(np.int32)
         p2, p1, q2, q1 = model.see(n)
-        hb = model.of257[:n] + (x >> 8)
-        ch = model.cum.take(hb)
-        fh = model.cum.take(hb + 1) - ch
+        order0 = model.cum.take(model.of256[:n] + (x >> 8))
+        ch, fh = order0 >> 13, order0 & 8191
         hit2, hit1 = p2 == x, p1 == x
-        deep = ~(hit2 | hit1)
         both = q2 + q1
         f = 256 - both
-        from_ = np.where(deep, (both << 20) + f * ((ch << 8) + fh * (x & 255)), np.where(hit2, 0, q2 << 20))
-        wide = np.where(deep, f * fh, np.where(hit2, q2, q1) << 20)
+        from_ = np.where(hit2, 0, np.where(hit1, q2 << 20, (both << 20) + f * ((ch << 8) + fh * (x & 255))))
+        wide = np.where(hit2, q2 << 20, np.where(hit1, q1 << 20, f * fh))
         model.learn(x, hit2, hit1)
-        range_.narrow(n, from_, wide)
-        # Every lane writes its first word, but only those that are ready move on.
-        while (go := range_.ready(n)).any():
-            words[at[:n]] = range_.low[:n] >> _U(48)
-            at[:n] += go
-            range_.shift(n, go)
+        unit = span >> WHOLE
+        add = unit * from_.astype(_U)
+        low += add
+        over = low < add
+        if over.any():
+            _carry(words, at[over] - 1)
+        np.multiply(unit, wide.astype(_U), out=span)
+        # Every lane writes its first word, but only those that are narrow move on.
+        go = span < NARROW
+        words[at] = low >> WORD
+        at += go
+        by = go.astype(_U) << _U(5)
+        low <<= by
+        span <<= by
+    if lanes and len(low) < lanes:
+        low, span, at = (np.concatenate(pair) for pair in zip((low, span, at), kept))
     # A value of the last interval with few bits; words that are missing in the end count as zero.
-    last = (range_.low + (BOTTOM - _U(1))) & ~(BOTTOM - _U(1))
-    for shift in (48, 32):
-        words[at] = (last >> _U(shift)).astype(np.uint16)
-        at += 1
+    last = low + (NARROW - _U(1))
+    over = last < low
+    if over.any():
+        _carry(words, at[over] - 1)
+    words[at] = last >> WORD
+    at += 1
+    parts, start = [], np.arange(lanes) * width
     plain = np.asarray(ids).astype("<u4")
-    parts = []
     for i in range(lanes):
         own = plain[i * BLOCK : i * BLOCK + int(sizes[i])]
-        body = words[i * width : at[i]].astype("<u2").tobytes()
+        body = words[start[i] : at[i]].astype("<u4").tobytes().rstrip(b"\0")
         parts += [HEAD.pack(MAGIC, len(own), len(body), zlib.crc32(own.tobytes())), body]
-    return b"".join(parts)
+    return parts
+
+
+def _carry(words: np.ndarray, at: np.ndarray) -> None:
+    """Add one to the words at these places and to the one before where a word runs over."""
+    while len(at):
+        words[at] += np.uint32(1)
+        at = at[words[at] == 0] - 1
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """The coded blocks of a run of ids, one after the other."""
+    some = BLOCK * LANES
+    return b"".join(part for i in range(0, len(ids), some) for part in _encode_lanes(ids[i : i + some]))
 
 
 def decode(coded: bytes) -> np.ndarray:
@@ -180,56 +200,61 @@ def decode(coded: bytes) -> np.ndarray:
         if magic != MAGIC or n > BLOCK or at + size > len(coded):
             raise ValueError("damaged block header")
         heads.append((n, crc))
-        bodies.append(np.frombuffer(coded, "<u2", size // 2, at))
+        bodies.append(coded[at : at + size])
         at += size
+    parts = [_decode_lanes(heads[i : i + LANES], bodies[i : i + LANES], i) for i in range(0, len(heads), LANES)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+
+
+def _decode_lanes(heads: Sequence[tuple[int, int]], bodies: Sequence[bytes], first: int) -> np.ndarray:
     lanes = len(heads)
-    if not lanes:
-        return np.zeros(0, np.int32)
     order = np.array(sorted(range(lanes), key=lambda i: -heads[i][0]))
     sizes = np.array([heads[i][0] for i in order])
-    width = max(map(len, bodies)) + 8
-    words = np.zeros((lanes, width), _U)
+    width = max(map(len, bodies)) // 4 + 4
+    words = np.zeros((lanes, width), "<u4")
     for row, i in enumerate(order):
-        words[row, : len(bodies[i])] = bodies[i]
-    model, range_ = _Model(lanes), _Range(lanes)
-    code = (words[:, 0] << _U(48)) | (words[:, 1] << _U(32)) | (words[:, 2] << _U(16)) | words[:, 3]
-    words, next_ = words.ravel(), np.arange(lanes) * width + 4
+        words.view(np.uint8)[row, : len(bodies[i])] = np.frombuffer(bodies[i], np.uint8)
+    words = words.astype(_U)
+    model = _Model(lanes, find=True)
+    span = np.full(lanes, (1 << 64) - 1, _U)
+    # What the coded value lies above the interval's start.
+    above = (words[:, 0] << WORD) | words[:, 1]
+    words, next_ = words.ravel(), np.arange(lanes) * width + 2
     out = np.zeros((BLOCK, lanes), np.int32)
+    most = _U((1 << 28) - 1)
     for step in range(int(sizes[0])):
-        n = int(np.searchsorted(-sizes, -step, side="left"))
+        n = lanes if step < sizes[-1] else int(np.searchsorted(-sizes, -step, side="left"))
+        if n < len(span):
+            span, above, next_ = span[:n], above[:n], next_[:n]
         p2, p1, q2, q1 = model.see(n)
-        value = ((code[:n] - range_.low[:n]) // (range_.span[:n] >> WHOLE)).astype(np.int64)
-        value = np.minimum(value, (1 << 28) - 1).astype(np.int32)
+        unit = span >> WHOLE
+        value = np.minimum(above // unit, most).astype(np.int32)
         flag, both = value >> 20, q2 + q1
         is2, deep = flag < q2, flag >= both
         f = 256 - both
         inner = np.maximum(value - (both << 20), 0) // f
-        high, ch, fh = _find(model.cum, model.of257[:n], inner >> 8)
+        high = model.slots.take(model.of4096[:n] + (inner >> 8)).astype(np.int32)
+        order0 = model.cum.take(model.of256[:n] + high)
+        ch, fh = order0 >> 13, order0 & 8191
         small = np.minimum((inner - (ch << 8)) // fh, 255)
-        x = np.where(deep, (high << 8) | small, np.where(is2, p2, p1)).astype(np.int32)
+        x = np.where(deep, (high << 8) | small, np.where(is2, p2, p1))
         from_ = np.where(deep, (both << 20) + f * ((ch << 8) + fh * small), np.where(is2, 0, q2 << 20))
         wide = np.where(deep, f * fh, np.where(is2, q2, q1) << 20)
         model.learn(x, is2, p1 == x)
         out[step, :n] = x
-        range_.narrow(n, from_, wide)
-        while (go := range_.ready(n)).any():
-            range_.shift(n, go)
-            code[:n] = np.where(go, (code[:n] << _U(16)) | words.take(next_[:n], mode="clip"), code[:n])
-            next_[:n] += go
+        above -= unit * from_.astype(_U)
+        np.multiply(unit, wide.astype(_U), out=span)
+        go = span < NARROW
+        by = go.astype(_U) << _U(5)
+        above <<= by
+        span <<= by
+        above |= words.take(next_, mode="clip") * go
+        next_ += go
     parts: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
     for row, i in enumerate(order):
         n, crc = heads[i]
         own = np.ascontiguousarray(out[:n, row])
         if zlib.crc32(own.astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {i}: checksum differs")
+            raise ValueError(f"block {first + i}: checksum differs")
         parts[i] = own
     return np.concatenate(parts)
-
-
-def _find(cum: np.ndarray, base: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """High byte whose interval holds ``slot``, with its start and width."""
-    at = base.copy()
-    for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += jump * (cum.take(at + jump) <= slot)
-    start = cum.take(at)
-    return (at - base).astype(np.int32), start, cum.take(at + 1) - start

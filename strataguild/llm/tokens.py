@@ -21,6 +21,8 @@ END = 1
 #: Pieces of text that a worker remembers.
 MEMORY = 200_000
 _MARK, _MARK_ID = "<|endoftext|>", 49407
+#: Letters below this stay single letters in the tokenizer's normal form, but for the dotted capital I.
+_LATIN = "\u0250"
 FILE = "part int, segment int, start long, doc_ids array<long>, lengths array<long>, coded binary"
 
 
@@ -37,41 +39,69 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces; 64 go into one call, with a mark between them that no other piece contains."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(pieces)
-        odd = [i for i, p in enumerate(pieces) if b"<|" in p]
-        plain = [i for i, p in enumerate(pieces) if b"<|" not in p]
-        runs = [plain[i : i + 64] for i in range(0, len(plain), 64)] + [[i] for i in odd]
-        texts = [f" {_MARK} ".join(pieces[i].decode() for i in run) for run in runs]
-        for run, found in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, np.uint16)
+        vocab = self.tokenizer.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for text, i in vocab.items() if text.endswith("</w>")]] = True
+
+    def _found(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, np.uint16) for f in found]
+
+    def _encode(self, words: list[str], pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of letters and of other pieces.
+
+        Many words go into one call and are told apart by the ids that end a word.  Of the other pieces 64 go into one
+        call, with a mark between them that no other piece contains.
+        """
+        out = {b"": b""}
+        runs = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for run, ids in zip(runs, self._found([" ".join(run) for run in runs]), strict=True):
+            stops = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(run) or stops[-1] != 2 * len(ids):
+                pieces = pieces + [w.encode() for w in run]
+                continue
+            plain = ids.tobytes()
+            out.update((w.encode(), plain[i:j]) for w, i, j in zip(run, [0, *stops], stops, strict=False))
+        odd = [[p] for p in pieces if b"<|" in p]
+        plain = [p for p in pieces if b"<|" not in p]
+        runs = [plain[i : i + 64] for i in range(0, len(plain), 64)] + odd
+        texts = [f" {_MARK} ".join(p.decode() for p in run) for run in runs]
+        for run, ids in zip(runs, self._found(texts), strict=True):
             if len(run) == 1:
-                out[run[0]] = ids
+                out[run[0]] = ids.tobytes()
                 continue
-            cuts = np.flatnonzero(ids == _MARK_ID)
-            for i, part in zip(run, np.split(ids, cuts), strict=True):
-                out[i] = part[1:] if i != run[0] else part
+            cuts = np.flatnonzero(ids == _MARK_ID).tolist()
+            whole = ids.tobytes()
+            out.update((p, whole[2 * i + 2 : 2 * j]) for p, i, j in zip(run, [-1, *cuts], [*cuts, len(ids)], strict=True))
         return out
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = [p for p in pieces if p not in self.known]
+        known = self.known
+        new = [p for p in pieces if p not in known]
         if not new:
             return
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list(pieces)
-        split = []
+        if len(known) + len(new) > MEMORY:
+            # What this group of texts uses stays.
+            known = self.known = {p: known[p] for p in pieces if p in known}
+        words, others, split = set(), set(), []
         for p in new:
             core = p.rstrip(b".,;:!?")
-            # Only after an ASCII letter or digit are the stops sure to stand apart.
-            split.append((core, p[len(core) :]) if core != p and core[-1:].isalnum() and core[-1] < 128 else (p, b""))
-        parts = list({x for pair in split for x in pair if x})
-        ids = dict(zip(parts, (x.tobytes() for x in self._encode(parts)), strict=True))
-        ids[b""] = b""
-        for p, (core, tail) in zip(new, split, strict=True):
-            self.known[p] = ids[core] + ids[tail]
+            word = core.decode()
+            if word.isalpha() and (word.isascii() or (max(word) < _LATIN and "\u0130" not in word)):
+                words.add(word)
+            elif core != p and core[-1:].isalnum() and core[-1] < 128:
+                # Only after letters, or an ASCII digit, are the stops sure to stand apart.
+                others.add(core)
+            else:
+                core = p
+                others.add(p)
+            tail = p[len(core) :]
+            if tail:
+                others.add(tail)
+            split.append((p, core, tail))
+        ids = self._encode(list(words), list(others))
+        known.update((p, ids[core] + ids[tail] if tail else ids[core]) for p, core, tail in split)
 
     def ids(self, bodies: list[bytes]) -> list[np.ndarray]:
         """Token ids of UTF-8 texts."""

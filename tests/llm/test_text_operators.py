@@ -224,6 +224,38 @@ def test_coder_round_trip_and_damage():
         coder.decode(bytes(broken))
 
 
+def test_coder_carries_over_words():
+    """Words at the edge of an interval and blocks of different lengths; all coded ids come back."""
+    rng = np.random.default_rng(11)
+    for ids in (rng.integers(0, 1 << 16, 9000), np.full(5000, 65535), np.repeat(rng.integers(0, 1 << 16, 900), rng.integers(1, 9, 900))):
+        coded = coder.encode(ids.astype(np.int32))
+        assert np.array_equal(coder.decode(coded), ids)
+    # Words that run over pass one on to the words before them.
+    words = np.array([7, 0xFFFFFFFF, 0xFFFFFFFF, 3], np.uint32)
+    coder._carry(words, np.array([2]))
+    assert words.tolist() == [8, 0, 0, 3]
+
+
+def test_distinct_words_go_into_few_library_calls():
+    """Words of letters take one text a 256 of them, without marks between, and what is known is not encoded again."""
+    import public_tokenizers
+
+    tool = tokens.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    rnd, sent = random.Random(21), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kwargs):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **kwargs)
+
+    library, tool.tokenizer = tool.tokenizer, Counted()
+    odd = ["straße,", "\u0130stanbul.", "\u0958.", "ÉTÉ;", "it's", "a-b!", "ªº?", "3rd.", "\ufb01n,", "e\u0301."]
+    texts = [" ".join(["".join(rnd.choices("abcdeüñ", k=9)) + rnd.choice(["", ",", "."]) for _ in range(500)] + odd) for _ in range(4)]
+    got = tool.ids([t.encode() for t in texts])
+    assert len(sent) < 16 and sum("<|" in t for t in sent) == 1
+    assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_ids_match_the_library(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
