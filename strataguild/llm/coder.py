@@ -2,13 +2,15 @@
 
 Blocks of ``BLOCK`` ids are coded independently; each starts from the same fresh model.  For every id the model mixes
 
-* order 2 and order 1: the id that followed the last two ids, and the last one, before in this block.  Both have a
-  confidence; the chances that either guess holds are learned for every pair of confidences, and for agreeing guesses;
+* order 2 and order 1: the id that followed the last two ids, and the last one, before in this block.  Both know whether
+  they are empty, new, or held the last time; the chances that either holds are learned for all pairs of these states,
+  and for agreeing guesses;
 * order 0: adaptive frequencies of the id's high byte; its low byte is taken as even.
 
-The chances are whole numbers, so that any machine decodes what another has coded.  Arrays hold one entry a block
-("lane"), and the lanes of a group take a step at once.  Coded bytes of a block: header (magic, ids, bytes, crc32 of the
-ids as little-endian unsigned 32-bit numbers), then the range coder's 32-bit words, little-endian.
+Guesses are learned with every id, chances and frequencies at the steps in ``REFRESH``.  All are whole numbers, so that
+any machine decodes what another has coded.  Arrays hold one entry a block ("lane"), and the lanes of a group take a
+step at once.  Coded bytes of a block: header (magic, ids, bytes, crc32 of the ids as little-endian unsigned 32-bit
+numbers), then the range coder's 32-bit words, little-endian.
 """
 
 from __future__ import annotations
@@ -20,158 +22,159 @@ from collections.abc import Sequence
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"RC13"
+MAGIC = b"RC14"
 HEAD = struct.Struct("<4sIII")
 #: Blocks that take a step at once: few enough that their tables stay near the processor.
-LANES = 1024
-_U = np.uint64
+LANES = 2048
+W1, W2 = 256, 512
+#: Steps before which chances and order-0 frequencies are taken anew from the counts.
+REFRESH = (0, 48, 160, 640)
+#: Rows of ids that are prepared or counted at once.
+ROWS = 32
+_I, _J = np.int64, np.int32
+K1, K2 = _I(2654435761), _I(2246822519)
+SHIFT1, SHIFT2, MASK1, MASK2 = _I(24), _I(23), _I(W1 - 1), _I(W2 - 1)
 #: Bits of a whole: 8 for the choice of the order, 12 for the high byte, 8 for the low byte.
-WHOLE = _U(28)
-#: An interval below this sends its first word.
-NARROW = _U(1 << 32)
-WORD = _U(32)
-W1, W2 = 512, 2048
-#: Steps before which the order-0 frequencies in use are taken anew from the counts.
-REFRESH = frozenset((32, 96, 256, 640, 1280))
-LAST = max(REFRESH)
-#: What a first guess is worth by its confidence, of 1 << 16.
-FIRST = 1 << 14
+WHOLE = _I(28)
+#: An interval is a part of 62 bits; below this width it sends its first 32 bits.
+NARROW, REST, WORD = _I(1 << 30), _I(30), _I(32)
+LOW32, LOW30, SHARE, FREQ = _I((1 << 32) - 1), _I((1 << 30) - 1), _I(511), _I(8191)
+#: What guesses of order 2 and 1 are worth before any count, of 256, by their states (empty, new, -, held).
+FIRST2, FIRST1 = (2, 70, 70, 150), (2, 30, 30, 60)
+#: Whole numbers above 2**40 / f and 2**32 / f: products with them, shifted, are exact quotients here.
+BY40 = np.array([0] + [-(-(1 << 40) // f) for f in range(1, 257)], _I)
+BY32 = np.array([0] + [-(-(1 << 32) // f) for f in range(1, 4097)], _I)
 
 
 class _Model:
-    """The state of all lanes: ``see`` gives guesses and chances for the next ids, ``learn`` takes the ids."""
+    """What all lanes have learned.
+
+    Table entries are an id times 16 and the guess's state: 1 new or 3 held, in the two lowest bits for order 1 and the
+    next two for order 2.  A case is a number below 128 a lane: both states, 16 unless both guess the same, 32 unless
+    order 2 held and 64 unless order 1 held.
+    """
 
     def __init__(self, lanes: int, find: bool = False) -> None:
-        lane = np.arange(lanes)
-        self.of1, self.of2, self.of32, self.of256, self.of4096 = (lane * k for k in (W1, W2, 32, 256, 4096))
-        self.a = np.zeros(lanes, np.uint32)
-        self.b = np.zeros(lanes, np.uint32)
-        self.t1 = np.zeros(lanes * W1, np.int32)
-        self.t2 = np.zeros(lanes * W2, np.int32)
-        self.by2 = np.full(lanes * 32, FIRST, np.int32)
-        self.by1 = np.full(lanes * 32, FIRST, np.int32)
-        self.high = np.tile((2000 // (np.arange(256) + 4) + 1).astype(np.int32), lanes)
-        #: High bytes of the steps since the last refresh.
-        self.seen: list[np.ndarray] = []
-        self.step = 0
-        self.find = find
-        self.refresh()
+        lane = np.arange(lanes, dtype=_I)
+        self.lanes, self.find = lanes, find
+        self.of1, self.of2, self.of32, self.of128, self.of256, self.of4096 = (lane * k for k in (W1, W2, 32, 128, 256, 4096))
+        self.t1, self.t2 = np.zeros(lanes * W1, _J), np.zeros(lanes * W2, _J)
+        self.counts = np.zeros(lanes * 128, _J)
+        self.high = np.tile((2000 // (np.arange(256) + 4) + 1).astype(_J), lanes)
+        #: Cases of the steps since the last refresh.
+        self.cases: list[np.ndarray] = []
 
-    def refresh(self) -> None:
-        """Order-0 shares of 4,096 from the counts; what rounding leaves goes to the last byte."""
-        if self.seen:
-            for i in range(0, len(self.seen), 64):
-                at = np.concatenate([self.of256[: len(x)] + x for x in self.seen[i : i + 64]])
-                self.high += np.bincount(at, minlength=len(self.high)).astype(np.int32) * np.int32(32)
-            self.seen = []
-        counts = self.high.reshape(-1, 256)
-        lanes = len(counts) if self.step else 1
-        counts = counts[:lanes]
-        share = counts * np.int32(4096 - 256) // counts.sum(axis=1, dtype=np.int32)[:, None] + 1
-        cum = np.zeros((lanes, 257), np.int32)
-        np.cumsum(share, axis=1, out=cum[:, 1:])
-        cum[:, 256] = 4096
-        slots = None
+    def refresh(self, rows: np.ndarray) -> None:
+        """Chances and frequencies from the counts and the ids (a row a step) since the last refresh."""
+        for i in range(0, len(rows), ROWS):
+            at = (self.of256 + (rows[i : i + ROWS] >> 8)).ravel()
+            self.high += np.bincount(at, minlength=len(self.high)).astype(_J) * _J(32)
+            at = np.concatenate(self.cases[i : i + ROWS])
+            self.counts += np.bincount(at, minlength=len(self.counts)).astype(_J)
+        self.cases = []
+        lanes = self.lanes
+        # Order 0: shares of 4,096; what rounding leaves goes to the last byte.
+        high = self.high.reshape(-1, 256)
+        share = high * _J(4096 - 256) // high.sum(axis=1, dtype=_J)[:, None] + _J(1)
+        start = np.cumsum(share, axis=1, dtype=_J) - share
+        share[:, 255] = 4096 - start[:, 255]
+        # A byte's start, times 256, and its width in one number.
+        self.freq = ((start.astype(_I) << 40) + share).ravel()
+        if self.find:
+            self.slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), lanes), share.ravel())
+        # Orders 2 and 1: shares of 256 by both states and agreement, order 0 has the rest.
+        seen = self.counts.reshape(lanes, 2, 2, 32)
+        total = 16 * seen.sum(axis=(1, 2), dtype=_I) + 64
+        state = np.arange(32)
+        first2, first1 = np.array(FIRST2)[state >> 2 & 3], np.array(FIRST1)[state & 3]
+        q2 = 1 + (16 * seen[:, :, 0].sum(axis=1, dtype=_I) + first2 * 64 // 256) * 250 // total
+        q1 = 1 + (16 * seen[:, 0, 1].astype(_I) + first1 * 64 // 256) * 250 // total
+        both = q2 + q1
+        f = 256 - both
+        # The interval of a case, start and width in one number; order 0 has its share of 256 in place of a width.
+        cases = np.empty((lanes, 2, 2, 32), _I)
+        cases[:, :, 0] = (q2 << 20)[:, None]
+        cases[:, 0, 1] = (q2 << 52) + (q1 << 20)
+        cases[:, 1, 1] = (both << 52) + f
+        self.interval = cases.ravel()
         if self.find:
-            share[:, 255] = 4096 - cum[:, 255]
-            slots = np.repeat(np.tile(np.arange(256, dtype=np.uint8), lanes), share.ravel())
-        if not self.step:
-            n = len(self.of1)
-            cum = np.tile(cum, (n, 1))
-            slots = np.tile(slots, n) if self.find else None
-        # Start and width of a byte's interval in one number.
-        self.cum, self.slots = ((cum[:, :-1] << 13) | np.diff(cum, axis=1)).ravel(), slots
+            self.share = ((q2 << 52) + (both << 20) + f).ravel()
+
+
+_1, _2, _3, _4, _12, _15, _16 = map(_J, (1, 2, 3, 4, 12, 15, 16))
+
 
-    def see(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Guesses of order 2 and 1 and their chances in 1/256, for the first ``n`` lanes."""
-        if self.step in REFRESH:
-            self.refresh()
-        self.step += 1
-        mixed = self.b[:n] * np.uint32(2654435761)
-        self.at1 = self.of1[:n] + (mixed >> np.uint32(23))
-        self.at2 = self.of2[:n] + ((self.a[:n] * np.uint32(2246822519) ^ mixed) >> np.uint32(21))
-        self.e1, self.e2 = self.t1.take(self.at1), self.t2.take(self.at2)
-        p1, p2 = self.e1 >> 2, self.e2 >> 2
-        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
-        self.i = self.of32[:n] + (((p1 == p2) * np.int32(16) + (self.c2 << 2)) + self.c1)
-        self.m2, self.m1 = self.by2.take(self.i), self.by1.take(self.i)
-        q2 = (self.m2 * 250 >> 16) + 1
-        q1 = ((254 - q2) * (self.m1 >> 4) >> 12) + 1
-        return p2, p1, q2, q1
+def _agree(e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    both = e1 ^ e2
+    return (both & _15) + (np.minimum(both, _16) & _16)
 
-    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Take in the ids ``x`` of the lanes last seen, and which guesses of order 2 and 1 held."""
-        n = len(x)
-        self.by2[self.i] = self.m2 + ((hit2 * np.int32(1 << 16)) - self.m2 >> 4)
-        self.by1[self.i] = np.where(hit2, self.m1, self.m1 + ((hit1 * np.int32(1 << 16)) - self.m1 >> 4))
-        new = (x << 2) + 1
-        # A guess that held gains confidence, one that failed loses it; without any left it is replaced.
-        self.t1[self.at1] = np.where(hit1, self.e1 + (self.c1 < 3), np.where(self.c1 > 1, self.e1 - 1, new))
-        self.t2[self.at2] = np.where(hit2, self.e2 + (self.c2 < 3), np.where(self.c2 > 1, self.e2 - 1, new))
-        if self.step <= LAST:
-            self.seen.append((x >> 8).astype(np.uint8))
-        self.a[:n] = self.b[:n]
-        self.b[:n] = x
+
+def _miss(e: np.ndarray, x16: np.ndarray) -> np.ndarray:
+    """16 where a guess fails, else 0."""
+    return np.minimum(e ^ x16, _16) & _16
 
 
 def _encode_lanes(ids: np.ndarray) -> list[bytes]:
     total = len(ids)
     lanes = -(-total // BLOCK)
-    grid = np.zeros(lanes * BLOCK, np.uint16)
-    grid[:total] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
-    sizes = np.full(lanes, BLOCK)
-    sizes[-1] = total - (lanes - 1) * BLOCK
+    steps = min(total, BLOCK)
+    # A shorter last lane goes on with zeros, which the reader leaves out; two rows of zeros come before the first.
+    grid = np.zeros((steps + 2, lanes), np.uint16)
+    full = total // steps
+    grid[2:, :full] = ids[: full * steps].reshape(full, steps).T
+    if full < lanes:
+        grid[2 : 2 + total - full * steps, full] = ids[full * steps :]
     model = _Model(lanes)
-    low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    # The first word of a lane never runs over, as the value stays below one.
-    width = BLOCK + 4
-    words, at = np.zeros(lanes * width, np.uint32), np.arange(lanes) * width
-    for step in range(BLOCK):
-        n = lanes if step < sizes[-1] else lanes - 1
-        if not n:
-            break
-        if n < len(low):
-            kept = (low[n:], span[n:], at[n:])
-            low, span, at = low[:n], span[:n], at[:n]
-        x = grid[step, :n].astype(np.int32)
-        p2, p1, q2, q1 = model.see(n)
-        order0 = model.cum.take(model.of256[:n] + (x >> 8))
-        ch, fh = order0 >> 13, order0 & 8191
-        hit2, hit1 = p2 == x, p1 == x
-        both = q2 + q1
-        f = 256 - both
-        from_ = np.where(hit2, 0, np.where(hit1, q2 << 20, (both << 20) + f * ((ch << 8) + fh * (x & 255))))
-        wide = np.where(hit2, q2 << 20, np.where(hit1, q1 << 20, f * fh))
-        model.learn(x, hit2, hit1)
-        unit = span >> WHOLE
-        add = unit * from_.astype(_U)
-        low += add
-        over = low < add
-        if over.any():
-            _carry(words, at[over] - 1)
-        np.multiply(unit, wide.astype(_U), out=span)
-        # Every lane writes its first word, but only those that are narrow move on.
-        go = span < NARROW
-        words[at] = low >> WORD
-        at += go
-        by = go.astype(_U) << _U(5)
-        low <<= by
-        span <<= by
-    if lanes and len(low) < lanes:
-        low, span, at = (np.concatenate(pair) for pair in zip((low, span, at), kept))
+    low, span = np.zeros(lanes, _I), np.full(lanes, (1 << 62) - 1, _I)
+    words, froms = [], []
+    last = 0
+    for step in range(steps):
+        if step in REFRESH:
+            model.refresh(grid[2 + last : 2 + step])
+            last, interval, freq, count = step, model.interval, model.freq, step < REFRESH[-1]
+        r = step % ROWS
+        if not r:
+            own = grid[step : step + ROWS + 2].astype(_I)
+            now, mixed = own[2:], own[1:-1] * K1
+            at1s = (mixed >> SHIFT1 & MASK1) + model.of1
+            at2s = ((own[:-2] * K2 ^ mixed) >> SHIFT2 & MASK2) + model.of2
+            highs, lows, x16s = (now >> 8) + model.of256, (now & 255) << WORD, (now << 4).astype(_J)
+        at1, at2, x16 = at1s[r], at2s[r], x16s[r]
+        e1, e2 = model.t1.take(at1), model.t2.take(at2)
+        miss1, miss2 = _miss(e1, x16), _miss(e2, x16)
+        case = _agree(e1, e2) + (miss2 << _1) + (miss1 << _2) + model.of128
+        if count:
+            model.cases.append(case)
+        part, wide = interval.take(case), freq.take(highs[r])
+        wide += (wide & FREQ) * lows[r]
+        wide -= 1
+        wide *= part & SHARE
+        wide += part
+        model.t1[at1] = x16 + (_3 - (miss1 >> _3))
+        model.t2[at2] = x16 + (_12 - (miss2 >> _1))
+        span >>= WHOLE
+        low += span * (wide >> WORD)
+        span *= wide & LOW32
+        go = np.flatnonzero(span < NARROW)
+        sent = low[go]
+        words.append(sent >> REST)
+        froms.append(go.astype(np.uint16))
+        low[go] = (sent & LOW30) << WORD
+        span[go] <<= WORD
     # A value of the last interval with few bits; words that are missing in the end count as zero.
-    last = low + (NARROW - _U(1))
-    over = last < low
-    if over.any():
-        _carry(words, at[over] - 1)
-    words[at] = last >> WORD
-    at += 1
-    parts, start = [], np.arange(lanes) * width
-    plain = np.asarray(ids).astype("<u4")
-    for i in range(lanes):
-        own = plain[i * BLOCK : i * BLOCK + int(sizes[i])]
-        body = words[start[i] : at[i]].astype("<u4").tobytes().rstrip(b"\0")
+    words.append(low + LOW30 >> REST)
+    froms.append(np.arange(lanes, dtype=np.uint16))
+    lane = np.concatenate(froms)
+    words = np.concatenate(words)[np.argsort(lane, kind="stable")]
+    over = np.flatnonzero(words >> WORD)
+    words = words.astype(np.uint32)
+    # The first word of a lane never runs over, as the value stays below one.
+    _carry(words, over - 1)
+    stops = np.cumsum(np.bincount(lane, minlength=lanes)).tolist()
+    words, parts = words.astype("<u4"), []
+    for i, (start, stop) in enumerate(zip([0, *stops], stops, strict=False)):
+        own = ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4")
+        body = words[start:stop].tobytes().rstrip(b"\0")
         parts += [HEAD.pack(MAGIC, len(own), len(body), zlib.crc32(own.tobytes())), body]
     return parts
 
@@ -203,58 +206,65 @@ def decode(coded: bytes) -> np.ndarray:
         bodies.append(coded[at : at + size])
         at += size
     parts = [_decode_lanes(heads[i : i + LANES], bodies[i : i + LANES], i) for i in range(0, len(heads), LANES)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
 def _decode_lanes(heads: Sequence[tuple[int, int]], bodies: Sequence[bytes], first: int) -> np.ndarray:
-    lanes = len(heads)
-    order = np.array(sorted(range(lanes), key=lambda i: -heads[i][0]))
-    sizes = np.array([heads[i][0] for i in order])
+    lanes, steps = len(heads), max(n for n, _ in heads)
     width = max(map(len, bodies)) // 4 + 4
-    words = np.zeros((lanes, width), "<u4")
-    for row, i in enumerate(order):
-        words.view(np.uint8)[row, : len(bodies[i])] = np.frombuffer(bodies[i], np.uint8)
-    words = words.astype(_U)
+    words = np.frombuffer(b"".join(b.ljust(4 * width, b"\0") for b in bodies), "<u4").astype(np.uint32)
+    places = np.arange(lanes, dtype=_I) * width
+    # What the coded value lies above the interval's start: 62 bits; 32 bits are added at a time.
+    above = (words[places].astype(_I) << REST) + (words[places + 1] >> 2)
+    words[:-1] = ((words[:-1] & np.uint32(3)) << np.uint32(30)) + (words[1:] >> np.uint32(2))
+    places += 1
     model = _Model(lanes, find=True)
-    span = np.full(lanes, (1 << 64) - 1, _U)
-    # What the coded value lies above the interval's start.
-    above = (words[:, 0] << WORD) | words[:, 1]
-    words, next_ = words.ravel(), np.arange(lanes) * width + 2
-    out = np.zeros((BLOCK, lanes), np.int32)
-    most = _U((1 << 28) - 1)
-    for step in range(int(sizes[0])):
-        n = lanes if step < sizes[-1] else int(np.searchsorted(-sizes, -step, side="left"))
-        if n < len(span):
-            span, above, next_ = span[:n], above[:n], next_[:n]
-        p2, p1, q2, q1 = model.see(n)
-        unit = span >> WHOLE
-        value = np.minimum(above // unit, most).astype(np.int32)
-        flag, both = value >> 20, q2 + q1
-        is2, deep = flag < q2, flag >= both
-        f = 256 - both
-        inner = np.maximum(value - (both << 20), 0) // f
-        high = model.slots.take(model.of4096[:n] + (inner >> 8)).astype(np.int32)
-        order0 = model.cum.take(model.of256[:n] + high)
-        ch, fh = order0 >> 13, order0 & 8191
-        small = np.minimum((inner - (ch << 8)) // fh, 255)
-        x = np.where(deep, (high << 8) | small, np.where(is2, p2, p1))
-        from_ = np.where(deep, (both << 20) + f * ((ch << 8) + fh * small), np.where(is2, 0, q2 << 20))
-        wide = np.where(deep, f * fh, np.where(is2, q2, q1) << 20)
-        model.learn(x, is2, p1 == x)
-        out[step, :n] = x
-        above -= unit * from_.astype(_U)
-        np.multiply(unit, wide.astype(_U), out=span)
-        go = span < NARROW
-        by = go.astype(_U) << _U(5)
-        above <<= by
-        span <<= by
-        above |= words.take(next_, mode="clip") * go
-        next_ += go
-    parts: list[np.ndarray] = [np.zeros(0, np.int32)] * lanes
-    for row, i in enumerate(order):
-        n, crc = heads[i]
-        own = np.ascontiguousarray(out[:n, row])
+    span = np.full(lanes, (1 << 62) - 1, _I)
+    grid = np.zeros((steps, lanes), np.uint16)
+    of1, of2, of32, of128, of256, of4096 = model.of1, model.of2, model.of32, model.of128, model.of256, model.of4096
+    t1, t2 = model.t1, model.t2
+    x = mixed = older = np.zeros(lanes, _I)
+    most, shares, zero, four, eight, forty = _I((1 << 28) - 1), _I(0xFFF00000), _I(0), _I(4), _I(8), _I(40)
+    last = 0
+    for step in range(steps):
+        if step in REFRESH:
+            model.refresh(grid[last:step])
+            last, freq, share, slots, count = step, model.freq, model.share, model.slots, step < REFRESH[-1]
+        at1 = (mixed >> SHIFT1 & MASK1) + of1
+        at2 = ((older ^ mixed) >> SHIFT2 & MASK2) + of2
+        e1, e2 = t1.take(at1), t2.take(at2)
+        state = _agree(e1, e2)
+        part = share.take(state + of32)
+        q2, both, f = part >> WORD, part & shares, part & SHARE
+        span >>= WHOLE
+        # A block that has ended goes on with any ids, which are left out below.
+        value = np.minimum((above.view(np.uint64) // span.view(np.uint64)).view(_I), most)
+        is2, deep = value < q2, value >= both
+        inner = np.maximum(value - both, zero) * BY40.take(f) >> forty
+        high = slots.take((inner >> eight) + of4096).astype(_I)
+        pair = freq.take(high + of256)
+        start, fh = pair >> WORD, pair & FREQ
+        small = (inner - start) * BY32.take(fh) >> WORD
+        older, x = x * K2, np.where(deep, (high << eight) + small, np.where(is2, e2, e1) >> _4)
+        mixed = x * K1
+        above -= span * np.where(deep, both + f * (start + fh * small), np.where(is2, zero, q2))
+        span *= np.where(deep, f * fh, np.where(is2, q2, both - q2))
+        grid[step] = x
+        x16 = (x << four).astype(_J)
+        miss1, miss2 = _miss(e1, x16), _miss(e2, x16)
+        if count:
+            model.cases.append(state + (miss2 << _1) + (miss1 << _2) + of128)
+        t1[at1] = x16 + (_3 - (miss1 >> _3))
+        t2[at2] = x16 + (_12 - (miss2 >> _1))
+        go = np.flatnonzero(span < NARROW)
+        at = places[go]
+        above[go] = (above[go] << WORD) + words.take(at, mode="clip")
+        span[go] <<= WORD
+        places[go] = at + 1
+    plain, parts = np.ascontiguousarray(grid.T), []
+    for i, (n, crc) in enumerate(heads):
+        own = plain[i, :n]
         if zlib.crc32(own.astype("<u4").tobytes()) != crc:
             raise ValueError(f"block {first + i}: checksum differs")
-        parts[i] = own
+        parts.append(own)
     return np.concatenate(parts)

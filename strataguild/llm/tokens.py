@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,104 +20,141 @@ from strataguild.llm import coder
 from strataguild.llm.common import checkpoint_folder, raw_text
 
 #: Ids that a row of a file gathers before it is coded; a longer document makes a longer row.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 22
 END = 1
-#: Pieces of text that a worker remembers.
-MEMORY = 200_000
+#: Words and other pieces of text that a worker remembers.
+MEMORY = 400_000
+#: Bytes of texts that are split at once; a longer text is taken alone.
+CHUNK = 1 << 23
 _MARK, _MARK_ID = "<|endoftext|>", 49407
-#: Letters below this stay single letters in the tokenizer's normal form, but for the dotted capital I.
-_LATIN = "\u0250"
+#: Letters below U+0250 stay single letters in the tokenizer's normal form, but for the dotted capital I.
+_LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_STOPS = string.punctuation
 FILE = "part int, segment int, start long, doc_ids array<long>, lengths array<long>, coded binary"
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs from these starts, one run after the other."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Pieces:
     """Ids of texts by way of their pieces between ASCII white space.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its pieces.  Every
-    distinct piece is encoded once by the library; a trailing run of ASCII stops is a piece of its own for the
-    tokenizer and is kept apart, and A-Z are lower-cased first as its normaliser would do.
+    The tokenizer drops white space and never joins across it, so the ids of a text are those of its pieces.  A piece of
+    letters and a trailing run of ASCII stops is two words for the tokenizer and is split into them; A-Z are lower-cased
+    first as its normaliser would do.  Every distinct word, run of stops or other piece is encoded once by the library.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        # One process a core: more threads in the library would only get in each other's way.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        #: The same model for lower-cased words of letters between spaces, which need no other step.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocab = self.tokenizer.get_vocab()
         #: Whether an id ends a word.
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for text, i in vocab.items() if text.endswith("</w>")]] = True
+        #: What is remembered: words and pieces, all their ids, and where those of each stop (the first number is 0).
+        self.known = pa.array([], pa.string())
+        self.flat, self.stops = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def _found(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, np.uint16) for f in found]
-
-    def _encode(self, words: list[str], pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words of letters and of other pieces.
+    def _encode(self, words: list[str], pieces: list[str]) -> list[np.ndarray]:
+        """Ids of lower-cased words of letters, then of other pieces.
 
         Many words go into one call and are told apart by the ids that end a word.  Of the other pieces 64 go into one
         call, with a mark between them that no other piece contains.
         """
-        out = {b"": b""}
+        out: list[np.ndarray] = []
         runs = [words[i : i + 256] for i in range(0, len(words), 256)]
-        for run, ids in zip(runs, self._found([" ".join(run) for run in runs]), strict=True):
-            stops = (2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(run) or stops[-1] != 2 * len(ids):
-                pieces = pieces + [w.encode() for w in run]
-                continue
-            plain = ids.tobytes()
-            out.update((w.encode(), plain[i:j]) for w, i, j in zip(run, [0, *stops], stops, strict=False))
-        odd = [[p] for p in pieces if b"<|" in p]
-        plain = [p for p in pieces if b"<|" not in p]
+        found = self.plain.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False)
+        for run, f in zip(runs, found, strict=True):
+            ids = np.array(f.ids, np.uint16)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(run) and stops[-1] == len(ids):
+                out += [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+            else:
+                single = self.tokenizer.encode_batch_fast(run, add_special_tokens=False)
+                out += [np.array(f.ids, np.uint16) for f in single]
+        rest: dict[str, np.ndarray] = {}
+        odd = [[p] for p in pieces if "<|" in p]
+        plain = [p for p in pieces if "<|" not in p]
         runs = [plain[i : i + 64] for i in range(0, len(plain), 64)] + odd
-        texts = [f" {_MARK} ".join(p.decode() for p in run) for run in runs]
-        for run, ids in zip(runs, self._found(texts), strict=True):
+        found = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(run) for run in runs], add_special_tokens=False)
+        for run, f in zip(runs, found, strict=True):
+            ids = np.array(f.ids, np.uint16)
             if len(run) == 1:
-                out[run[0]] = ids.tobytes()
+                rest[run[0]] = ids
                 continue
             cuts = np.flatnonzero(ids == _MARK_ID).tolist()
-            whole = ids.tobytes()
-            out.update((p, whole[2 * i + 2 : 2 * j]) for p, i, j in zip(run, [-1, *cuts], [*cuts, len(ids)], strict=True))
-        return out
-
-    def learn(self, pieces: set[bytes]) -> None:
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if not new:
-            return
-        if len(known) + len(new) > MEMORY:
-            # What this group of texts uses stays.
-            known = self.known = {p: known[p] for p in pieces if p in known}
-        words, others, split = set(), set(), []
-        for p in new:
-            core = p.rstrip(b".,;:!?")
-            word = core.decode()
-            if word.isalpha() and (word.isascii() or (max(word) < _LATIN and "\u0130" not in word)):
-                words.add(word)
-            elif core != p and core[-1:].isalnum() and core[-1] < 128:
-                # Only after letters, or an ASCII digit, are the stops sure to stand apart.
-                others.add(core)
-            else:
-                core = p
-                others.add(p)
-            tail = p[len(core) :]
-            if tail:
-                others.add(tail)
-            split.append((p, core, tail))
-        ids = self._encode(list(words), list(others))
-        known.update((p, ids[core] + ids[tail] if tail else ids[core]) for p, core, tail in split)
-
-    def ids(self, bodies: list[bytes]) -> list[np.ndarray]:
+            rest.update((p, ids[i + 1 : j]) for p, i, j in zip(run, [-1, *cuts], [*cuts, len(ids)], strict=True))
+        return out + [rest[p] for p in pieces]
+
+    def _places(self, units: pa.Array, n_words: int) -> np.ndarray:
+        """Where the memory holds these distinct units, of which the first are words; new ones are learned."""
+        at = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        if len(self.known) + len(new) > MEMORY:
+            # What these texts use stays.
+            used = np.flatnonzero(at >= 0)
+            starts = self.stops[at[used]]
+            sizes = self.stops[at[used] + 1] - starts
+            self.known = units.take(used)
+            self.flat, self.stops = self.flat[_spread(starts, sizes)], np.concatenate(([0], np.cumsum(sizes)))
+            at[used] = np.arange(len(used))
+        words = int(np.searchsorted(new, n_words))
+        found = self._encode(units.take(new[:words]).to_pylist(), units.take(new[words:]).to_pylist())
+        at[new] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, units.take(new)])
+        stops = self.stops[-1] + np.cumsum([len(f) for f in found])
+        self.flat, self.stops = np.concatenate([self.flat, *found]), np.concatenate([self.stops, stops])
+        return at
+
+    def ids(self, bodies: list[bytes] | pa.Array) -> list[np.ndarray]:
         """Token ids of UTF-8 texts."""
-        pieces = [(b if b"<|" in b else b.lower()).split() for b in bodies]
-        need = set().union(*pieces)
-        # A group of texts with more distinct pieces than fit is taken in parts, a single text always at once.
-        if len(need) > MEMORY // 2 and len(bodies) > 1:
-            half = len(bodies) // 2
-            return self.ids(bodies[:half]) + self.ids(bodies[half:])
-        self.learn(need)
-        find = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(find, p)), np.uint16) for p in pieces]
+        texts = (bodies if isinstance(bodies, pa.Array) else pa.array(bodies, pa.binary())).cast(pa.string())
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        bounds, found = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        del texts, split
+        pieces, codes = found.dictionary, found.indices.to_numpy()
+        worded = pc.match_substring_regex(pieces, f"^[{_LETTERS}]+[{re.escape(_STOPS)}]*$")
+        whole = pieces.filter(worded)
+        cores = pc.ascii_rtrim(whole, characters=_STOPS)
+        tailed = pc.not_equal(pc.binary_length(whole), pc.binary_length(cores))
+        tails = pc.replace_substring_regex(whole.filter(tailed), f"^[{_LETTERS}]+", "")
+        words = pc.utf8_lower(cores).dictionary_encode()
+        rest = pa.concat_arrays([tails, pieces.filter(pc.invert(worded))]).dictionary_encode()
+        n_words = len(words.dictionary)
+        at = self._places(pa.concat_arrays([words.dictionary, rest.dictionary]), n_words)
+        # Every piece is one or two units; the last one has no ids.
+        worded, tailed = worded.to_numpy(zero_copy_only=False), tailed.to_numpy(zero_copy_only=False)
+        units = np.full((len(pieces), 2), len(self.known))
+        units[worded, 0] = at[words.indices.to_numpy()]
+        places = at[n_words + rest.indices.to_numpy()]
+        units[~worded, 0] = places[len(tails) :]
+        units[np.flatnonzero(worded)[tailed], 1] = places[: len(tails)]
+        sizes = np.append(np.diff(self.stops), 0)[units]
+        flat = self.flat[_spread(self.stops[units.ravel()], sizes.ravel())]
+        sizes = sizes.sum(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        out = []
+        for i in range(0, len(bounds) - 1, 256):
+            own = bounds[i : i + 257]
+            some = codes[own[0] : own[-1]]
+            ids = flat[_spread(starts[some], sizes[some])]
+            ends = np.append(0, np.cumsum(sizes[some]))[own - own[0]].tolist()
+            out += [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return out
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -126,6 +167,18 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
+def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of up to ``CHUNK`` bytes in this column; longer values stand alone."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > start and size + n > CHUNK:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def write_ids(docs: DataFrame, path: str, folder: str, segment: int = SEGMENT) -> None:
     """Encode every whole text and write the ids in ascending doc_id order.
 
@@ -158,9 +211,8 @@ def write_ids(docs: DataFrame, path: str, folder: str, segment: int = SEGMENT) -
         tool = pieces(path)
         end = np.array([END], np.uint16)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, own in zip(some.column(0).to_pylist(), tool.ids(some.column(1).to_pylist()), strict=True):
+            for some in _chunks(batch, 1):
+                for doc, own in zip(some.column(0).to_pylist(), tool.ids(some.column(1)), strict=True):
                     if ids and size + len(own) + 1 > segment:
                         yield close()
                     docs_.append(doc)

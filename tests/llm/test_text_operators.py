@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -256,6 +257,62 @@ def test_distinct_words_go_into_few_library_calls():
     assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_with_any_stops_are_encoded_once(monkeypatch):
+    """Only distinct words and runs of stops reach the library, the words by the bare model; what is forgotten is learned again."""
+    import public_tokenizers
+
+    tool = tokens.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    library, rnd = tool.tokenizer, random.Random(4)
+    words = ["".join(rnd.choices("abcdeüñßÉ", k=10)) for _ in range(900)]
+    texts = [" ".join(w + rnd.choice(["", "%%%", "...", "?!", "###"]) for w in rnd.choices(words, k=700)) for _ in range(4)]
+    sent = {"tokenizer": [], "plain": []}
+
+    class Counted:
+        def __init__(self, name):
+            self.name, self.inner = name, getattr(tool, name)
+
+        def encode_batch_fast(self, texts, **kwargs):
+            sent[self.name].extend(texts)
+            return self.inner.encode_batch_fast(texts, **kwargs)
+
+    tool.tokenizer, tool.plain = Counted("tokenizer"), Counted("plain")
+    for _ in range(2):
+        got = [tool.ids([t.encode()])[0].tolist() for t in texts]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    once = " ".join(sent["plain"]).split()
+    assert len(once) == len(set(once)) <= 900 and len(sent["tokenizer"]) <= 4
+    monkeypatch.setattr(tokens, "MEMORY", 500)
+    assert [tool.ids([t.encode()])[0].tolist() for t in [*texts, "new words " + texts[0]]][:4] == got
+    assert len(tool.known) < 900
+
+
+def test_pieces_of_odd_characters_match_the_library(monkeypatch):
+    import public_tokenizers
+
+    tool = tokens.Pieces(public_tokenizers.path("word_bpe_49k.json"))
+    rnd = random.Random(17)
+    low = [chr(i) for i in range(0x250)]
+    odd = ["\u0301", "\u0130", "\u212a", "\u01c5", "\u2028", "\u4e2d", "\U0001f600", "'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0958", "K", " "]
+    texts = ["".join(rnd.choices(low + odd * 8 + [" "] * 150 + list("abcXYZ.,!'") * 10, k=rnd.randrange(120))) for _ in range(600)]
+    texts += ["".join(c + stop + " " for c in low) for stop in ("", ".", "'", "_-", "<|")] + ["", " ", "\t a"]
+    want = [tool.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in tool.ids([t.encode() for t in texts])] == want
+    assert tool.ids([]) == []
+    monkeypatch.setattr(tokens, "CHUNK", 300)
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], names=["body"])
+    parts = list(tokens._chunks(batch, 0))
+    assert len(parts) > 10 and all(p.num_rows == 1 or sum(map(len, p.column(0).to_pylist())) <= 300 for p in parts)
+    assert [g.tolist() for p in parts for g in tool.ids(p.column(0))] == want
+
+
+def test_coder_blocks_stand_alone():
+    """Blocks are the same whatever is coded beside them, but for the last one's length."""
+    ids = (np.random.default_rng(5).zipf(1.3, 5 * coder.BLOCK + 77) % 49408).astype(np.uint16)
+    whole = coder.encode(ids)
+    assert whole.startswith(coder.encode(ids[: coder.BLOCK])) and whole.startswith(coder.encode(ids[: 3 * coder.BLOCK]))
+    assert coder.encode(ids[:7]) and np.array_equal(coder.decode(coder.encode(ids[:7]) + whole), np.concatenate((ids[:7], ids)))
+
+
 def test_token_ids_match_the_library(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
