@@ -66,23 +66,25 @@ class Pieces:
         self.known = pa.array([], pa.string())
         self.flat, self.stops = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def _encode(self, words: list[str], pieces: list[str]) -> list[np.ndarray]:
-        """Ids of lower-cased words of letters, then of other pieces.
+    def _encode(self, words: pa.Array, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of lower-cased words of letters, then of other pieces, and the numbers of ids of each.
 
         Many words go into one call and are told apart by the ids that end a word.  Of the other pieces 64 go into one
         call, with a mark between them that no other piece contains.
         """
-        out: list[np.ndarray] = []
-        runs = [words[i : i + 256] for i in range(0, len(words), 256)]
-        found = self.plain.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False)
-        for run, f in zip(runs, found, strict=True):
-            ids = np.array(f.ids, np.uint16)
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(run) and stops[-1] == len(ids):
-                out += [ids[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+        flat, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        starts = [*range(0, len(words), 256), len(words)]
+        runs = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), words), " ").to_pylist()
+        for at, found in zip(starts, self.plain.encode_batch_fast(runs, add_special_tokens=False), strict=False):
+            ids, n = np.array(found.ids, np.uint16), min(256, len(words) - at)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == n and stops[-1] == len(ids):
+                flat.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
             else:
-                single = self.tokenizer.encode_batch_fast(run, add_special_tokens=False)
-                out += [np.array(f.ids, np.uint16) for f in single]
+                for f in self.tokenizer.encode_batch_fast(words.slice(at, n).to_pylist(), add_special_tokens=False):
+                    flat.append(np.array(f.ids, np.uint16))
+                    sizes.append(np.array([len(f.ids)]))
         rest: dict[str, np.ndarray] = {}
         odd = [[p] for p in pieces if "<|" in p]
         plain = [p for p in pieces if "<|" not in p]
@@ -95,7 +97,9 @@ class Pieces:
                 continue
             cuts = np.flatnonzero(ids == _MARK_ID).tolist()
             rest.update((p, ids[i + 1 : j]) for p, i, j in zip(run, [-1, *cuts], [*cuts, len(ids)], strict=True))
-        return out + [rest[p] for p in pieces]
+        flat += [rest[p] for p in pieces]
+        sizes.append(np.array([len(rest[p]) for p in pieces], np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def _places(self, units: pa.Array, n_words: int) -> np.ndarray:
         """Where the memory holds these distinct units, of which the first are words; new ones are learned."""
@@ -112,11 +116,11 @@ class Pieces:
             self.flat, self.stops = self.flat[_spread(starts, sizes)], np.concatenate(([0], np.cumsum(sizes)))
             at[used] = np.arange(len(used))
         words = int(np.searchsorted(new, n_words))
-        found = self._encode(units.take(new[:words]).to_pylist(), units.take(new[words:]).to_pylist())
+        flat, sizes = self._encode(units.take(new[:words]), units.take(new[words:]).to_pylist())
         at[new] = len(self.known) + np.arange(len(new))
         self.known = pa.concat_arrays([self.known, units.take(new)])
-        stops = self.stops[-1] + np.cumsum([len(f) for f in found])
-        self.flat, self.stops = np.concatenate([self.flat, *found]), np.concatenate([self.stops, stops])
+        self.flat = np.concatenate([self.flat, flat])
+        self.stops = np.concatenate([self.stops, self.stops[-1] + np.cumsum(sizes)])
         return at
 
     def ids(self, bodies: list[bytes] | pa.Array) -> list[np.ndarray]:

@@ -305,12 +305,19 @@ def test_pieces_of_odd_characters_match_the_library(monkeypatch):
     assert [g.tolist() for p in parts for g in tool.ids(p.column(0))] == want
 
 
-def test_coder_blocks_stand_alone():
-    """Blocks are the same whatever is coded beside them, but for the last one's length."""
+def test_coder_groups_stand_alone(monkeypatch):
+    """A group's bytes are the same whatever is coded beside it; its blocks share what order 0 has learned."""
     ids = (np.random.default_rng(5).zipf(1.3, 5 * coder.BLOCK + 77) % 49408).astype(np.uint16)
     whole = coder.encode(ids)
-    assert whole.startswith(coder.encode(ids[: coder.BLOCK])) and whole.startswith(coder.encode(ids[: 3 * coder.BLOCK]))
-    assert coder.encode(ids[:7]) and np.array_equal(coder.decode(coder.encode(ids[:7]) + whole), np.concatenate((ids[:7], ids)))
+    both = coder.encode(ids[:7]) + whole
+    assert np.array_equal(coder.decode(both), np.concatenate((ids[:7], ids)))
+    assert len(whole) < sum(len(coder.encode(ids[i : i + coder.BLOCK])) for i in range(0, len(ids), coder.BLOCK))
+    monkeypatch.setattr(coder, "LANES", 2)
+    apart = coder.encode(ids)
+    assert apart == b"".join(coder.encode(ids[i : i + 2 * coder.BLOCK]) for i in range(0, len(ids), 2 * coder.BLOCK))
+    assert np.array_equal(coder.decode(apart), ids)
+    with pytest.raises(ValueError):
+        coder.decode(apart[apart.index(coder.NEXT) :])
 
 
 def test_token_ids_match_the_library(spark, tmp_path):
